@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgraph.functions.wikitext import normalize_title, strip_blanks
-from linkgraph.llm import groups, mixing, quota, sketch, tokenizer
+from linkgraph.llm import groups, matching, mixing, quota, sketch, tokenizer, truncation
 from linkgraph.operators.skew import join_unique
 from linkgraph.plans.session import checkpointed, table
 
@@ -50,6 +50,31 @@ def _frequent(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(sketch.frequent(table(spark, d, "page_links"), "link_title", FREQUENT).withColumn("column_name", F.lit("link_title")))
 
 
+def _spellings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """value, entry, score of the distinct link titles that are no title of another page; and those that are."""
+    entries = table(spark, d, "title_list").select(F.col("page_title").alias("entry"))
+    values = table(spark, d, "page_links").where("link_title is not null").select(F.col("link_title").alias("value")).distinct()
+    others = table(spark, d, "page").select(F.col("page_title").alias("value")).where("value is not null").distinct()
+    others = others.join(entries.select(F.col("entry").alias("value")), "value", "left_anti")
+    return checkpointed(matching.match_values(values.join(others, "value", "left_anti"), entries)), values.join(others, "value", "left_semi")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Links whose title is a free spelling of an entry of title_list, with that entry."""
+    told, _ = _spellings(spark, d)
+    links = table(spark, d, "page_links").select("page_id", "link_title").distinct()
+    return matching.map_rows(links, "link_title", told.where("value <> entry")).select("page_id", "link_title", F.col("entry").alias("page_title"))
+
+
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct link title: mapped to which entry, of another page, or unmatched."""
+    told, others = _spellings(spark, d)
+    kind = F.when(F.col("entry").isNull(), "unmatched").when(F.col("value") == F.col("entry"), "entry").otherwise("mapped")
+    return told.select(F.col("value").alias("link_title"), F.col("entry").alias("page_title"), "score", kind.alias("kind")).unionByName(
+        others.select(F.col("value").alias("link_title"), F.lit(None).cast("string").alias("page_title"), F.lit(0.0).alias("score"), F.lit("other page").alias("kind"))
+    )
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Values held by at least 0.5 % of the non-null rows."""
     return _frequent(spark, d).select("column_name", "item")
@@ -83,8 +108,13 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def plain_source() -> Column:
+    """The source in the spelling of source_weight: lower case, blanks and hyphens as underscores."""
+    return F.regexp_replace(F.lower(strip_blanks(F.col("source"))), r"[\s-]+", "_")
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").withColumn("source", F.regexp_replace(F.lower(strip_blanks(F.col("source"))), r"[\s-]+", "_"))
+    documents = table(spark, d, "documents").withColumn("source", plain_source())
     return checkpointed(tokenizer.count_column(documents, "text", ["doc_id", "source"]))
 
 
@@ -105,6 +135,25 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return told.join(F.broadcast(total), "one").select("source", "target_share", "available_tokens", "mix_tokens", (F.col("mix_tokens") / F.col("total")).alias("share_reached"), "capped")
 
 
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").withColumn("source", plain_source())
+    leads = table(spark, d, "lead_text").select(F.col("lead_text").alias("text"))
+    articles = table(spark, d, "parsed_article").select(F.col("full_text").alias("text"))
+    return truncation.find_cut(documents, leads.unionByName(articles))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return _cut(spark, d).where("reason is not null").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts, by reason."""
+    by = _cut(spark, d).groupBy("source")
+    reasons = ("mark", "longer copy", "limit", "word", "line")
+    return by.agg(F.count("*").alias("n_texts"), F.count("reason").alias("n_cut"), *(F.count_if(F.col("reason") == r).alias("n_" + r.replace(" ", "_")) for r in reasons)).withColumn("share_cut", F.col("n_cut") / F.col("n_texts"))
+
+
 _USABLE = """
 usable AS (SELECT DISTINCT episode_id, lower(trim(difficulty)) AS difficulty, shortest_path_len FROM episode
   WHERE episode_id IS NOT NULL AND trim(difficulty) <> '' AND shortest_path_len > 0),
@@ -113,10 +162,12 @@ supply AS (SELECT difficulty, shortest_path_len, count(*) AS available FROM usab
 
 QUERIES = {
     "p2_found": p2_found, "p2_sample": p2_sample, "p2_report": p2_report,
+    "p3_found": p3_found, "p3_values": p3_values,
     "p4_found": p4_found, "p4_counts": p4_counts,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_sources": p10_sources,
 }
 ORACLE = {
     "p2_found": f"""WITH {_USABLE} SELECT target_set, t.difficulty, t.shortest_path_len FROM episode_target t LEFT JOIN supply USING (difficulty, shortest_path_len)

@@ -103,12 +103,17 @@ class BytePairEncoder:
         self.find = regex.compile(PRE_TOKEN).findall
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def __getstate__(self):
-        return {"table": self.table, "longest": self.longest}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state
-        self.find, self.cache = regex.compile(PRE_TOKEN).findall, {}
+    def state(self) -> tuple:
+        """Plain data from which an executor sets up the same encoder without building the hash."""
+        t = self.table
+        return t.n, t.buckets, t.move, t.keys, t.values, self.longest
+
+    @classmethod
+    def of_state(cls, state: tuple) -> BytePairEncoder:
+        self, t = cls.__new__(cls), PerfectHash.__new__(PerfectHash)
+        t.n, t.buckets, t.move, t.keys, t.values, self.longest = state
+        self.table, self.find, self.cache = t, regex.compile(PRE_TOKEN).findall, {}
+        return self
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token by merging its bytes, lowest rank first, leftmost first."""
@@ -160,7 +165,7 @@ class BytePairEncoder:
 
 
 def _shared(df: DataFrame, path: str):
-    return df.sparkSession.sparkContext.broadcast(BytePairEncoder(load_ranks(path)))
+    return df.sparkSession.sparkContext.broadcast(BytePairEncoder(load_ranks(path)).state())
 
 
 def encode_column(df: DataFrame, key: str, text: str, path: str = RANKS_PATH) -> DataFrame:
@@ -168,7 +173,7 @@ def encode_column(df: DataFrame, key: str, text: str, path: str = RANKS_PATH) ->
     encoder = _shared(df, path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder.value
+        bpe = BytePairEncoder.of_state(encoder.value)
         for b in batches:
             lists = [bpe.encode(t) for t in b.column(1).to_pylist()]
             flat = np.fromiter((i for x in lists for i in x), np.int32, count=sum(map(len, lists)))
@@ -184,7 +189,7 @@ def count_column(df: DataFrame, text: str, keep: list[str], path: str = RANKS_PA
     encoder = _shared(df, path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder.value
+        bpe = BytePairEncoder.of_state(encoder.value)
         for b in batches:
             n = pa.array([len(bpe.encode(t)) for t in b.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], n], names=[*keep, "n_tokens"])
