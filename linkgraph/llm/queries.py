@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgraph.functions.wikitext import normalize_title, strip_blanks
-from linkgraph.llm import groups, matching, mixing, quota, sketch, tokenizer, truncation
+from linkgraph.llm import groups, markup, matching, mixing, quota, sketch, tokenizer, truncation
 from linkgraph.operators.skew import join_unique
 from linkgraph.plans.session import checkpointed, table
 
@@ -85,6 +85,27 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return _frequent(spark, d).select("column_name", "item", "n", "lower", "upper")
 
 
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every non-null text of the four fields, cleaned. The field stands for the host."""
+    articles = table(spark, d, "parsed_article")
+    section = articles.select("page_id", F.explode("sections").alias("s")).select(F.lit("section_text").alias("host"), "page_id", F.col("s.section_no").cast("int").alias("section_no"), F.col("s.text").alias("text"))
+    whole = [
+        df.select(F.lit(c).alias("host"), "page_id", F.lit(-1).alias("section_no"), F.col(c).alias("text"))
+        for df, c in ((articles, "full_text"), (articles, "infobox"), (table(spark, d, "lead_text"), "lead_text"))
+    ]
+    return markup.clean_fields(section.unionByName(whole[0]).unionByName(whole[1]).unionByName(whole[2]))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values that hold markup, whole or broken."""
+    return _cleaned(spark, d).where("n_kinds > 0").select(F.col("host").alias("field"), "page_id", "section_no").distinct()
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every value as clean text."""
+    return _cleaned(spark, d).withColumnRenamed("host", "field")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Groups of pages that redirects join, one row a page.
 
@@ -164,6 +185,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_sample": p2_sample, "p2_report": p2_report,
     "p3_found": p3_found, "p3_values": p3_values,
     "p4_found": p4_found, "p4_counts": p4_counts,
+    "p5_found": p5_found, "p5_clean": p5_clean,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
