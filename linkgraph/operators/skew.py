@@ -9,11 +9,13 @@ from linkgraph.plans.session import checkpointed
 
 #: A key with more than this share of the rows is hot; at most 1 / HOT_SHARE keys can be.
 HOT_SHARE = 0.001
+#: Up to so many rows of one key are no burden for a task.
+HOT_ROWS = 100_000
 
 
 def hot_keys(rows: DataFrame, key: str, n_rows: int, share: float = HOT_SHARE) -> DataFrame:
-    """The at most 1 / share values of key that more than share of the n_rows rows hold."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > n_rows * share).select(key)
+    """The at most 1 / share values of key that more than share of the n_rows rows, and more than HOT_ROWS rows, hold."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(n_rows * share, HOT_ROWS)).select(key)
 
 
 def join_unique(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
@@ -23,7 +25,10 @@ def join_unique(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", s
     other rows are joined by shuffle, where no key holds more than share of them. Null keys match
     nothing. rows is read three times: pass a table or a checkpoint.
     """
-    hot = checkpointed(hot_keys(rows, key, rows.count(), share))
+    n = rows.count()
+    if n <= HOT_ROWS:  # no key can be hot
+        return rows.join(dim, key, how)
+    hot = checkpointed(hot_keys(rows, key, n, share))
     hot_dim = dim.join(F.broadcast(hot), key, "left_semi")
     flag = hot.withColumn("is_hot", F.lit(True))
     told = rows.join(F.broadcast(flag), key, "left")

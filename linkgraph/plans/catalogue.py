@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from linkgraph.plans import general_queries
+from linkgraph.plans import general_queries, graph_queries, session_queries, text_queries
 
-_MODULES = [general_queries]
+_MODULES = [graph_queries, text_queries, session_queries, general_queries]
 
 
 def queries() -> dict[str, Callable]:
