@@ -30,8 +30,8 @@ def join_unique(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", s
         return rows.join(dim, key, how)
     hot = checkpointed(hot_keys(rows, key, n, share))
     hot_dim = dim.join(F.broadcast(hot), key, "left_semi")
-    flag = hot.withColumn("is_hot", F.lit(True))
+    flag = hot.withColumn("_is_hot", F.lit(True))
     told = rows.join(F.broadcast(flag), key, "left")
-    a = told.where("is_hot").drop("is_hot").join(F.broadcast(hot_dim), key, how)
-    b = told.where("is_hot is null").drop("is_hot").join(dim, key, how)
+    a = told.where("_is_hot").drop("_is_hot").join(F.broadcast(hot_dim), key, how)
+    b = told.where("_is_hot is null").drop("_is_hot").join(dim, key, how)
     return a.unionByName(b)
