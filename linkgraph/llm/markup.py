@@ -212,7 +212,7 @@ _INLINE = _sub([
     (r"'''?|\*\*|~~|`+", ""), (r"(?<!\w)__(?=\w)|(?<=\w)__(?!\w)", ""),
     (r"(?<![\w*])\*([^\s*][^*\n]*(?<!\s))\*(?![\w*])", r"\1"), (r"(?<!\w)_([^\s_][^_\n]*(?<!\s))_(?!\w)", r"\1"),
 ])
-_LEFT = regex.compile(r"<!--|-->|</?[A-Za-z][\w]*>?|/>|\"\s*>|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|''+|\*\*|~~|`|!\[|\]\(|\$\$|\\[A-Za-z]+|\\[()\[\]{}$%&#]|\|\||!!|\[(?:https?:)?//|\|\s*:?-{3,}")
+_LEFT = regex.compile(r"<!--|-->|</?[A-Za-z][\w]*>?|/>|\"\s*>|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|''+|\*\*|~~|`|!\[|\]\(|\$\$|\\[A-Za-z]+|\\[()\[\]{}$%&#]|\|\||!!|\[(?:https?|ftp)?:?//|\[https?:|\|\s*:?-{3,}")
 
 
 def clean(text: str) -> str:
@@ -244,7 +244,7 @@ def clean(text: str) -> str:
     t = _TABLE_ROW.sub(lambda m: "\t".join(x.strip() for x in m[1].split("|")), t)
     for p, by in _INLINE:
         t = p.sub(by, t)
-    t = html.unescape(html.unescape(t))
+    t = html.unescape(html.unescape(t)).replace("\xa0", " ")
     for _ in range(3):
         if not any(p.search(t) for p in (_LEFT, *_PIECES.values())):
             break

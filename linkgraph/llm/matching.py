@@ -169,6 +169,7 @@ def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def map_rows(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """rows with the entry of their value; rows of unmatched values fall away. mapping: value, entry."""
+    """rows with the entry of their value; rows of unmatched values fall away, as does a column
+    of rows called entry. mapping: value, entry."""
     named = checkpointed(mapping.where("entry is not null").select(F.col("value").alias(column), "entry"))
-    return join_unique(rows, named, column)
+    return join_unique(rows.drop("entry") if column != "entry" else rows, named, column)

@@ -84,7 +84,7 @@ def mix(sizes: DataFrame, planned: list[dict], slots: int = SLOTS, seed: int = S
     schedule = spark.createDataFrame([(s, j, i) for i, (s, j) in enumerate(pfair(counts))], "source string, block bigint, slot bigint")
     ends = spark.createDataFrame(list(counts.items()), "source string, n_blocks bigint")
     keyed = (
-        sizes.where("n_tokens > 0").join(F.broadcast(table), "source")
+        sizes.select("doc_id", "source", "n_tokens").where("n_tokens > 0").join(F.broadcast(table), "source")
         .withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
         .withColumn("piece", F.shiftrightunsigned("key", 64 - KEY_BITS))
     )

@@ -134,6 +134,7 @@ def quotas(items: DataFrame, targets: DataFrame) -> DataFrame:
     as many items are there. The quotas of a set add up to the rounded size of its sample unless
     the bounds (at least min_rows, at most what is available) forbid. One group is one target set.
     """
+    targets = targets.select("target_set", "cat_a", "cat_b", "share_permille", "sample_permille", "min_rows")
     counts = items.groupBy("cat_a", "cat_b").agg(F.count("*").alias("available"))
     total = items.agg(F.count("*").alias("n_usable")).withColumn("one", F.lit(1))
     told = (
@@ -163,7 +164,7 @@ def take(items: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """
     cell = ["target_set", "cat_a", "cat_b"]
     keyed = (
-        items.join(F.broadcast(plan.where("quota > 0").select(*cell, "quota")), ["cat_a", "cat_b"])
+        items.select("item", "cat_a", "cat_b").join(F.broadcast(plan.where("quota > 0").select(*cell, "quota")), ["cat_a", "cat_b"])
         .withColumn("key", F.xxhash64(F.lit(seed), "target_set", "item"))
         .withColumn("bucket", F.shiftrightunsigned("key", 64 - KEY_BITS))
     )

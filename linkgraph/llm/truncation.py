@@ -23,6 +23,8 @@ from linkgraph.plans.session import checkpointed, shuffle_width
 
 #: A length of a source is a limit if at least so many texts have it, and so many times more than the lengths around it.
 PILE_ROWS, PILE_TIMES, PILE_AROUND = 5, 8, 20
+#: ... and if this share of those that end openly end in a broken word or line.
+PILE_BROKEN = 0.3
 #: A line shape counts as complete from so many texts on.
 SHAPE_TEXTS = 2
 #: Distinct words and shapes that a task gathers before it sends their counts on.
@@ -164,7 +166,7 @@ def find_cut(documents: DataFrame, others: DataFrame) -> DataFrame:
     lengths = texts.where("ending <> 'blank'").groupBy("source", "n_chars").agg(F.count("*").alias("n"))
     around = Window.partitionBy("source").orderBy("n_chars").rangeBetween(-PILE_AROUND, PILE_AROUND)
     usual = (F.sum("n").over(around) - F.col("n")) / (2 * PILE_AROUND)
-    limits = lengths.withColumn("usual", usual).where((F.col("n") >= PILE_ROWS) & (F.col("n") >= PILE_TIMES * F.greatest("usual", F.lit(0.25)))).select("source", "n_chars", F.lit(True).alias("at_limit"))
+    piles = lengths.withColumn("usual", usual).where((F.col("n") >= PILE_ROWS) & (F.col("n") >= PILE_TIMES * F.greatest("usual", F.lit(0.25)))).select("source", "n_chars")
 
     words = facts.where("kind = 'word'").select("last_word").distinct().withColumn("known", F.lit(True))
     shapes = facts.where("kind = 'shape'").groupBy("source", "shape").agg(F.sum("n").alias("n"))
@@ -178,13 +180,13 @@ def find_cut(documents: DataFrame, others: DataFrame) -> DataFrame:
     told = open_.withColumn("shape_key", F.when(plain, F.col("shape")).otherwise(F.concat_ws("\t", F.coalesce("source", F.lit("")), "shape")))
     told = checkpointed(join_unique(checkpointed(told), words, "last_word", "left"))
     told = checkpointed(join_unique(told, everywhere.unionByName(own), "shape_key", "left"))
-    told = told.join(keyed, "doc_id", "left").join(limits, ["source", "n_chars"], "left")
-    reason = (
-        F.when(F.col("has_longer"), "longer copy")
-        .when(F.col("at_limit"), "limit")
-        .when(F.col("last_word").isNotNull() & F.col("known").isNull(), "word")
-        .when(F.col("usual_line").isNull(), "line")
-    )
+    look = F.when(F.col("last_word").isNotNull() & F.col("known").isNull(), "word").when(F.col("usual_line").isNull(), "line")
+    told = checkpointed(told.join(keyed, "doc_id", "left").withColumn("look", look))
+    # Lengths of short texts may pile up by nature; a limit is where many texts of that length also look cut.
+    broken = told.groupBy("source", "n_chars").agg(F.count("look").alias("n_broken"), F.count("*").alias("n_open"))
+    limits = piles.join(broken, ["source", "n_chars"]).where(F.col("n_broken") >= PILE_BROKEN * F.col("n_open")).select("source", "n_chars", F.lit(True).alias("at_limit"))
+    reason = F.when(F.col("has_longer"), "longer copy").when(F.col("at_limit"), "limit").otherwise(F.col("look"))
+    told = told.join(limits, ["source", "n_chars"], "left")
     judged = told.select("doc_id", reason.alias("reason")).where("reason is not null")
     whole = texts.select("doc_id", "source", "n_chars", F.when(F.col("ending") == "marked", "mark").alias("mark"))
     return whole.join(judged, "doc_id", "left").select("doc_id", "source", "n_chars", F.coalesce("mark", "reason").alias("reason"))
