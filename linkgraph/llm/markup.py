@@ -39,7 +39,7 @@ _PIECES = {
         "wiki heading": r"^\s*={2,6}[^=\n]|[^=\n]={2,6}\s*$",
         "wiki switch": r"__[A-Z]{3,}__",
         "wiki list": r"^[*#:;]+\s+\S",
-        "markdown strong": r"\*\*|~~|(?<!\w)__(?=\w)|(?<=\w)__(?!\w)",
+        "markdown strong": r"\*\*|~~|(?<!\w)__(?=\w)|(?<=\w)__(?!\w)|__[^\s_]+__",
         "markdown emphasis": r"(?<![\w*])\*[^\s*][^*\n]*(?<!\s)\*(?![\w*])|(?<!\w)_[^\s_][^_\n]*(?<!\s)_(?!\w)",
         "markdown code": r"`",
         "markdown link": r"\]\(|!\[",
@@ -209,7 +209,7 @@ _INLINE = _sub([
     (r"~?\\(?:cite|ref|label|eqref|pageref|footnote|includegraphics)\w*(?:\[[^\]]*\])?\{[^{}]*\}?", ""),
     (r"\\[A-Za-z]+\*?\{([^{}]*)\}", r"\1"), (r"\\[A-Za-z]+\*?\{?", ""), (r"\\([()\[\]{}$%&#])", r"\1"),
     (r"</?[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>|</?[A-Za-z]\w*(?:[ ]\w+=\S*)*", ""),
-    (r"'''?|\*\*|~~|`+", ""), (r"(?<!\w)__(?=\w)|(?<=\w)__(?!\w)", ""),
+    (r"'''?|\*\*|~~|`+", ""), (r"__([^\s_]+)__", r"\1"), (r"(?<!\w)__(?=\w)|(?<=\w)__(?!\w)", ""),
     (r"(?<![\w*])\*([^\s*][^*\n]*(?<!\s))\*(?![\w*])", r"\1"), (r"(?<!\w)_([^\s_][^_\n]*(?<!\s))_(?!\w)", r"\1"),
 ])
 _LEFT = regex.compile(r"<!--|-->|</?[A-Za-z][\w]*>?|/>|\"\s*>|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|''+|\*\*|~~|`|!\[|\]\(|\$\$|\\[A-Za-z]+|\\[()\[\]{}$%&#]|\|\||!!|\[(?:https?|ftp)?:?//|\[https?:|\|\s*:?-{3,}")

@@ -36,27 +36,32 @@ SHORT_FORMS = {
     "univ": "university", "inst": "institute", "natl": "national", "intl": "international", "dept": "department", "rep": "republic", "lib": "library",
     "mt": "mount", "mtn": "mountain", "mtns": "mountains", "ft": "fort", "st": "saint", "co": "company", "rly": "railway", "and": "&",
 }
+_SHORT = {v: k for k, v in SHORT_FORMS.items() if v not in "&"} | {"county": "co"}
+#: A note that links carry after the title, and the edits within which it is taken for one.
+NOTE, NOTE_EDITS = "page", 2
 _EDGE = ' \t"\'“”„«»‘’:?.,;!'
-_NOTE = regex.compile(r"(?i)\s*\(page\)")
+_NOTE = regex.compile(r"\s*\((\w{2,6})\)(?=\W*(?:,|\Z))")
+_ARTICLE = regex.compile(r"the[\s-]+")
 _TRANSFER = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "æ": "ae", "œ": "oe", "ß": "ss"})
 
 
-def normalise(value: str) -> str:
+def normalise(value: str, short: bool = False) -> str:
     """A spelling without what free typing varies: encodings, case, accents, blanks and other
-    separators, quotes, anchors, leading articles, inversion (``Y, X of``), short forms."""
+    separators, quotes, anchors, notes, leading articles, inversion (``Y, X of``), short forms.
+    With short, words that have a short form are shortened instead."""
     s = html.unescape(regex.sub("(?i)&amp;", "&", unicodedata.normalize("NFKC", value)))
     s = regex.sub(r"#[^,]*", "", unquote(s, errors="replace"))
-    s = _NOTE.sub("", s.replace("_", " ")).strip(_EDGE + " ")
+    s = _NOTE.sub(lambda m: "" if edits(m[1].lower(), NOTE, NOTE_EDITS) <= NOTE_EDITS else m[0], s.replace("_", " ")).strip(_EDGE + " ")
     s = "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c)).translate(_TRANSFER)
     s = regex.sub(r"['’‘`´]", "", s)
     first, comma, rest = s.partition(",")
     if comma:
-        s = f"{rest.strip(_EDGE)} {first.strip(_EDGE)}"
+        s = f"{rest.strip(_EDGE)} {_ARTICLE.sub('', first.strip(_EDGE))}"
     words = regex.split(r"[-\s]+", s.strip(_EDGE))
-    if len(words) > 1 and words[0] in ("the", "teh"):
+    if len(words) > 1 and edits(words[0], "the", 1) <= 1:
         words = words[1:]
-    words = [SHORT_FORMS.get(w.rstrip("."), w) for w in words]
-    if words[:2] == ["company", "of"]:
+    words = [_SHORT.get(w, w) if short else SHORT_FORMS.get(w.rstrip("."), w) for w in words]
+    if words[:1] == ["company"]:  # Co. in front stands for County
         words[0] = "county"
     s = regex.sub(r"[^\p{L}\p{M}\p{N}&]", "", "".join(words))
     return s.replace("aa", "a").replace("oe", "o")
@@ -93,46 +98,56 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def forms(entry: str) -> list[str]:
+    """The normalised entry, and its shortened form if that is another."""
+    return list(dict.fromkeys((normalise(entry), normalise(entry, short=True))))
+
+
 def build_index(entries: list[str], rarity: dict[str, float], unseen: float) -> tuple:
-    """Postings (entry numbers and weights divided by the entry's norm) of each gram."""
+    """Postings (form numbers and weights divided by the form's norm) of each gram."""
     postings: dict[str, tuple[list[int], list[float]]] = {}
-    names = [normalise(e) for e in entries]
-    for i, s in enumerate(names):
+    names = [(f, e) for e in entries for f in forms(e)]
+    for i, (s, _) in enumerate(names):
         g = grams(s)
         norm = math.sqrt(sum((c * rarity.get(x, unseen)) ** 2 for x, c in g.items())) or 1.0
         for x, c in g.items():
             at = postings.setdefault(x, ([], []))
             at[0].append(i)
             at[1].append(c * rarity.get(x, unseen) / norm)
-    return entries, names, {x: (np.array(i, np.int32), np.array(w)) for x, (i, w) in postings.items()}
+    return names, {x: (np.array(i, np.int32), np.array(w)) for x, (i, w) in postings.items()}
 
 
 def search(s: str, index: tuple, rarity: dict[str, float], unseen: float) -> list[tuple[float, str, str]]:
-    """The TOP entries of highest cosine from FLOOR on: (cosine, entry, normalised entry)."""
-    entries, names, postings = index
+    """The TOP forms of highest cosine from FLOOR on: (cosine, entry, form)."""
+    names, postings = index
     g = {x: c * rarity.get(x, unseen) for x, c in grams(s).items()}
     norm = math.sqrt(sum(w * w for w in g.values()))
     found = [(postings[x], w) for x, w in g.items() if x in postings]
     if not found:
         return []
-    score = np.bincount(np.concatenate([p[0] for p, _ in found]), weights=np.concatenate([p[1] * w for p, w in found]), minlength=len(entries)) / norm
+    score = np.bincount(np.concatenate([p[0] for p, _ in found]), weights=np.concatenate([p[1] * w for p, w in found]), minlength=len(names)) / norm
     best = np.argpartition(-score, min(TOP, len(score) - 1))[:TOP]
-    return sorted(((float(score[i]), entries[i], names[i]) for i in best if score[i] >= FLOOR), key=lambda x: (-x[0], x[1]))
+    return [(float(score[i]), names[i][1], names[i][0]) for i in best if score[i] >= FLOOR]
 
 
 def decide(s: str, found: list[tuple[float, str, str]]) -> tuple[str | None, float]:
     """The entry that a normalised value names, or None, and its cosine."""
-    found = sorted(found, key=lambda x: (-x[0], x[1]))[:TOP]
     if not found:
         return None, 0.0
     most = min(EDITS, len(s) // CHARACTERS_PER_EDIT)
-    near = sorted((edits(s, name, most), -score, entry) for score, entry, name in found)
+    told: dict[str, list] = {}  # entry: fewest edits, highest cosine
+    for score, entry, form in sorted(found, key=lambda x: (-x[0], x[1]))[:TOP]:
+        # A value that begins with an article is also read without it.
+        n = min(edits(r, form, most) for r in ({s, s[3:]} if s.startswith("the") else {s}))
+        old = told.setdefault(entry, [n, score])
+        told[entry] = [min(old[0], n), max(old[1], score)]
+    near = sorted((n, -score, entry) for entry, (n, score) in told.items())
     if near[0][0] <= most and (len(near) == 1 or near[1][0] > near[0][0] or near[1][1] - near[0][1] > LEAD):
         return near[0][2], -near[0][1]
-    lead = found[0][0] - (found[1][0] if len(found) > 1 else 0.0)
-    if found[0][0] >= SURE and lead >= SURE_LEAD:
-        return found[0][1], found[0][0]
-    return None, found[0][0]
+    best = sorted((-score, entry) for entry, (_, score) in told.items())
+    if -best[0][0] >= SURE and (len(best) == 1 or best[1][0] - best[0][0] >= SURE_LEAD):
+        return best[0][1], -best[0][0]
+    return None, -best[0][0]
 
 
 def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
@@ -144,7 +159,7 @@ def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     """
     spark = values.sparkSession
     names = sorted(r[0] for r in entries.where("entry is not null").distinct().toLocalIterator())
-    seen = Counter(x for n in names for x in set(grams(normalise(n))))
+    seen = Counter(x for n in names for x in {x for f in forms(n) for x in grams(f)})
     rarity = {x: math.log(1 + len(names) / (0.5 + n)) for x, n in seen.items()}
     unseen = math.log(1 + 2 * len(names))
     shards = [spark.sparkContext.broadcast((build_index(names[i : i + SHARD], rarity, unseen), rarity, unseen)) for i in range(0, len(names), SHARD)]
