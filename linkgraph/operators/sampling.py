@@ -26,6 +26,11 @@ def episode_id(split: Column, start: Column, target: Column, seed: Column, prefi
     return name_uuid(F.concat_ws(".", F.lit(prefix), split, start.cast("string"), target.cast("string"), seed.cast("string")))
 
 
+def random_id() -> Column:
+    """Hex of a random UUID, another one each time it is evaluated."""
+    return F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
+
+
 def bucket_targets(n_total: int) -> dict[str, int]:
     """Episodes wanted of each bucket; halves round to even."""
     easy = round(n_total * 0.4)

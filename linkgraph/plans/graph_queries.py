@@ -131,6 +131,19 @@ def pagelinks_fast_extract(spark: SparkSession, d: str) -> DataFrame:
     return dumps.link_pairs_fast(dumps.render_inserts(rows, "pagelinks", ["pl_from", "ns", "pl_target_id"]))
 
 
+def canonical_with_degree(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical pages with their number of outgoing links."""
+    edges, nodes = tables.edges(spark, d)
+    return nodes.join(graph.degrees(nodes, edges).select("node_idx", "out_degree"), "node_idx").select("page_id", "page_title", "node_idx", "out_degree")
+
+
+def table_maxima(spark: SparkSession, d: str) -> DataFrame:
+    """Number of canonical pages, greatest page id and node, greatest redirect; 0 for empty tables."""
+    a = tables.canonical(spark, d).agg(F.count("*").alias("n_canonical"), F.coalesce(F.max("page_id"), F.lit(0)).alias("max_page_id"), F.coalesce(F.max("node_idx"), F.lit(0)).alias("max_node"))
+    b = tables.redirects(spark, d).agg(F.coalesce(F.max("rd_from"), F.lit(0)).alias("max_redirect"))
+    return a.withColumn("one", F.lit(1)).join(F.broadcast(b.withColumn("one", F.lit(1))), "one").drop("one")
+
+
 def pending_work(spark: SparkSession, d: str) -> DataFrame:
     """Canonical pages without a lead text."""
     return articles_dump.pending(tables.canonical(spark, d), table(spark, d, "lead_text"))
@@ -140,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_pages, first_wins_pages, first_wins_targets, first_wins_redirects, redirect_resolution, link_graph_edges, transposed_edges, degrees, adjacency, csr_offsets,
-        in_neighbors, top_pages_by_in_degree, bounded_bfs, bounded_bfs_backward, shortest_paths, random_walks, episode_sample, quick_sample, dump_roundtrip, pagelinks_fast_extract, pending_work,
+        in_neighbors, top_pages_by_in_degree, bounded_bfs, bounded_bfs_backward, shortest_paths, random_walks, episode_sample, quick_sample, dump_roundtrip, pagelinks_fast_extract, pending_work, canonical_with_degree, table_maxima,
     )
 }
 _DEGREES = """deg AS (SELECT c.node_idx, c.page_title, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM canon c
@@ -165,6 +178,8 @@ ORACLE = {
         SELECT src, node, min(dist) AS dist FROM reach GROUP BY src, node""",
     "bounded_bfs_backward": f"""{BASE}, {_LISTED}, reach AS (SELECT node_idx AS src, node_idx AS node, 0 AS dist FROM listed
         UNION ALL SELECT l.node_idx, e.src, 1 FROM listed l JOIN edges e ON e.dst = l.node_idx) SELECT src, node, min(dist) AS dist FROM reach GROUP BY src, node""",
+    "canonical_with_degree": f"{BASE}, {_DEGREES} SELECT canon.page_id, canon.page_title, node_idx, out_degree FROM deg JOIN canon USING (node_idx)",
+    "table_maxima": f"{BASE} SELECT count(*) AS n_canonical, coalesce(max(page_id), 0) AS max_page_id, coalesce(max(node_idx), 0) AS max_node, coalesce((SELECT max(rd_from) FROM rd1), 0) AS max_redirect FROM canon",
     "dump_roundtrip": f"WITH {PAGE1} SELECT page_id, page_ns, page_title, is_redirect, coalesce(page_len, 0) AS page_len FROM page1 WHERE page_title IS NOT NULL",
     "pagelinks_fast_extract": "SELECT pl_from, pl_target_id FROM pagelinks_raw WHERE pl_from >= 0 AND pl_target_id >= 0",
     "pending_work": f"{BASE} SELECT page_id FROM canon WHERE page_id NOT IN (SELECT page_id FROM lead_text WHERE page_id IS NOT NULL)",

@@ -148,6 +148,13 @@ class Tools:
         text = self.build.table("article").join(pages.select("page_id"), "page_id", "left_semi")
         return articles.search(text, F.lit(query), max_results)
 
+    def evaluate(self, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """One row of metrics, and the scored traces, of the greedy reader on all episodes."""
+        places = self.build.table("page_links").groupBy("page_id", F.col("link_title").alias("title")).agg(F.min("ordinal").alias("place"))
+        states = sessions.run_greedy(episodes, self.legal.join(places, ["page_id", "title"]))
+        traces = self.score_episodes(states, episodes).withColumn("error", F.lit(None).cast("string")).withColumn("scored", F.lit(True))
+        return sessions.metrics(traces), traces
+
     def score_episodes(self, states: DataFrame, episodes: DataFrame) -> DataFrame:
         node = self.canonical.select("page_id", "node_idx")
         ends = episodes.select("start_page_id", "target_page_id").distinct().join(node.toDF("start_page_id", "src"), "start_page_id").join(node.toDF("target_page_id", "dst"), "target_page_id")

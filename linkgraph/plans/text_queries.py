@@ -144,7 +144,20 @@ _LEAD = f"""WITH a AS (SELECT doc_id, {_nest(_plain(_nest(r"regexp_replace(text,
     SELECT doc_id, CASE WHEN length(t) > 4000 THEN regexp_replace(t[1:4000], '(?s) [^ ]*$', '') || '...' ELSE t END AS text FROM b"""
 _OVERLAP = """len(list_intersect(list_distinct(list_filter(string_split_regex(lower(replace(target, '_', ' ')), '[\\s\\p{Z}]+'), lambda w: w <> '')),
     list_distinct(list_filter(string_split_regex(lower(replace(link_title, '_', ' ')), '[\\s\\p{Z}]+'), lambda w: w <> ''))))"""
+_LINE = _strip("l[i]")
+_TAIL_CUT = f"""array_to_string(l[1:list_max(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN regexp_matches(lower({_LINE}), '^\\{{\\{{{_WS}*(?:{'|'.join(W.LINK_TAIL)})')
+    OR lower({_LINE}) = '' OR starts_with(lower({_LINE}), '[[category:') THEN 0 ELSE i END))], chr(10))"""
+_EXCLUDED = ", ".join(f"'{n}'" for n in W.EXCLUDED_NAMESPACES)
 ORACLE = {
+    "tail_strip": f"WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, {_TAIL_CUT} AS text FROM s",
+    "outlinks": f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, {_TAIL_CUT} AS body FROM s),
+        r AS (SELECT doc_id, list_transform(regexp_extract_all(body, '\\[\\[([^\\]\\|]+)(?:\\|[^\\]]+)?\\]\\]', 1), lambda t: {_strip("t")}) AS raw FROM b),
+        k AS (SELECT doc_id, list_transform(list_filter(raw, lambda t: NOT (contains(t, ':') AND split_part(t, ':', 1) IN ({_EXCLUDED}))), lambda t: replace({_strip("split_part(t, '#', 1)")}, ' ', '_')) AS t FROM r),
+        n AS (SELECT doc_id, list_filter(list_transform(t, lambda x: upper(x[1:1]) || x[2:]), lambda x: x <> '') AS t FROM k),
+        d AS (SELECT doc_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM n)
+        SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS ordinal, unnest(t) AS link_title FROM d""",
+    "lead_views": """WITH h AS (SELECT doc_id, text, text[1:5000] AS head, coalesce(length(text) > 5000, FALSE) AS truncated FROM documents), c AS (SELECT *, length(head) - strpos(reverse(head), ' .') - 1 AS stop, strpos(reverse(head), ' .') > 0 AS has FROM h)
+        SELECT doc_id, CASE WHEN truncated THEN CASE WHEN has AND stop > 2000 THEN head[1:stop + 1] ELSE head END ELSE text END AS text, truncated FROM c""",
     "normalize_titles": f"""WITH x AS (SELECT link_title AS title FROM page_links UNION ALL SELECT rd_title FROM redirect_raw),
         y AS (SELECT title, replace({_strip("title")}, ' ', '_') AS t FROM x) SELECT title, upper(t[1:1]) || t[2:] AS normal FROM y""",
     "tag_strip": f"SELECT doc_id, {_nest('text', _HIDDEN)} AS text FROM documents",

@@ -34,6 +34,11 @@ def offset_index(index: DataFrame, wanted: DataFrame | None = None) -> DataFrame
     return kept.groupBy("page_id").agg(F.max("block_offset").alias("block_offset"))
 
 
+def write_index(offsets: DataFrame, path: str) -> None:
+    """The offset index as Parquet in ranges of page_id, so that a point read touches one row group."""
+    offsets.repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").parquet(path)
+
+
 def blocks(offsets: DataFrame) -> DataFrame:
     """block_offset and the pages wanted from that block; a block of the dump holds about a hundred."""
     return offsets.groupBy("block_offset").agg(F.sort_array(F.collect_list("page_id")).alias("page_ids"))

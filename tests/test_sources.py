@@ -43,6 +43,8 @@ def test_articles(spark, dump):
     wanted = spark.createDataFrame([(2,), (4,), (77,)], "page_id bigint")
     blocks = articles_dump.blocks(articles_dump.offset_index(index, wanted))
     assert dict(rows(blocks)) == {offsets[1]: [2], offsets[2]: [4]}
+    articles_dump.write_index(articles_dump.offset_index(index), str(path / "offsets"))
+    assert rows(spark.read.parquet(str(path / "offsets")).where("page_id = 4")) == [(4, offsets[2])]
     assert rows(articles_dump.read_blocks(blocks, str(path / "x-pages-articles-multistream.xml.bz2"))) == [(2, "new [[C]] text"), (4, "fourth")]
 
 
@@ -107,5 +109,7 @@ def test_build_and_tools(spark, dump):
     state = tools.click_links(catalog, log)
     score = tools.score_episodes(state, catalog).first()
     assert (score["success"], score["clicks"], score["invalid_actions"], score["shortest_path_len"], score["optimality_gap"]) == (True, 2, 1, 2, 0)
+    m, traces = tools.evaluate(catalog)
+    assert m.first()["n_scored"] == 1 and traces.first()["terminated_reason"] in ("success", "unknown", "step_limit")
     report = [json.loads(r["value"]) for r in episodes.report_json(spark.range(1), spark.range(2)).orderBy("part").collect()]
     assert report[0] == {"id": 0} and len(report) == 3
