@@ -32,10 +32,18 @@ HELD = 300_000
 
 _MARK = regex.compile(r"\s*(?:[\[(]\s*(?:…|\.{3})\s*[\])]|…|\.{3}|&hellip;)\s*\Z")
 _CLOSED = regex.compile(r"[.!?。！？][\p{Pf}\p{Pe}\"'»”’]*\Z")
-_AFTER = regex.compile(
-    r"(?:\s+|</[A-Za-z][^<>]*>|<[^<>]*/>|<!--(?:(?!-->).)*-->|<(\w+)[^<>]*>[^<>]*</\1>|\{\{[^{}]*\}\}|\[\[[^\[\]]*\]\]|\[https?://[^\[\]]*\]|!?\[[^\[\]]*\]\([^()]*\)"
-    r"|~?\\[a-z]+\{[^{}]*\}|\$[^$\n]+\$|\\\([^\n]*?\\\)|&\#?\w+;|~~[^~\n]*~~|\*\*[^*\n]*\*\*|'''?[^'\n]*'''?|`[^`\n]*`|[\p{So}\p{Sk}\p{Cf}✓️]|\s\d+(?:\.\d+)?(?:e-?\d+)?)+\Z"
-)
+_INLINE = "ref|span|small|sup|sub|math|code|nowiki|font|a|b|i|u|em|strong"
+#: Pieces of markup and signs that may follow the end of a text, each searched for from the end.
+_AFTER = [
+    regex.compile(rf"(?r)(?:{p})\s*\Z", regex.S)
+    for p in (
+        r"</[A-Za-z][^<>]*>", r"<[^<>]*/>", r"<br[^<>]*>", r"<!--(?:(?!-->).)*-->", rf"<(?:{_INLINE})\b(?:[^<>]|<[^<>]*>)*>[^<>]*</(?:{_INLINE})>",
+        r"\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\}", r"\[\[[^\[\]]*\]\]", r"\[https?://[^\[\]]*\]", r"!?\[[^\[\]]*\]\([^()]*\)", r"~?\\[a-z]+(?:\{[^{}]*\})+", r"\$[^$\n]+\$", r"\\\([^\n]*?\\\)", r"&\#?\w+;",
+        r"~~[^~\n]*~~", r"\*\*[^*\n]*\*\*", r"'{2,3}[^'\n]*'{2,3}", r"`[^`\n]*`", r"__\S*__|__|\*\*|~~", r"(?<=。) [\p{Latin}’']+", r"[\p{So}\p{Sk}\p{Cf}✓️]", r"\s\d+(?:\.\d+)?(?:e-?\d+)?",
+    )
+]
+#: So many of them are taken off one after the other.
+_PIECES_AFTER = 12
 _INNER = regex.compile(r"(?:</[A-Za-z][^<>]*>|\}|\*\*|~~|''+|`)+\Z")
 _SIGNED = regex.compile(r"--? .*\p{L}, \d{1,2} \p{Lu}\p{L}{2,}(?: \d{4})?\Z")
 _FIELD = regex.compile(r"\s*[\p{L}][\p{L} _-]*:\s+\S")
@@ -63,8 +71,15 @@ def ending(text: str) -> tuple[str, str | None, str | None]:
     if _CLOSED.search(t) or _SIGNED.match(last) or _URL.match(last):
         return "closed", None, None
     tail = t[-2000:]
-    for bare in (_AFTER.sub("", tail), _INNER.sub("", tail)):
-        if bare != tail and _CLOSED.search(bare):
+    if _CLOSED.search(_INNER.sub("", tail)):
+        return "closed", None, None
+    bare = tail
+    for _ in range(_PIECES_AFTER):
+        at = min((m.start() for m in (p.search(bare) for p in _AFTER) if m), default=None)
+        if at is None:
+            break
+        bare = bare[:at].rstrip()
+        if _CLOSED.search(bare):
             return "closed", None, None
     word = _LAST_WORD.search(tail)
     return "open", word[0] if word else None, line_shape(last[-2000:])
