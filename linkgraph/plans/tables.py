@@ -64,6 +64,6 @@ ENDS = """nxt AS (SELECT rd_from, CASE WHEN rd_ns = 0 THEN t.page_id END AS nxt
   ends AS (SELECT rd_from AS rd_from_id, s.cur AS canonical_id FROM rd1 LEFT JOIN stop s ON s.start = rd_from UNION SELECT cur, cur FROM stop)"""
 EDGES = """target AS (SELECT lt_id, CASE WHEN e.rd_from_id IS NOT NULL THEN e.canonical_id ELSE t.page_id END AS page_id
     FROM lt1 JOIN titles t ON t.title = lt_title LEFT JOIN ends e ON e.rd_from_id = t.page_id WHERE lt_ns = 0),
-  edges AS (SELECT DISTINCT s.node_idx AS src, c.node_idx AS dst FROM pagelinks_raw p JOIN target t ON t.lt_id = p.pl_target_id
+  edges AS MATERIALIZED (SELECT DISTINCT s.node_idx AS src, c.node_idx AS dst FROM pagelinks_raw p JOIN target t ON t.lt_id = p.pl_target_id
     JOIN canon c ON c.page_id = t.page_id JOIN canon s ON s.page_id = p.pl_from WHERE s.node_idx <> c.node_idx)"""
 BASE = f"WITH RECURSIVE {PAGE1}, {LT1}, {RD1}, {CANON}, {TITLES}, {ENDS}, {EDGES}"
