@@ -113,3 +113,13 @@ def test_build_and_tools(spark, dump):
     assert m.first()["n_scored"] == 1 and traces.first()["terminated_reason"] in ("success", "unknown", "step_limit")
     report = [json.loads(r["value"]) for r in episodes.report_json(spark.range(1), spark.range(2)).orderBy("part").collect()]
     assert report[0] == {"id": 0} and len(report) == 3
+    from linkgraph.__main__ import main
+
+    catalog_file, where = str(path / "catalog"), ["--raw", str(path), "--out", str(path / "out")]
+    episodes.write_episodes(catalog, catalog_file)
+    main([*where, "build"])
+    main([*where, "build", "--step", "canonical", "--force"])
+    main([*where, "evaluate", catalog_file, str(path / "report")])
+    assert spark.read.text(str(path / "report")).count() == 2
+    main([*where, "sample", str(path / "drawn"), "--n-total", "0", "--n-hard-bonus", "0"])
+    assert episodes.read_episodes(spark, str(path / "drawn")).count() == 0
