@@ -101,8 +101,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 30) -> D
     """src, dst, dist of each distinct pair: exact number of links if at most max_depth, else null.
 
     Two searches meet: from the sources forward and from the targets backward, the smaller frontier
-    first. After a levels forward and b backward every distance up to a + b is known exactly, and
-    only sources and targets of pairs still open go on.
+    first. After a levels forward and b backward every distance up to a + b is known exactly. Only
+    sources and targets of pairs still open go on; a pair is closed when its distance is known, or
+    when one of its ends has no frontier left.
     """
     wanted = checkpointed(pairs.where("src is not null and dst is not null").select("src", "dst").distinct())
     back = transpose(edges)
@@ -116,10 +117,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 30) -> D
     open_ = checkpointed(wanted.where("src <> dst"))
     n_open = open_.count()
     while n_open and sides["f"]["depth"] + sides["b"]["depth"] < max_depth:
-        alive = [s for s in sides.values() if s["n"]]
-        if len(alive) < 2:
+        if not all(s["n"] for s in sides.values()):
             break
-        s = min(alive, key=lambda x: x["n"])
+        s = min(sides.values(), key=lambda x: x["n"])
         other = sides["b" if s is sides["f"] else "f"]
         s["depth"] += 1
         live = open_.select(F.col(s["key"]).alias("start")).distinct()
@@ -133,9 +133,10 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 30) -> D
         met = small_or_shuffled(open_, n_open).join(here, s["key"]).join(there, [other["key"], "node"]).groupBy("src", "dst").agg(F.min(F.col("d1") + F.col("d2")).alias("dist"))
         found = checkpointed(met.where(F.col("dist") <= max_depth))
         solved = solved.unionByName(found)
-        open_ = checkpointed(open_.join(found, ["src", "dst"], "left_anti"))
+        alive = s["frontier"].select(F.col("start").alias(s["key"])).distinct()
+        open_ = checkpointed(open_.join(found, ["src", "dst"], "left_anti").join(alive, s["key"], "left_semi"))
         n_open = open_.count()
-    return solved.unionByName(open_.withColumn("dist", F.lit(None).cast("int")))
+    return wanted.join(solved, ["src", "dst"], "left")
 
 
 def random_walks(edges: DataFrame, starts: DataFrame, steps: int, seed: int, max_out_degree: int | None = None) -> DataFrame:
