@@ -49,51 +49,68 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _numpy(t: pa.Table, name: str) -> np.ndarray:
-    return t.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+def _numpy(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.int64, copy=False)
 
 
-def dense_sums(df: DataFrame, key: str, sums: list[str]) -> DataFrame:
-    """Sums of the BIGINT columns ``sums`` for each value of the BIGINT column ``key``.
+def dense_sums(df: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """which INT, key and the sums of the BIGINT columns ``sums`` for each value of each BIGINT column
+    of keys (which: its place in keys), all in one pass over df.
 
-    Rows with a null key take no part, a null summand counts 0; an empty input gives no rows.
-    Sums must stay below 2**53, where the dense double accumulators are exact.
+    A null key counts nowhere, a null summand counts 0; an empty input gives no rows. Sums must
+    stay below 2**53, where the dense double accumulators are exact.
     """
     blocks = shuffle_width(df.sparkSession) * BLOCKS_PER_TASK
-    fields = [pa.field("block", pa.int64()), pa.field("keys", pa.list_(pa.int64())), *(pa.field(s, pa.list_(pa.int64())) for s in sums)]
+    fields = pa.schema([("which", pa.int32()), ("block", pa.int64()), ("keys", pa.list_(pa.int64())), *((f"s{i}", pa.list_(pa.int64())) for i in range(len(sums)))])
+    out = pa.schema([("which", pa.int32()), ("key", pa.int64()), *((f"s{i}", pa.int64()) for i in range(len(sums)))])
 
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches, SPLIT_ROWS):
-            names, arrays = _dense(_numpy(t, "key"), [_numpy(t, s) for s in sums])
-            at = _block_of(names, blocks)
-            order = np.argsort(at, kind="stable")
-            present, starts = np.unique(at[order], return_index=True)
-            offsets = pa.array(np.append(starts, len(order)), pa.int32())
-            columns = [pa.array(present), *(pa.ListArray.from_arrays(offsets, pa.array(a[order])) for a in (names, *arrays))]
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+            weights = [_numpy(t.column(len(keys) + i)) for i in range(len(sums))]
+            for which in range(len(keys)):
+                column = t.column(which)
+                here = column.is_valid().to_numpy(zero_copy_only=False) if column.null_count else slice(None)
+                names, arrays = _dense(_numpy(column.drop_null()), [w[here] for w in weights])
+                at = _block_of(names, blocks)
+                order = np.argsort(at, kind="stable")
+                present, starts = np.unique(at[order], return_index=True)
+                offsets = pa.array(np.append(starts, len(order)), pa.int32())
+                columns = [pa.array(np.full(len(present), which, np.int32)), pa.array(present), *(pa.ListArray.from_arrays(offsets, pa.array(a[order])) for a in (names, *arrays))]
+                yield pa.RecordBatch.from_arrays(columns, schema=fields)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, arrays = np.empty(0, np.int64), [np.empty(0, np.int64) for _ in sums]
-        # The dictionary of the task's blocks grows to its share of the distinct keys; the array
-        # blocks are scattered onto it in portions of at least its own size.
-        held, n = [(names, arrays)], 0
+        # Per column the dictionary of the task's blocks, which grows to its share of the distinct
+        # keys; array blocks are scattered onto it in portions of at least its own size.
+        none = [np.empty(0, np.int64) for _ in range(len(sums) + 1)]
+        state = {which: none for which in range(len(keys))}
+        held: dict[int, list] = {which: [] for which in state}
+        size = dict.fromkeys(state, 0)
+
+        def settle(which: int) -> None:
+            parts = [state[which], *held[which]]
+            names, arrays = _dense(np.concatenate([p[0] for p in parts]), [np.concatenate([p[i + 1] for p in parts]) for i in range(len(sums))])
+            state[which], held[which], size[which] = [names, *arrays], [], 0
+
         for b in batches:
-            t = pa.Table.from_batches([b])
-            flat = [np.asarray(t.column(c).combine_chunks().flatten(), dtype=np.int64) for c in ("keys", *sums)]
-            held.append((flat[0], flat[1:]))
-            n += len(flat[0])
-            if n >= max(SPLIT_ROWS, len(names)):
-                names, arrays = _dense(np.concatenate([h[0] for h in held]), [np.concatenate([h[1][i] for h in held]) for i in range(len(sums))])
-                held, n = [(names, arrays)], 0
-        names, arrays = _dense(np.concatenate([h[0] for h in held]), [np.concatenate([h[1][i] for h in held]) for i in range(len(sums))])
-        out = pa.schema([pa.field("key", pa.int64()), *(pa.field(s, pa.int64()) for s in sums)])
-        for i in range(0, len(names), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]) for a in (names, *arrays)], schema=out)
-
-    clean = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(F.coalesce(F.col(s).cast("long"), F.lit(0).cast("long")).alias(s) for s in sums))
-    lists = ", ".join(f"`{s}` array<bigint>" for s in sums)
-    longs = ", ".join(f"`{s}` bigint" for s in sums)
-    return clean.mapInArrow(accumulate, f"block bigint, keys array<bigint>, {lists}").repartition("block").mapInArrow(reduce, f"key bigint, {longs}")
+            tags = b.column(0).to_numpy()
+            for which in np.unique(tags).tolist():
+                mine = b.filter(pa.array(tags == which))
+                part = [np.asarray(mine.column(i).flatten(), dtype=np.int64) for i in range(2, 3 + len(sums))]
+                held[which].append(part)
+                size[which] += len(part[0])
+                if size[which] >= max(SPLIT_ROWS, len(state[which][0])):
+                    settle(which)
+        for which in state:
+            settle(which)
+            for i in range(0, len(state[which][0]), 100_000):
+                part = [pa.array(a[i : i + 100_000]) for a in state[which]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), which, np.int32)), *part], schema=out)
+
+    clean = df.select(*(F.col(k).cast("long").alias(f"k{i}") for i, k in enumerate(keys)), *(F.coalesce(F.col(s).cast("long"), F.lit(0).cast("long")).alias(f"s{i}") for i, s in enumerate(sums)))
+    lists = ", ".join(f"s{i} array<bigint>" for i in range(len(sums)))
+    longs = ", ".join(f"s{i} bigint" for i in range(len(sums)))
+    told = clean.mapInArrow(accumulate, f"which int, block bigint, keys array<bigint>, {lists}").repartition("which", "block").mapInArrow(reduce, f"which int, key bigint, {longs}")
+    return told.select("which", "key", *(F.col(f"s{i}").alias(s) for i, s in enumerate(sums)))
 
 
 def key_profile(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -103,7 +120,7 @@ def key_profile(df: DataFrame, left: str, right: str) -> DataFrame:
     Nulls: a row with a null in one column counts among the rows of its other key but adds no
     distinct value; a row with two nulls counts nowhere. Repeated rows count each time. The pairs
     are first counted (partial counts before the shuffle, hashed by pair, so no key gathers), then
-    both columns go through dense_sums.
+    both columns go through dense_sums at once.
     """
     pairs = (
         df.where(F.col(left).isNotNull() | F.col(right).isNotNull())
@@ -111,8 +128,5 @@ def key_profile(df: DataFrame, left: str, right: str) -> DataFrame:
         .agg(F.count("*").alias("n_rows"))
         .withColumn("n_distinct", (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("long"))
     )
-    return _profile(pairs, "a", left).unionByName(_profile(pairs, "b", right))
-
-
-def _profile(pairs: DataFrame, key: str, name: str) -> DataFrame:
-    return dense_sums(pairs, key, ["n_rows", "n_distinct"]).select(F.lit(name).alias("column_name"), F.col("key").alias("key_id"), "n_rows", "n_distinct")
+    name = F.when(F.col("which") == 0, left).otherwise(right)
+    return dense_sums(pairs, ["a", "b"], ["n_rows", "n_distinct"]).select(name.alias("column_name"), F.col("key").alias("key_id"), "n_rows", "n_distinct")
