@@ -162,25 +162,25 @@ def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     seen = Counter(x for n in names for x in {x for f in forms(n) for x in grams(f)})
     rarity = {x: math.log(1 + len(names) / (0.5 + n)) for x, n in seen.items()}
     unseen = math.log(1 + 2 * len(names))
-    shards = [spark.sparkContext.broadcast((build_index(names[i : i + SHARD], rarity, unseen), rarity, unseen)) for i in range(0, len(names), SHARD)]
+    shards = [spark.sparkContext.broadcast((set(names[i : i + SHARD]), build_index(names[i : i + SHARD], rarity, unseen), rarity, unseen)) for i in range(0, len(names), SHARD)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(0).to_pylist()
+            told: list[tuple[str | None, float] | None] = [None] * len(raw)
             plain = [normalise(v) for v in raw]
             found: list[list] = [[] for _ in raw]
             for shard in shards:
-                index, weights, rest = shard.value
+                own, index, weights, rest = shard.value
                 for i, s in enumerate(plain):
-                    if s:
+                    if raw[i] in own:
+                        told[i] = raw[i], 1.0
+                    elif s and told[i] is None:
                         found[i] += search(s, index, weights, rest)
-            told = [decide(s, f) if s else (None, 0.0) for s, f in zip(plain, found, strict=True)]
+            told = [t or decide(s, f) for t, s, f in zip(told, plain, found, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())], names=["value", "entry", "score"])
 
-    known = entries.where("entry is not null").select(F.col("entry").alias("value")).distinct()
-    distinct = values.where("value is not null").select("value").distinct()
-    same = distinct.join(known, "value", "left_semi").select("value", F.col("value").alias("entry"), F.lit(1.0).alias("score"))
-    return same.unionByName(distinct.join(known, "value", "left_anti").mapInArrow(score, "value string, entry string, score double"))
+    return values.where("value is not null").select("value").distinct().mapInArrow(score, "value string, entry string, score double")
 
 
 def map_rows(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:

@@ -62,8 +62,8 @@ def _spellings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Links whose title is a free spelling of an entry of title_list, with that entry."""
     told, _ = _spellings(spark, d)
-    links = table(spark, d, "page_links").select("page_id", "link_title").distinct()
-    return matching.map_rows(links, "link_title", told.where("value <> entry")).select("page_id", "link_title", F.col("entry").alias("page_title"))
+    links = table(spark, d, "page_links").select("page_id", "link_title")
+    return matching.map_rows(links, "link_title", told.where("value <> entry")).select("page_id", "link_title", F.col("entry").alias("page_title")).distinct()
 
 
 def p3_values(spark: SparkSession, d: str) -> DataFrame:
