@@ -34,24 +34,24 @@ _PIECES = {
         "html reference": r"&(?:#\d+|#[xX][\da-fA-F]+|[A-Za-z][A-Za-z\d]{1,30});|&(?:nbsp|amp|lt|gt|quot|ndash|mdash|hellip|rsquo|lsquo|#\d{2,6})\b",
         "wiki link": r"\[\[|\]\]|\[(?:https?|ftp)?://|\[https?:",
         "wiki template": r"\{\{|\}\}",
-        "wiki table": r"\{\||\|\}|^\s*\|-|!!|\|\|",
+        "wiki table": r"\{\||\|\}|^[ \t]*\|-|!!|\|\|",
         "wiki quotes": r"''+",
-        "wiki heading": r"^\s*={2,6}[^=\n]|[^=\n]={2,6}\s*$",
+        "wiki heading": r"^[ \t]*={2,6}[^=\n]|[^=\n]={2,6}[ \t]*$",
         "wiki switch": r"__[A-Z]{3,}__",
-        "wiki list": r"^[*#:;]+\s+\S",
+        "wiki list": r"^[*#:;]+[ \t]+\S",
         "markdown strong": r"\*\*|~~|(?<!\w)__(?=\w)|(?<=\w)__(?!\w)|__[^\s_]+__",
         "markdown emphasis": r"(?<![\w*])\*[^\s*][^*\n]*(?<!\s)\*(?![\w*])|(?<!\w)_[^\s_][^_\n]*(?<!\s)_(?!\w)",
         "markdown code": r"`",
         "markdown link": r"\]\(|!\[",
-        "markdown heading": r"^\s{0,3}#{1,6}\s+\S",
-        "markdown quote": r"^\s*>(?:\s|$)",
-        "markdown table": r"\|\s*:?-{3,}|^\s*\|.*\|\s*$",
-        "markdown list": r"^\s*[-+]\s+\S|^\s*\d+[.)]\s+\S",
+        "markdown heading": r"^[ ]{0,3}#{1,6}[ \t]+\S",
+        "markdown quote": r"^[ \t]*>(?:\s|$)",
+        "markdown table": r"\|[ \t]*:?-{3,}|^[ \t]*\|.*\|[ \t]*$",
+        "markdown list": r"^[ \t]*[-+][ \t]+\S|^[ \t]*\d+[.)][ \t]+\S",
         "latex command": r"\\[A-Za-z]+|\\[()\[\]{}$%&#]",
         "latex formula": r"\$\$|\$[^\s$](?:[^$\n]*[^\s$])?\$(?!\d)",
     }.items()
 }
-_ANY = regex.compile(r"[<>&\[\]{}|'=_*~`#$\\+!-]|^\s*\d+[.)]", regex.M)
+_ANY = regex.compile(r"[<>&\[\]{}|'=_*~`#$\\+!-]|^[ \t]*\d+[.)]", regex.M)
 
 
 def pieces(text: str | None) -> list[str]:
@@ -63,9 +63,10 @@ def pieces(text: str | None) -> list[str]:
 
 
 _TOKEN = regex.compile(
-    r"<!--(?P<comment>(?:(?!-->).)*)-->|<(?P<close>/?)(?P<tag>[A-Za-z][\w-]*)(?:\s[^<>]*?)?(?P<self>/?)>|\{\{|\}\}|\{\||\|\}|\[\[|\]\]|\\(?P<env>begin|end)\{(?P<name>\w+\*?)\}",
+    r"<!--(?P<comment>(?:(?!-->|<!--).)*)-->|<(?P<close>/?)(?P<tag>[A-Za-z][\w-]*)(?:\s[^<>]*?)?(?P<self>/?)>|\{\{|\}\}|\{\||\|\}|\[\[|\]\]|\\(?P<env>begin|end)\{(?P<name>\w+\*?)\}",
     regex.S,
 )
+_BLANKS = regex.compile(r"\s+")
 _VOID = {"br", "hr", "img", "references", "wbr", "input", "meta", "link"}
 _OPENS = {"{{": "}}", "{|": "|}", "[[": "]]"}
 
@@ -80,13 +81,13 @@ def subtrees(text: str) -> list[tuple[int, int, int]]:
     def put(until: int, child: int | None = None, after: int = 0) -> None:
         if stack:
             top = stack[-1]
-            top[3].update(regex.sub(r"\s+", " ", text[top[2] : until]).encode())
+            top[3].update(_BLANKS.sub(" ", text[top[2] : until]).encode())
             if child is not None:
                 top[3].update(child.to_bytes(8, "little"))
             top[2] = after
 
     def leaf(a: int, b: int) -> None:
-        h = xxhash.xxh3_64_intdigest(regex.sub(r"\s+", " ", text[a:b]).encode())
+        h = xxhash.xxh3_64_intdigest(_BLANKS.sub(" ", text[a:b]).encode())
         out.append((a, b, h))
         put(a, h, b)
 
@@ -130,10 +131,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-_REF = regex.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>(?:(?!</ref>).)*</ref>|<!--(?:(?!-->).)*-->|</?references\b[^<>]*>|__[A-Z]{3,}__", regex.S | regex.I)
-_CODE = regex.compile(r"```[^\n`]*\n(?P<a>.*?)```|<pre[^<>]*>\s*(?:<code[^<>]*>)?(?P<b>.*?)(?:</code>)?\s*</pre>|<(?:source|syntaxhighlight)[^<>]*>(?P<c>.*?)</(?:source|syntaxhighlight)>|\\begin\{(?:verbatim|lstlisting)\}(?P<d>.*?)\\end\{(?:verbatim|lstlisting)\}", regex.S | regex.I)
+_REF = regex.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>(?:(?!</?ref\b).)*</ref>|<!--(?:(?!-->|<!--).)*-->|</?references\b[^<>]*>|__[A-Z]{3,}__", regex.S | regex.I)
+_CODE = regex.compile(r"```[^\n`]*\n(?P<a>.*?)```|<pre[^<>]*>\s*(?:<code[^<>]*>)?(?P<b>(?:(?!</?pre\b|</code>).)*)(?:</code>)?\s*</pre>|<(?:source|syntaxhighlight)[^<>]*>(?P<c>(?:(?!</?(?:source|syntaxhighlight)\b).)*)</(?:source|syntaxhighlight)>|\\begin\{(?:verbatim|lstlisting)\}(?P<d>(?:(?!\\(?:begin|end)\{(?:verbatim|lstlisting)).)*)\\end\{(?:verbatim|lstlisting)\}", regex.S | regex.I)
 _FORMULA = regex.compile(
-    r"<math[^<>]*>(?P<a>.*?)</math>|\$\$(?P<b>.+?)\$\$|\\\[(?P<c>.+?)\\\]|\\\((?P<d>.+?)\\\)|\\begin\{(?:equation|align|gather|displaymath|math)\*?\}(?P<e>.*?)\\end\{\w+\*?\}|\$(?P<f>[^\s$](?:[^$\n]*[^\s$])?)\$(?!\d)",
+    r"<math[^<>]*>(?P<a>(?:(?!</?math\b).)*)</math>|\$\$(?P<b>[^$]+)\$\$|\\\[(?P<c>(?:(?!\\[\[\]]).)+)\\\]|\\\((?P<d>(?:(?!\\[()]).)+)\\\)|\\begin\{(?:equation|align|gather|displaymath|math)\*?\}(?P<e>(?:(?!\\(?:begin|end)\{).)*)\\end\{\w+\*?\}|\$(?P<f>[^\s$](?:[^$\n]*[^\s$])?)\$(?!\d)",
     regex.S | regex.I,
 )
 _TABLE_ROW = regex.compile(r"(?m)^[ \t]*\|(?!-|\})(.*?)\|?[ \t]*$")
@@ -202,7 +203,7 @@ _STRUCTURE = _sub([
     (r"^[ \t]*[*#:;]+[ \t]+(?=\S)", "• "), (r"^[ \t]*[-+][ \t]+(?=\S)", "• "), (r"^[ \t]*\d+[.)][ \t]+(?=\S)", "• "),
     (r"^[ \t]*>[ \t]?", ""),
     (r"^[ \t]*\{\|.*$|^[ \t]*\|\}[ \t]*$|^[ \t]*\|-.*$|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$", ""),
-    (r"^[ \t]*!(.*)$", r"|\1"), (r"[ \t]*(?:!!|\|\|)[ \t]*", " | "),
+    (r"^[ \t]*!(.*)$", r"|\1"), (r"(?<![ \t])[ \t]*+(?:!!|\|\|)[ \t]*", " | "),
 ])
 _INLINE = _sub([
     (r"!?\[([^\[\]]*)\]\([^()\s]*\)?", r"\1"), (r"\[(?:(?:https?|ftp):)?//[^\s\]]*[ \t]*([^\[\]]*)\]?", r"\1"),
@@ -252,7 +253,7 @@ def clean(text: str) -> str:
         for p, by in _STRUCTURE + _INLINE:
             t = p.sub(by, t)
     t = regex.sub(r"\uE000(\d+)\uE001", lambda m: kept[int(m[1])], t)
-    t = regex.sub(r"[ \xa0]+(?=\n|\Z)", "", regex.sub(r"(?<=\S) {2,}", " ", t))
+    t = regex.sub(r"(?<![ \xa0])[ \xa0]++(?=\n|\Z)", "", regex.sub(r"(?<=\S) {2,}", " ", t))
     return regex.sub(r"\n{3,}", "\n\n", t).strip("\n")
 
 

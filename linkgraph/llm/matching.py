@@ -41,6 +41,7 @@ _SHORT = {v: k for k, v in SHORT_FORMS.items() if v not in "&"} | {"county": "co
 NOTE, NOTE_EDITS = "page", 2
 _EDGE = ' \t"\'“”„«»‘’:?.,;!'
 _NOTE = regex.compile(r"\s*\((\w{2,6})\)(?=\W*(?:,|\Z))")
+_AMP, _ANCHOR, _QUOTES, _GAPS, _REST = (regex.compile(p) for p in ("(?i)&amp;", r"#[^,]*", r"['’‘`´]", r"[-\s]+", r"[^\p{L}\p{M}\p{N}&]"))
 _ARTICLE = regex.compile(r"the[\s-]+")
 _TRANSFER = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "æ": "ae", "œ": "oe", "ß": "ss"})
 
@@ -49,21 +50,21 @@ def normalise(value: str, short: bool = False) -> str:
     """A spelling without what free typing varies: encodings, case, accents, blanks and other
     separators, quotes, anchors, notes, leading articles, inversion (``Y, X of``), short forms.
     With short, words that have a short form are shortened instead."""
-    s = html.unescape(regex.sub("(?i)&amp;", "&", unicodedata.normalize("NFKC", value)))
-    s = regex.sub(r"#[^,]*", "", unquote(s, errors="replace"))
+    s = html.unescape(_AMP.sub("&", unicodedata.normalize("NFKC", value)))
+    s = _ANCHOR.sub("", unquote(s, errors="replace"))
     s = _NOTE.sub(lambda m: "" if edits(m[1].lower(), NOTE, NOTE_EDITS) <= NOTE_EDITS else m[0], s.replace("_", " ")).strip(_EDGE + " ")
     s = "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c)).translate(_TRANSFER)
-    s = regex.sub(r"['’‘`´]", "", s)
+    s = _QUOTES.sub("", s)
     first, comma, rest = s.partition(",")
     if comma:
         s = f"{rest.strip(_EDGE)} {_ARTICLE.sub('', first.strip(_EDGE))}"
-    words = regex.split(r"[-\s]+", s.strip(_EDGE))
+    words = _GAPS.split( s.strip(_EDGE))
     if len(words) > 1 and edits(words[0], "the", 1) <= 1:
         words = words[1:]
     words = [_SHORT.get(w, w) if short else SHORT_FORMS.get(w.rstrip("."), w) for w in words]
     if words[:1] == ["company"]:  # Co. in front stands for County
         words[0] = "county"
-    s = regex.sub(r"[^\p{L}\p{M}\p{N}&]", "", "".join(words))
+    s = _REST.sub("", "".join(words))
     return s.replace("aa", "a").replace("oe", "o")
 
 

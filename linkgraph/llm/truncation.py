@@ -50,14 +50,15 @@ _FIELD = regex.compile(r"\s*[\p{L}][\p{L} _-]*:\s+\S")
 _WORD_INSIDE = regex.compile(r"[\p{L}\p{M}]+(?=[^\p{L}\p{M}])")
 _LAST_WORD = regex.compile(r"[\p{L}\p{M}]+\Z")
 _NAME = regex.compile(r"\p{Lu}[\p{L}\p{M}’'–-]*")
+_DIGIT, _VALUES = regex.compile(r"\d"), regex.compile(r": |, ")
 _URL = regex.compile(r"\w+://\S+\Z")
 
 
 def line_shape(line: str) -> str:
     """A line with names and digits made alike; of a line ``key: a, b`` only its last value."""
     if _FIELD.match(line):
-        line = "key: " + regex.split(r": |, ", line)[-1]
-    return regex.sub(r"\d", "0", _NAME.sub("N", line.strip()))
+        line = "key: " + _VALUES.split(line)[-1]
+    return _DIGIT.sub("0", _NAME.sub("N", line.strip()))
 
 
 def ending(text: str) -> tuple[str, str | None, str | None]:
@@ -65,12 +66,12 @@ def ending(text: str) -> tuple[str, str | None, str | None]:
     t = text.rstrip()
     if not t:
         return "blank", None, None
-    if _MARK.search(t):
+    tail = t[-2000:]
+    if _MARK.search(tail[-40:]):
         return "marked", None, None
     last = t[t.rfind("\n") + 1 :]
-    if _CLOSED.search(t) or _SIGNED.match(last) or _URL.match(last):
+    if _CLOSED.search(tail[-40:]) or _SIGNED.match(last) or _URL.match(last):
         return "closed", None, None
-    tail = t[-2000:]
     if _CLOSED.search(_INNER.sub("", tail)):
         return "closed", None, None
     bare = tail

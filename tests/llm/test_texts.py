@@ -167,3 +167,13 @@ def test_find_cut(spark):
 
 def test_ending_of_long_text():
     assert C.ending("word " * 200_000 + "end")[0] == "open" and C.ending("<b>x</b> " * 50_000)[0] == "open"
+
+
+@pytest.mark.parametrize("piece", ["\\( ", "$$ ", "<ref>x ", "<!-- ", "<math> ", "<pre>", "[[a|", "{{a|", "\n", "* ", "\\begin{equation}", "```\n", "== ", "| ", "''", "[x](", "<b ", "\t "])
+def test_long_broken_markup_takes_linear_time(piece):
+    import time
+
+    t = "start " + piece * 30_000 + " end"
+    began = time.time()
+    M.pieces(t), M.clean(t), M.subtrees(t), C.ending(t)
+    assert time.time() - began < 20
