@@ -38,7 +38,7 @@ LEAD_VIEW_CHARS, LEAD_VIEW_LEAST = 5000, 2000
 
 def strip_blanks(c: Column) -> Column:
     """Removes white space at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.regexp_replace(c, rf"(?U)^{_BLANK}++|(?<!{_BLANK}){_BLANK}++$", "")
 
 
 def normalize_title(c: Column) -> Column:
