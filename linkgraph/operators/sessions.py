@@ -166,7 +166,7 @@ def metrics(traces: DataFrame) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))
     median = counts.select("clicks", upto.alias("upto"), total.alias("total")).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("clicks").cast("int").alias("median_clicks_success"))
     some = F.col("n_scored") > 0
-    told = base.withColumn("one", F.lit(1)).join(F.broadcast(median.withColumn("one", F.lit(1))), "one")
+    told = base.withColumn("median_clicks_success", median.scalar())
     return told.select(
         "n_total", "n_errors", "n_scored", F.when(some, F.col("n_success")).alias("n_success"), F.when(some, F.col("n_failure")).alias("n_failure"),
         F.when(some, F.col("n_success") / F.col("n_scored")).alias("success_rate"), F.when(some, F.coalesce("all", F.lit(0.0))).alias("avg_clicks_all"),

@@ -141,7 +141,7 @@ def table_maxima(spark: SparkSession, d: str) -> DataFrame:
     """Number of canonical pages, greatest page id and node, greatest redirect; 0 for empty tables."""
     a = tables.canonical(spark, d).agg(F.count("*").alias("n_canonical"), F.coalesce(F.max("page_id"), F.lit(0)).alias("max_page_id"), F.coalesce(F.max("node_idx"), F.lit(0)).alias("max_node"))
     b = tables.redirects(spark, d).agg(F.coalesce(F.max("rd_from"), F.lit(0)).alias("max_redirect"))
-    return a.withColumn("one", F.lit(1)).join(F.broadcast(b.withColumn("one", F.lit(1))), "one").drop("one")
+    return a.withColumn("max_redirect", b.scalar())
 
 
 def pending_work(spark: SparkSession, d: str) -> DataFrame:

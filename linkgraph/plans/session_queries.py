@@ -125,6 +125,8 @@ ORACLE = {
     "eval_metrics": f"""{BASE}, {_EPISODES}, {_SCORES} SELECT count(*) AS n_total, 0::BIGINT AS n_errors, count(*) AS n_scored, count(*) FILTER (WHERE success) AS n_success, count(*) FILTER (WHERE NOT success) AS n_failure,
         round(avg(success::INT), 6) AS success_rate, round(avg(clicks), 6) AS avg_clicks_all, round(avg(clicks) FILTER (WHERE success), 6) AS avg_clicks_success, round(avg(optimality_gap), 6) AS avg_optimality_gap,
         list_sort(list(clicks) FILTER (WHERE success))[(count(*) FILTER (WHERE success)) // 2 + 1] AS median_clicks_success FROM scores""",
+    "derived_episode_ids": """WITH h AS (SELECT episode_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('linkgraph.' || split || '.' || start_page_id || '.' || target_page_id || '.' || seed)) AS x FROM episode)
+        SELECT episode_id, x[1:12] || '5' || x[14:16] || substr('89ab', 1 + (strpos('0123456789abcdef', x[17]) - 1) % 4, 1) || x[18:32] AS derived_id FROM h""",
     "difficulty_histogram": "SELECT difficulty, count(*) AS n_episodes FROM episode GROUP BY 1",
     "difficulty_rules": """SELECT episode_id, shortest_path_len, CASE WHEN shortest_path_len <= 4 THEN 'easy' WHEN shortest_path_len = 5 THEN 'medium' ELSE 'hard' END AS bucket,
         greatest(2 * shortest_path_len + 4, 12) AS limit_by_rule, greatest(3 * shortest_path_len + 4, 20) AS bonus_limit FROM episode""",
