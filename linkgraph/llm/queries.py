@@ -151,9 +151,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     planned = mixing.plan(sizes, table(spark, d, "source_weight"))
     got = mixing.mix(sizes, planned).groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"))
     want = spark.createDataFrame([(p["source"], p["share"], p["available"], p["capped"]) for p in planned], "source string, target_share double, available_tokens bigint, capped boolean")
-    total = got.agg(F.sum("mix_tokens").alias("total")).withColumn("one", F.lit(1))
-    told = F.broadcast(want).join(got, "source", "left").withColumn("mix_tokens", F.coalesce("mix_tokens", F.lit(0).cast("long"))).withColumn("one", F.lit(1))
-    return told.join(F.broadcast(total), "one").select("source", "target_share", "available_tokens", "mix_tokens", (F.col("mix_tokens") / F.col("total")).alias("share_reached"), "capped")
+    total = got.agg(F.sum("mix_tokens").alias("total")).scalar()
+    told = F.broadcast(want).join(got, "source", "left").withColumn("mix_tokens", F.coalesce("mix_tokens", F.lit(0).cast("long")))
+    return told.select("source", "target_share", "available_tokens", "mix_tokens", (F.col("mix_tokens") / total).alias("share_reached"), "capped")
 
 
 def _cut(spark: SparkSession, d: str) -> DataFrame:

@@ -136,10 +136,10 @@ def quotas(items: DataFrame, targets: DataFrame) -> DataFrame:
     """
     targets = targets.select("target_set", "cat_a", "cat_b", "share_permille", "sample_permille", "min_rows")
     counts = items.groupBy("cat_a", "cat_b").agg(F.count("*").alias("available"))
-    total = items.agg(F.count("*").alias("n_usable")).withColumn("one", F.lit(1))
+    total = items.agg(F.count("*").alias("n_usable"))
     told = (
         targets.join(counts, ["cat_a", "cat_b"], "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
-        .withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")
+        .withColumn("n_usable", total.scalar())
         .withColumn("need", F.greatest("min_rows", F.expr("(n_usable * sample_permille * share_permille + 999999) div 1000000")))
         .withColumn("met", F.col("available") >= F.col("need"))
     )
