@@ -2,8 +2,9 @@
 
 A text is read into a tree of elements (tags, comments, templates, wiki tables, file and category
 links, LaTeX environments). The hash of an element's subtree is counted over the pages of its host
-(the field a text comes from stands for the site); subtrees that recur on many pages of a host are
-boilerplate and deleted. What remains is converted to plain text that keeps headings as lines of
+(the field a text comes from stands for the site); subtrees of containers (blocks, templates, wiki
+tables) that recur on many pages of a host are boilerplate and deleted, but not line breaks, links,
+headings, list items, code or formulas, nor what holds headings, code or formulas. What remains is converted to plain text that keeps headings as lines of
 their own, list items after a bullet, code indented, table cells apart by tabs and formulas
 between dollar signs.
 """
@@ -11,6 +12,7 @@ between dollar signs.
 from __future__ import annotations
 
 import html
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -121,6 +123,28 @@ def subtrees(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Page furniture, whatever it holds; and blocks that may hold content.
+_FURNITURE = regex.compile(r"<(?:nav|header|footer|aside|form|script|style|noscript)\b", regex.I)
+_BLOCK = regex.compile(r"<(?:div|section|article|main|table|center|blockquote|p|gallery|figure)\b|\{\||\{\{(?P<template>[^|{}]*+)", regex.I)
+#: What is kept whatever recurs: headings, code and formulas.
+_KEPT = regex.compile(r"<(?:h[1-6]|pre|code|source|syntaxhighlight|math)\b|^[ \t]*={2,6}[^=\n]|^[ ]{0,3}#{1,6}[ \t]+\S|```|\$|\\[\[(]|\\(?:begin|(?:sub)*section)\b|\{\{[ \t]*(?:math|code)\b", regex.M | regex.I)
+
+
+def containers(text: str, elements: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of a text's elements that may be deleted as boilerplate."""
+    kept = [m.start() for m in _KEPT.finditer(text)] if elements else []
+    out = []
+    for a, b, h in elements:
+        if _FURNITURE.match(text, a):
+            out.append((a, b, h))
+        elif m := _BLOCK.match(text, a):
+            name = (m["template"] or "").strip().lower()
+            at = bisect_left(kept, a)
+            if name not in _TEXT_TEMPLATES and not name.startswith("formatnum:") and (at == len(kept) or kept[at] >= b):
+                out.append((a, b, h))
+    return out
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """text without the spans, which may be nested."""
     out, at = [], 0
@@ -131,6 +155,16 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def n_within(elements: list[tuple[int, int, int]], spans: list[tuple[int, int]]) -> int:
+    """How many of the elements lie in a span; spans may be nested."""
+    n, end, left = 0, -1, sorted(spans, reverse=True)
+    for a, b, _ in sorted(elements):
+        while left and left[-1][0] <= a:
+            end = max(end, left.pop()[1])
+        n += b <= end
+    return n
+
+
 _REF = regex.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>(?:(?!</?ref\b).)*</ref>|<!--(?:(?!-->|<!--).)*-->|</?references\b[^<>]*>|__[A-Z]{3,}__", regex.S | regex.I)
 _CODE = regex.compile(r"```[^\n`]*\n(?P<a>.*?)```|<pre[^<>]*>\s*(?:<code[^<>]*>)?(?P<b>(?:(?!</?pre\b|</code>).)*)(?:</code>)?\s*</pre>|<(?:source|syntaxhighlight)[^<>]*>(?P<c>(?:(?!</?(?:source|syntaxhighlight)\b).)*)</(?:source|syntaxhighlight)>|\\begin\{(?:verbatim|lstlisting)\}(?P<d>(?:(?!\\(?:begin|end)\{(?:verbatim|lstlisting)).)*)\\end\{(?:verbatim|lstlisting)\}", regex.S | regex.I)
 _FORMULA = regex.compile(
@@ -261,19 +295,20 @@ def clean_fields(texts: DataFrame) -> DataFrame:
     """host, page_id, section_no, n_kinds, n_removed, clean of every non-null text.
 
     texts: host STRING, page_id BIGINT, section_no INT, text STRING. n_kinds counts the kinds of
-    markup in a text (0: it is left as it is), n_removed its boilerplate elements. Two passes over
-    the texts; between them the subtree counts, of which the recurring ones are few: their number
-    is at most the mean number of elements a page divided by RECUR_SHARE.
+    markup in a text (0: it is left as it is), n_removed the elements deleted as boilerplate, those
+    inside of others included. Two passes over the texts; between them the subtree counts of
+    containers, of which the recurring ones are few: their number is at most the mean number of
+    containers a page divided by RECUR_SHARE.
     """
     present = texts.where("text is not null").select("host", "page_id", "section_no", "text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = {(h, p, x - (1 << 63)) for h, p, t in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True) if _TOKEN.search(t) for _, _, x in subtrees(t)}
+            found = {(h, p, x - (1 << 63)) for h, p, t in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True) if _TOKEN.search(t) for _, _, x in containers(t, subtrees(t))}
             rows = list(zip(*found, strict=True)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["host", "page_id", "subtree"])
 
-    pages = present.groupBy("host").agg(F.approx_count_distinct("page_id").alias("n_pages"))
+    pages = present.select("host", "page_id").distinct().groupBy("host").agg(F.count("page_id").alias("n_pages"))
     counts = present.mapInArrow(hashes, "host string, page_id bigint, subtree bigint").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     often = checkpointed(counts.where(F.col("n") >= RECUR_PAGES).join(F.broadcast(pages), "host").where(F.col("n") >= RECUR_SHARE * F.col("n_pages")).select("host", "subtree"))
     boilerplate = texts.sparkSession.sparkContext.broadcast({(r["host"], r["subtree"]) for r in often.toLocalIterator()})
@@ -284,9 +319,10 @@ def clean_fields(texts: DataFrame) -> DataFrame:
             kinds, removed, out = [], [], []
             for h, t in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
                 k = len(pieces(t))
-                spans = [(x, y) for x, y, s in subtrees(t) if (h, s - (1 << 63)) in gone] if k and gone else []
+                elements = subtrees(t) if k and gone else []
+                spans = [(x, y) for x, y, s in containers(t, elements) if (h, s - (1 << 63)) in gone]
                 kinds.append(k)
-                removed.append(len(spans))
+                removed.append(n_within(elements, spans))
                 out.append(clean(without(t, spans) if spans else t) if k else t)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kinds, pa.int32()), pa.array(removed, pa.int32()), pa.array(out, pa.string())], names=["host", "page_id", "section_no", "n_kinds", "n_removed", "clean"])
 

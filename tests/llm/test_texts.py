@@ -65,6 +65,19 @@ def test_clean_fields(spark, monkeypatch):
     assert M.clean_fields(df.where("false")).count() == 0
 
 
+def test_recurring_content_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(M, "RECUR_PAGES", 5)
+    keep = {
+        "location: A<br/>B": "location: A\nB", "<h2>History</h2>\nx": "History\n\nx", "see [[Country]] x": "see Country x", "is <math>E = k</math> x": "is $E = k$ x", "\\begin{equation}a_k\\end{equation}x": "$a_k$x",
+        "<ul>\n<li>one</li>\n</ul>x": "• one\n\nx", "<pre>a := 2;</pre>x": "    a := 2;\nx", "{{nowrap|54 m}} x": "54 m x", "<div><h2>History</h2></div>x": "History\n\nx",
+        "x <nav><h2>Menu</h2>Home</nav>{{stub}} y": "x y", "<div>menu</div>x": "x",
+    }
+    texts = list(keep)
+    data = [(f"h{i}", p, -1, t) for i, t in enumerate(texts) for p in range(30)]
+    got = {(r["host"], r["clean"]) for r in M.clean_fields(spark.createDataFrame(data, "host string, page_id bigint, section_no int, text string")).collect()}
+    assert got == {(f"h{i}", keep[t]) for i, t in enumerate(texts)}
+
+
 def test_clean_of_long_text():
     t = "word <b>x</b> [[a|b]] {{t|u}} $y$ \n" * 20_000
     assert M.pieces(M.clean(t).replace("$", "")) == []
