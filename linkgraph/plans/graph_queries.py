@@ -85,8 +85,8 @@ def bounded_bfs_backward(spark: SparkSession, d: str) -> DataFrame:
     return graph.bounded_bfs(edges, _listed(spark, d, nodes).withColumnRenamed("node_idx", "src"), 1, "bwd")
 
 
-def _episode_pairs(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
-    ends = table(spark, d, "episode").select("start_page_id", "target_page_id").distinct()
+def _episode_pairs(episodes: DataFrame, nodes: DataFrame) -> DataFrame:
+    ends = episodes.select("start_page_id", "target_page_id").distinct()
     key = nodes.select("page_id", "node_idx")
     return ends.join(key.toDF("start_page_id", "src"), "start_page_id").join(key.toDF("target_page_id", "dst"), "target_page_id").select("src", "dst")
 
@@ -94,7 +94,7 @@ def _episode_pairs(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     """Distance between start and target of every episode."""
     edges, nodes = tables.edges(spark, d)
-    return graph.shortest_paths(edges, _episode_pairs(spark, d, nodes))
+    return graph.shortest_paths(edges, _episode_pairs(table(spark, d, "episode"), nodes))
 
 
 def random_walks(spark: SparkSession, d: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.operators import sampling, sessions
+from linkgraph.operators import graph, sampling, sessions
 from linkgraph.plans import tables
+from linkgraph.plans.graph_queries import _episode_pairs
 from linkgraph.plans.session import table
 from linkgraph.plans.tables import BASE
 from linkgraph.plans.text_queries import _legal
@@ -50,9 +51,12 @@ def _states(episodes: DataFrame) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """The exact distance counts; where there is none, the sampled length."""
     episodes = _episodes(spark, d)
-    none = spark.createDataFrame([], "start_page_id bigint, target_page_id bigint, dist int")
-    return sessions.score(_states(episodes), episodes, none, tables.canonical(spark, d))
+    edges, nodes = tables.edges(spark, d)
+    key = nodes.select("page_id", "node_idx")
+    dist = graph.shortest_paths(edges, _episode_pairs(episodes, nodes)).join(key.toDF("start_page_id", "src"), "src").join(key.toDF("target_page_id", "dst"), "dst")
+    return sessions.score(_states(episodes), episodes, dist.select("start_page_id", "target_page_id", "dist"), nodes)
 
 
 def episode_scores(spark: SparkSession, d: str) -> DataFrame:
