@@ -62,17 +62,16 @@ def replay_clicks(episodes: DataFrame, log: DataFrame, legal: DataFrame, invalid
         F.lit(0).alias("clicks"), F.lit(0).alias("invalid_actions"), F.lit(None).cast("string").alias("terminated_reason"),
     ))
     legal, log = checkpointed(legal.select("page_id", "title", "dst")), checkpointed(log)
-    last = log.agg(F.max("seq")).first()[0] or 0
-    n = state.count()
-    for seq in range(1, last + 1):
+    state = checkpointed(state.join(log.groupBy("episode_id").agg(F.max("seq").alias("last_seq")), "episode_id", "left"))
+    n, seq = state.count(), 0
+    while state.where(F.col("terminated_reason").isNull() & (F.col("last_seq") > seq)).take(1):
+        seq += 1
         now = log.where(F.col("seq") == seq).select("episode_id", normalize_title(F.col("title")).alias("title"), F.lit(True).alias("acts"))
         told = state.join(now, "episode_id", "left").withColumn("acts", F.coalesce("acts", F.lit(False)) & F.col("terminated_reason").isNull())
         key = told.where("acts").select("episode_id", F.col("current_page_id").alias("page_id"), "title")
         hits = legal.join(small_or_shuffled(key, n), ["page_id", "title"]).select("episode_id", "dst")
-        state = checkpointed(_moved(told.join(hits, "episode_id", "left"), invalid_limit))
-        if not state.where("terminated_reason is null").take(1):
-            break
-    return state
+        state = checkpointed(_moved(told.join(hits, "episode_id", "left"), invalid_limit, F.col("last_seq")))
+    return state.drop("last_seq")
 
 
 def _moved(told: DataFrame, invalid_limit: int = INVALID_LIMIT, *more: Column) -> DataFrame:

@@ -83,9 +83,9 @@ def derived_episode_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def click_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Every episode as a player who clicks the links of its start page in order."""
+    """Every episode as a player who clicks all links of its start page in order."""
     episodes = _episodes(spark, d)
-    links = table(spark, d, "page_links").where("link_title is not null").groupBy(F.col("page_id").alias("start_page_id")).agg(F.slice(F.array_sort(F.collect_set(F.struct("ordinal", "link_title"))), 1, 6).alias("l"))
+    links = table(spark, d, "page_links").where("link_title is not null").groupBy(F.col("page_id").alias("start_page_id")).agg(F.array_sort(F.collect_set(F.struct("ordinal", "link_title"))).alias("l"))
     log = episodes.join(links, "start_page_id").select("episode_id", F.posexplode("l.link_title").alias("i", "title")).select("episode_id", (F.col("i") + 1).alias("seq"), "title")
     return sessions.replay_clicks(episodes, log, _legal(spark, d)).select("episode_id", "current_page_id", "clicks", "invalid_actions", "terminated_reason")
 

@@ -33,3 +33,9 @@ def test_scores_by_exact_distance(spark, world):
     got = Q.episode_scores(spark, world).select("episode_id", "success", "clicks", "shortest_path_len", "optimality_gap")
     assert rows(got) == [("e1", True, 1, 2, -1), ("e2", True, 0, 3, -3), ("e3", True, 6, 5, 1), ("e4", False, 12, 9, None), ("e5", True, 5, 1, 4)]
     assert Q.eval_metrics(spark, world).first()["avg_optimality_gap"] == 0.25
+
+
+def test_click_replay_of_all_links(spark, world):
+    """The eleventh link and those after it are clicked as well: e4 ends by its step limit of 12."""
+    got = {r[0]: tuple(r[1:]) for r in rows(Q.click_replay(spark, world))}
+    assert got["e4"] == (13, 12, 0, "step_limit") and got["e1"] == (3, 2, 0, "success") and got["e5"] == (2, 1, 0, "success")
