@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.operators.skew import join_unique
-from linkgraph.plans.session import checkpointed, shuffle_width
+from linkgraph.plans.session import checkpointed, shuffle_width, small_or_shuffled
 
 #: A length of a source is a limit if at least so many texts have it, and so many times more than the lengths around it.
 PILE_ROWS, PILE_TIMES, PILE_AROUND = 5, 8, 20
 #: ... and if this share of those that end openly end in a broken word or line.
 PILE_BROKEN = 0.3
-#: A line shape counts as complete from so many texts on.
+#: A line shape counts as complete from so many texts on ...
 SHAPE_TEXTS = 2
+#: ... that are this share of the texts of a source or, for lines ``key: value`` that end texts, of the texts that end with that key.
+SHAPE_SHARE, FINAL_SHARE = 0.0001, 0.02
 #: Distinct words and shapes that a task gathers before it sends their counts on.
 HELD = 300_000
 
@@ -46,7 +48,9 @@ _AFTER = [
 _PIECES_AFTER = 12
 _INNER = regex.compile(r"(?:</[A-Za-z][^<>]*>|\}|\*\*|~~|''+|`)+\Z")
 _SIGNED = regex.compile(r"--? .*\p{L}, \d{1,2} \p{Lu}\p{L}{2,}(?: \d{4})?\Z")
-_FIELD = regex.compile(r"\s*[\p{L}][\p{L} _-]*:\s+\S")
+#: A line ``key: value``: a key of at most three words in a line of at most so many characters.
+FIELD_CHARS = 200
+_FIELD = regex.compile(r"\s*(\p{L}[\p{L}_-]{0,29}(?: [\p{L}_-]{1,30}){0,2}):\s+\S")
 _WORD_INSIDE = regex.compile(r"[\p{L}\p{M}]+(?=[^\p{L}\p{M}])")
 _LAST_WORD = regex.compile(r"[\p{L}\p{M}]+\Z")
 _NAME = regex.compile(r"\p{Lu}[\p{L}\p{M}’'–-]*")
@@ -56,11 +60,17 @@ _URL = regex.compile(r"\w+://\S+\Z")
 
 def line_shape(line: str) -> str:
     """A line with names and digits made alike; of a line ``key: a, b`` only its last value."""
-    if _FIELD.match(line):
+    if len(line) <= FIELD_CHARS and _FIELD.match(line):
         line = "key: " + _VALUES.split(line)[-1]
     return _DIGIT.sub("0", _NAME.sub("N", line.strip()))
 
 
+def line_key(line: str) -> str | None:
+    """The key of a line ``key: value``; None for other lines."""
+    m = _FIELD.match(line) if len(line) <= FIELD_CHARS else None
+    return m[1] if m else None
+
+
 def ending(text: str) -> tuple[str, str | None, str | None]:
     """How a text ends: marked, closed, open or blank; its last word and the shape of its last line."""
     t = text.rstrip()
@@ -88,11 +98,11 @@ def ending(text: str) -> tuple[str, str | None, str | None]:
 
 def _facts(documents: DataFrame) -> DataFrame:
     """One pass over the texts: a row for each text, and counts of inner words and line shapes."""
-    schema = "kind string, doc_id bigint, source string, n_chars bigint, ending string, last_word string, shape string, n bigint"
-    names = ["kind", "doc_id", "source", "n_chars", "ending", "last_word", "shape", "n"]
+    schema = "kind string, doc_id bigint, source string, n_chars bigint, ending string, last_word string, shape string, field string, n bigint"
+    names = ["kind", "doc_id", "source", "n_chars", "ending", "last_word", "shape", "field", "n"]
 
     def rows(tuples: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*tuples, strict=True), kinds, strict=True)], names=names)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +110,8 @@ def _facts(documents: DataFrame) -> DataFrame:
         shapes: Counter = Counter()
 
         def counts() -> list[tuple]:
-            out = [("word", None, None, None, None, w, None, n) for w, n in words.items()]
-            out += [("shape", None, s, None, None, None, x, n) for (s, x), n in shapes.items()]
+            out = [("word", None, None, None, None, w, None, None, n) for w, n in words.items()]
+            out += [("shape", None, s, None, None, None, x, None, n) for (s, x), n in shapes.items()]
             words.clear()
             shapes.clear()
             return out
@@ -110,7 +120,8 @@ def _facts(documents: DataFrame) -> DataFrame:
             out = []
             for i, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 how, word, shape = ending(t)
-                out.append(("text", i, s, len(t), how, word, shape, 1))
+                field = line_key(t.rstrip().rpartition("\n")[2]) if how == "open" else None
+                out.append(("text", i, s, len(t), how, word, shape, field, 1))
                 if how != "blank":
                     words.update(set(_WORD_INSIDE.findall(t.rstrip())))
                     shapes.update({(s, line_shape(x)) for x in t.split("\n")[:-1] if x and len(x) < 300})
@@ -185,17 +196,24 @@ def find_cut(documents: DataFrame, others: DataFrame) -> DataFrame:
     piles = lengths.withColumn("usual", usual).where((F.col("n") >= PILE_ROWS) & (F.col("n") >= PILE_TIMES * F.greatest("usual", F.lit(0.25)))).select("source", "n_chars")
 
     words = facts.where("kind = 'word'").select("last_word").distinct().withColumn("known", F.lit(True))
-    shapes = facts.where("kind = 'shape'").groupBy("source", "shape").agg(F.sum("n").alias("n"))
+    sources = checkpointed(texts.where("ending <> 'blank'").groupBy(F.coalesce("source", F.lit("")).alias("of")).agg(F.count("*").alias("n_texts")))
+    shapes = facts.where("kind = 'shape'").groupBy(F.coalesce("source", F.lit("")).alias("of"), "shape").agg(F.sum("n").alias("n"))
+    shapes = shapes.join(small_or_shuffled(sources, sources.count()), "of").withColumn("often", F.col("n") >= SHAPE_SHARE * F.col("n_texts"))
     # A shape with a word or figure of its own is known wherever it occurs, one of names only in its source.
     plain = F.regexp_like("shape", F.lit(r"[\p{Ll}\p{Lo}0]"))
-    # Lines ``key: value`` that end texts, such as categories, are never followed by others.
-    final = open_.where(F.startswith("shape", F.lit("key: "))).groupBy("shape").agg(F.count("*").alias("n")).where(F.col("n") > SHAPE_TEXTS).select("shape", "n")
-    everywhere = shapes.where(plain).select("shape", "n").unionByName(final).groupBy("shape").agg(F.sum("n").alias("n")).where(F.col("n") >= SHAPE_TEXTS).select(F.col("shape").alias("shape_key"), F.lit(True).alias("usual_line"))
-    own = shapes.where(~plain & (F.col("n") >= SHAPE_TEXTS)).select(F.concat_ws("\t", F.coalesce("source", F.lit("")), "shape").alias("shape_key"), F.lit(True).alias("usual_line"))
-
-    told = open_.withColumn("shape_key", F.when(plain, F.col("shape")).otherwise(F.concat_ws("\t", F.coalesce("source", F.lit("")), "shape")))
-    told = checkpointed(join_unique(checkpointed(told), words, "last_word", "left"))
-    told = checkpointed(join_unique(told, everywhere.unionByName(own), "shape_key", "left"))
+    told = checkpointed(join_unique(checkpointed(open_), words, "last_word", "left"))
+    # Lines ``key: value`` that end texts, such as categories, are never followed by others; of those whose last word is known.
+    final = told.where(F.col("field").isNotNull() & (F.col("last_word").isNull() | F.col("known"))).groupBy("field", "shape").agg(F.count("*").alias("n"))
+    with_field = final.groupBy("field").agg(F.sum("n").alias("n_texts"))
+    final = final.join(with_field, "field").where((F.col("n") > SHAPE_TEXTS) & (F.col("n") >= FINAL_SHARE * F.col("n_texts"))).select("field", "shape", F.lit(True).alias("usual_end"))
+    everywhere = shapes.where(plain).groupBy("shape").agg(F.sum("n").alias("n"), F.max("often").alias("often")).where(F.col("often") & (F.col("n") >= SHAPE_TEXTS)).select(F.col("shape").alias("shape_key"), F.lit(True).alias("usual_line"))
+    own = shapes.where(~plain & F.col("often") & (F.col("n") >= SHAPE_TEXTS)).select(F.concat_ws("\t", "of", "shape").alias("shape_key"), F.lit(True).alias("usual_line"))
+
+    told = told.withColumn("shape_key", F.when(plain, F.col("shape")).otherwise(F.concat_ws("\t", F.coalesce("source", F.lit("")), "shape")))
+    told = checkpointed(join_unique(checkpointed(told), everywhere.unionByName(own), "shape_key", "left"))
+    told = told.withColumn("final_key", F.concat("field", F.lit("\t"), "shape"))
+    final = final.select(F.concat("field", F.lit("\t"), "shape").alias("final_key"), "usual_end")
+    told = checkpointed(join_unique(checkpointed(told), final, "final_key", "left")).withColumn("usual_line", F.coalesce("usual_line", "usual_end"))
     look = F.when(F.col("last_word").isNotNull() & F.col("known").isNull(), "word").when(F.col("usual_line").isNull(), "line")
     told = checkpointed(told.join(keyed, "doc_id", "left").withColumn("look", look))
     # Lengths of short texts may pile up by nature; a limit is where many texts of that length also look cut.

@@ -178,6 +178,17 @@ def test_find_cut(spark):
     assert C.find_cut(documents.where("false"), others.where("false")).count() == 0
 
 
+def test_cuts_are_no_evidence_of_whole_lines(spark):
+    """However often a cut ending recurs, it stays a cut; a usual last field stays whole."""
+    whole = [f"Why the hall was sold is not known: the records of the guild were lost in {1500 + i}." for i in range(100)]
+    fields = [f"The hall stands.\nCategory: {a} in Brundish" for a in ("Works", "Halls") for _ in range(50)] + ["Works and Halls stand in Brundish."]
+    cut = [f"Why the {x} was sold is not known: the records of the" for x in ("mill", "inn", "barn", "dam", "well")] + ["The hall stands.\nCategory: Works in the"] + ["Hall of the town.\nlabel: the guild of"] * 2
+    texts = whole + fields + cut
+    documents = spark.createDataFrame(list(enumerate(["s"] * len(texts))), "doc_id bigint, source string").join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id")
+    got = {x["doc_id"] for x in C.find_cut(documents, spark.createDataFrame([], "text string")).where("reason is not null").collect()}
+    assert got == set(range(len(whole) + len(fields), len(texts)))
+
+
 def test_ending_of_long_text():
     assert C.ending("word " * 200_000 + "end")[0] == "open" and C.ending("<b>x</b> " * 50_000)[0] == "open"
 
