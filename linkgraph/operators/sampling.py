@@ -11,6 +11,8 @@ from linkgraph.plans.session import checkpointed
 
 #: Name under which episode ids are derived; a parameter of the functions below.
 ID_PREFIX = "linkgraph"
+#: Pairs that a quick sample verifies in one round.
+QUICK_ROUND = 500
 # Fixed value: the DNS namespace of name-based UUIDs (RFC 4122).
 _DNS = "6ba7b8109dad11d180b400c04fd430c8"
 
@@ -132,13 +134,20 @@ def sample_episodes(
 def quick_sample(edges: DataFrame, pages: DataFrame, want: dict[str, int] | None = None, attempts: int = 5000, seed: int = 42, prefix: str = ID_PREFIX, split: str = "dev") -> DataFrame:
     """Episodes from random pairs of all pages, the first of each difficulty up to the wanted number, verified to depth 7.
 
-    Pages without links take part and a pair may come twice, as proposals are independent.
+    Pages without links take part and a pair may come twice, as proposals are independent. Pairs are
+    verified in rounds until every difficulty is filled or all attempts are made; the rounds don't change the result.
     """
     from pyspark.sql import Window
 
     want = want or {"easy": 10, "medium": 10, "hard": 2}
-    draws = checkpointed(_proposals(pages, attempts, seed, 0).where("src <> other").select("ordinal", "src", F.col("other").alias("dst")))
-    told = draws.join(shortest_paths(edges, draws, 7), ["src", "dst"]).where("dist is not null and dist >= 1").withColumn("level", difficulty(F.col("dist")))
     least = F.create_map(*(x for k, v in want.items() for x in (F.lit(k), F.lit(v))))
-    ranked = told.withColumn("rank", F.row_number().over(Window.partitionBy("level").orderBy("ordinal"))).where(F.col("rank") <= least[F.col("level")])
+    rank = F.row_number().over(Window.partitionBy("level").orderBy("ordinal"))
+    ranked = edges.sparkSession.createDataFrame([], "ordinal long, src int, dst int, dist int, level string")
+    got, tried = 0, 0
+    while got < sum(want.values()) and tried < attempts:
+        n = min(QUICK_ROUND, attempts - tried)
+        draws = checkpointed(_proposals(pages, n, seed, tried).where("src <> other").select("ordinal", "src", F.col("other").alias("dst")))
+        told = draws.join(shortest_paths(edges, draws, 7), ["src", "dst"]).where("dist is not null and dist >= 1").withColumn("level", difficulty(F.col("dist")))
+        ranked = checkpointed(ranked.unionByName(told.select(*ranked.columns)).withColumn("rank", rank).where(F.col("rank") <= least[F.col("level")]).drop("rank"))
+        got, tried = ranked.count(), tried + n
     return _episodes(ranked.select("ordinal", "src", "dst", "dist"), split, 0, pages, prefix)

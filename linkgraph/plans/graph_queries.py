@@ -110,12 +110,12 @@ def _pages_with_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def episode_sample(spark: SparkSession, d: str) -> DataFrame:
     edges, nodes = tables.edges(spark, d)
-    return sampling.sample_episodes(edges, _pages_with_degree(edges, nodes), n_total=20, n_hard_bonus=0)
+    return sampling.sample_episodes(edges, _pages_with_degree(edges, nodes))
 
 
 def quick_sample(spark: SparkSession, d: str) -> DataFrame:
     edges, nodes = tables.edges(spark, d)
-    return sampling.quick_sample(edges, _pages_with_degree(edges, nodes), attempts=500)
+    return sampling.quick_sample(edges, _pages_with_degree(edges, nodes))
 
 
 def dump_roundtrip(spark: SparkSession, d: str) -> DataFrame:
