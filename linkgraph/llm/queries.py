@@ -156,11 +156,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return told.select("source", "target_share", "available_tokens", "mix_tokens", (F.col("mix_tokens") / total).alias("share_reached"), "capped")
 
 
-def _cut(spark: SparkSession, d: str) -> DataFrame:
+def _cut_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, d, "documents").withColumn("source", plain_source())
     leads = table(spark, d, "lead_text").select(F.col("lead_text").alias("text"))
-    articles = table(spark, d, "parsed_article").select(F.col("full_text").alias("text"))
-    return truncation.find_cut(documents, leads.unionByName(articles))
+    return documents, leads.unionByName(table(spark, d, "parsed_article").select(F.col("full_text").alias("text")))
+
+
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_cut(*_cut_inputs(spark, d))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -168,11 +171,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return _cut(spark, d).where("reason is not null").select("doc_id")
 
 
+def p10_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents all of whose text is a strict prefix of another text, complete sentences included."""
+    return truncation.prefix_documents(*_cut_inputs(spark, d))
+
+
 def p10_sources(spark: SparkSession, d: str) -> DataFrame:
-    """How often each source cuts its texts, by reason."""
+    """How often each source cuts its texts, by the value that told it."""
     by = _cut(spark, d).groupBy("source")
-    reasons = ("mark", "longer copy", "limit", "word", "line")
-    return by.agg(F.count("*").alias("n_texts"), F.count("reason").alias("n_cut"), *(F.count_if(F.col("reason") == r).alias("n_" + r.replace(" ", "_")) for r in reasons)).withColumn("share_cut", F.col("n_cut") / F.col("n_texts"))
+    counts = (F.count_if(F.col("reason") == r).alias("n_" + r.replace(" ", "_")) for r in truncation.REASONS)
+    return by.agg(F.count("*").alias("n_texts"), F.count("reason").alias("n_cut"), *counts).withColumn("share_cut", F.col("n_cut") / F.col("n_texts"))
 
 
 _USABLE = """
@@ -189,7 +197,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
-    "p10_found": p10_found, "p10_sources": p10_sources,
+    "p10_found": p10_found, "p10_prefixes": p10_prefixes, "p10_sources": p10_sources,
 }
 ORACLE = {
     "p2_found": f"""WITH {_USABLE} SELECT target_set, t.difficulty, t.shortest_path_len FROM episode_target t LEFT JOIN supply USING (difficulty, shortest_path_len)
@@ -198,6 +206,10 @@ ORACLE = {
           GROUP BY 2 HAVING count(*) >= 0.005 * (SELECT count(pl_target_id) FROM pagelinks_raw)
         UNION ALL SELECT 'link_title', link_title FROM page_links WHERE link_title IS NOT NULL
           GROUP BY 2 HAVING count(*) >= 0.005 * (SELECT count(link_title) FROM page_links)""",
+    "p10_prefixes": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[\s\p{Z}\x1c-\x1f\x85]+$', '') AS text FROM documents),
+        every AS (SELECT DISTINCT text FROM (SELECT text FROM t UNION ALL SELECT lead_text FROM lead_text UNION ALL SELECT full_text FROM parsed_article) WHERE text <> ''),
+        n AS (SELECT text, lead(text) OVER (ORDER BY text) AS following FROM every)
+        SELECT doc_id FROM t WHERE text IN (SELECT text FROM n WHERE starts_with(following, text))""",
     "p7_found": r"""WITH RECURSIVE named AS (SELECT rd_from, replace(regexp_replace(rd_title, '^\s+|\s+$', '', 'g'), ' ', '_') AS t FROM redirect_raw WHERE rd_ns = 0),
         pairs AS (SELECT DISTINCT rd_from AS a, page_id AS b FROM named JOIN page ON page_ns = 0 AND deleted_at IS NULL AND page_title = upper(t[1:1]) || t[2:] WHERE t <> '' AND rd_from <> page_id),
         both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),

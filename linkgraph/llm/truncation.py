@@ -1,21 +1,23 @@
 """Texts cut off by field limits or in transfer.
 
-A text counts as cut if it ends in a mark of a cut, or if it ends openly and one of these holds:
-it is a strict prefix of a longer text elsewhere (found by sorting the distinct texts: a text is a
-prefix of some other one if and only if it is a prefix of its successor); its length is a limit at
-which texts of its source pile up; its last word is never seen inside any text; its last line has
-no shape that complete lines have. A text ends openly if no full stop or the like closes it, markup
-after it aside.
+Found by a self-join by prefix: a text is cut where what it ends with is a strict prefix of a longer
+copy elsewhere and is no whole copy of anything. Five kinds of values are compared, all in one sort
+by ranges: whole texts, last sentences (names and digits made alike), last pairs of words, last words
+and the first words of sentences. A value is a strict prefix of some other one if and only if it is one of its successor.
+Texts that end with a full stop or the like, markup after it aside, are whole, unless a longer copy
+of all of the text exists and its length is a limit at which texts of its source pile up.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import sys
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.operators.skew import join_unique
@@ -23,131 +25,203 @@ from linkgraph.plans.session import checkpointed, shuffle_width, small_or_shuffl
 
 #: A length of a source is a limit if at least so many texts have it, and so many times more than the lengths around it.
 PILE_ROWS, PILE_TIMES, PILE_AROUND = 5, 8, 20
-#: ... and if this share of those that end openly end in a broken word or line.
-PILE_BROKEN = 0.3
-#: A line shape counts as complete from so many texts on ...
-SHAPE_TEXTS = 2
-#: ... that are this share of the texts of a source or, for lines ``key: value`` that end texts, of the texts that end with that key.
-SHAPE_SHARE, FINAL_SHARE = 0.0001, 0.02
-#: Distinct words and shapes that a task gathers before it sends their counts on.
+#: ... and if this share of them end openly.
+PILE_OPEN = 0.3
+#: A sentence or word counts as whole from this share of all texts on, a pair of words and first words from this share of their places.
+WHOLE_SHARE, PAIR_SHARE = 1e-6, 0.01
+#: The first words of sentences that are values of their own: so many at most.
+FIRST_WORDS = 2
+#: Distinct values that a task gathers before it sends their counts on.
 HELD = 300_000
+#: Rows of one range of the sort.
+RANGE_ROWS = 500_000
+#: Lengths of the prefixes by which texts are told apart before they are compared.
+PREFIX_CHARS = tuple(4**i for i in range(16))
 
-_MARK = regex.compile(r"\s*(?:[\[(]\s*(?:…|\.{3})\s*[\])]|…|\.{3}|&hellip;)\s*\Z")
-_CLOSED = regex.compile(r"[.!?。！？][\p{Pf}\p{Pe}\"'»”’]*\Z")
+REASONS = ("mark", "longer copy", "word", "sentence", "pair", "first words", "limit")
+
+_MARK = regex.compile(r"(?r)\s*(?:[\[(]\s*(?:…|\.{3})\s*[\])]|…|\.{3}|&hellip;|\N{REPLACEMENT CHARACTER}+)\s*")
+_STOPS = frozenset(".!?。！？")
+_CLOSERS = frozenset("\"'»”’") | {c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Pf", "Pe")}
 _INLINE = "ref|span|small|sup|sub|math|code|nowiki|font|a|b|i|u|em|strong"
-#: Pieces of markup and signs that may follow the end of a text, each searched for from the end.
-_AFTER = [
-    regex.compile(rf"(?r)(?:{p})\s*\Z", regex.S)
-    for p in (
-        r"</[A-Za-z][^<>]*>", r"<[^<>]*/>", r"<br[^<>]*>", r"<!--(?:(?!-->).)*-->", rf"<(?:{_INLINE})\b(?:[^<>]|<[^<>]*>)*>[^<>]*</(?:{_INLINE})>",
-        r"\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\}", r"\[\[[^\[\]]*\]\]", r"\[https?://[^\[\]]*\]", r"!?\[[^\[\]]*\]\([^()]*\)", r"~?\\[a-z]+(?:\{[^{}]*\})+", r"\$[^$\n]+\$", r"\\\([^\n]*?\\\)", r"&\#?\w+;",
-        r"~~[^~\n]*~~", r"\*\*[^*\n]*\*\*", r"'{2,3}[^'\n]*'{2,3}", r"`[^`\n]*`", r"__\S*__|__|\*\*|~~", r"(?<=。) [\p{Latin}’']+", r"[\p{So}\p{Sk}\p{Cf}✓️]", r"\s\d+(?:\.\d+)?(?:e-?\d+)?",
-    )
-]
-#: So many of them are taken off one after the other.
-_PIECES_AFTER = 12
-_INNER = regex.compile(r"(?:</[A-Za-z][^<>]*>|\}|\*\*|~~|''+|`)+\Z")
-_SIGNED = regex.compile(r"--? .*\p{L}, \d{1,2} \p{Lu}\p{L}{2,}(?: \d{4})?\Z")
-#: A line ``key: value``: a key of at most three words in a line of at most so many characters.
-FIELD_CHARS = 200
-_FIELD = regex.compile(r"\s*(\p{L}[\p{L}_-]{0,29}(?: [\p{L}_-]{1,30}){0,2}):\s+\S")
-_WORD_INSIDE = regex.compile(r"[\p{L}\p{M}]+(?=[^\p{L}\p{M}])")
-_LAST_WORD = regex.compile(r"[\p{L}\p{M}]+\Z")
-_NAME = regex.compile(r"\p{Lu}[\p{L}\p{M}’'–-]*")
-_DIGIT, _VALUES = regex.compile(r"\d"), regex.compile(r": |, ")
-_URL = regex.compile(r"\w+://\S+\Z")
-
-
-def line_shape(line: str) -> str:
-    """A line with names and digits made alike; of a line ``key: a, b`` only its last value."""
-    if len(line) <= FIELD_CHARS and _FIELD.match(line):
-        line = "key: " + _VALUES.split(line)[-1]
-    return _DIGIT.sub("0", _NAME.sub("N", line.strip()))
-
-
-def line_key(line: str) -> str | None:
-    """The key of a line ``key: value``; None for other lines."""
-    m = _FIELD.match(line) if len(line) <= FIELD_CHARS else None
-    return m[1] if m else None
-
-
-def ending(text: str) -> tuple[str, str | None, str | None]:
-    """How a text ends: marked, closed, open or blank; its last word and the shape of its last line."""
-    t = text.rstrip()
-    if not t:
-        return "blank", None, None
-    tail = t[-2000:]
-    if _MARK.search(tail[-40:]):
-        return "marked", None, None
-    last = t[t.rfind("\n") + 1 :]
-    if _CLOSED.search(tail[-40:]) or _SIGNED.match(last) or _URL.match(last):
-        return "closed", None, None
-    if _CLOSED.search(_INNER.sub("", tail)):
-        return "closed", None, None
-    bare = tail
-    for _ in range(_PIECES_AFTER):
-        at = min((m.start() for m in (p.search(bare) for p in _AFTER) if m), default=None)
-        if at is None:
+#: Pieces of markup and signs that may follow the end of a text, by the sign that they end with, each matched backwards from the end.
+_AFTER = {
+    end: [regex.compile(rf"(?r)(?:{p})", regex.S) for p in patterns]
+    for end, patterns in {
+        ">": (r"</[A-Za-z][^<>]*>", r"<[^<>]*/>", r"<br[^<>]*>", r"<!--(?:(?!-->).)*-->", rf"<(?:{_INLINE})\b(?:[^<>]|<[^<>]*>)*>[^<>]*</(?:{_INLINE})>"),
+        "}": (r"\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\}", r"~?\\[a-z]+(?:\{[^{}]*\})+"),
+        "]": (r"\[\[[^\[\]]*\]\]", r"\[https?://[^\[\]]*\]"),
+        ")": (r"!?\[[^\[\]]*\]\([^()]*\)", r"\\\([^\n]*?\\\)"),
+        "$": (r"\$[^$\n]+\$",), ";": (r"&\#?\w+;",), "~": (r"~~[^~\n]*~~", "~~"), "*": (r"\*\*[^*\n]*\*\*", r"\*\*"), "'": (r"'{2,3}[^'\n]*'{2,3}",), "`": (r"`[^`\n]*`",), "_": (r"__\S*__", "__"),
+    }.items()
+}
+_SIGNS_AFTER = [regex.compile(rf"(?r)(?:{p})") for p in (r"(?<=。) [\p{Latin}’']+", r"[\p{So}\p{Sk}\p{Cf}✓️]", r"\s\d+(?:\.\d+)?(?:e-?\d+)?")]
+_INNER = regex.compile(r"(?r)(?:</[A-Za-z][^<>]*>|\}|\*\*|~~|''+|`)+")
+_SIGNED = regex.compile(r"--? .*\p{L}, \d{1,2} \p{Lu}\p{L}{2,}(?: \d{4})?")
+_SENTENCES = regex.compile(r"(?<=[.!?][\p{Pf}\p{Pe}\"'»”’]?)\s+(?=\p{Lu}|\p{Lo})|(?<=[。！？])|\n")
+_WORD = regex.compile(r"[\p{L}\p{M}]++")
+_LAST_WORD = regex.compile(r"(?r)[\p{L}\p{M}]+")
+_NAME = regex.compile(r"\p{Lu}[\p{Lu}\p{Ll}\p{Lm}\p{M}’'–-]*")
+_DIGIT = regex.compile(r"\d")
+_OWN = regex.compile(r"[\p{Ll}\p{Lo}0]")
+
+
+def alike(text: str) -> str:
+    """text with its names and digits made alike."""
+    return _DIGIT.sub("0", _NAME.sub("N", text))
+
+
+def _end_before(text: str, end: int, signs) -> int:
+    """Where text[:end] ends if the signs (a test of one character) at its end are taken off."""
+    while end and signs(text[end - 1]):
+        end -= 1
+    return end
+
+
+def _closes(text: str, end: int) -> bool:
+    end = _end_before(text, end, _CLOSERS.__contains__)
+    return end > 0 and text[end - 1] in _STOPS
+
+
+def ending(text: str) -> tuple[str, int]:
+    """How a text ends (marked, closed, open or blank), and where, a mark of a cut taken off."""
+    end = _end_before(text, len(text), str.isspace)
+    if not end:
+        return "blank", 0
+    if (m := _MARK.match(text, 0, end)) and m.start() < end:
+        return "marked", m.start()
+    if _closes(text, end) or _SIGNED.fullmatch(text, text.rfind("\n", 0, end) + 1, end):
+        return "closed", end
+    inner = _INNER.match(text, 0, end)
+    if inner and _closes(text, inner.start()):
+        return "closed", end
+    bare = end
+    while bare:
+        patterns = _AFTER.get(text[bare - 1], ()) or _SIGNS_AFTER
+        at = min((m.start() for m in (p.match(text, 0, bare) for p in patterns) if m), default=bare)
+        if at == bare:
             break
-        bare = bare[:at].rstrip()
-        if _CLOSED.search(bare):
-            return "closed", None, None
-    word = _LAST_WORD.search(tail)
-    return "open", word[0] if word else None, line_shape(last[-2000:])
+        bare = _end_before(text, at, str.isspace)
+        if _closes(text, bare):
+            return "closed", end
+    return "open", end
+
+
+def sentences(text: str) -> list[tuple[str, str]]:
+    """The sentences and lines of a text as they are and with names and digits made alike, blanks at their ends taken off."""
+    return [(x, alike(x)) for x in (s.strip() for s in _SENTENCES.split(text)) if x]
+
+
+def _sentence_key(sentence: str, source: str | None) -> str:
+    """A sentence with a word or figure of its own is one everywhere, one of names only in its source."""
+    return f"s\t{sentence}" if _OWN.search(sentence) else f"s\t{source or ''}\t{sentence}"
+
+
+def last_values(text: str, source: str | None) -> list[str]:
+    """The values that a text ends with: its last sentence, pair of words and word; and the last sentence as it is if it has but few words."""
+    said = sentences(text)
+    if not said:
+        return []
+    raw, shape = said[-1]
+    out = [_sentence_key(shape, source)]
+    words = shape.split()
+    if len(words) <= FIRST_WORDS:
+        out.append("f\t" + " ".join(raw.split()))
+    if len(words) > 1:
+        out.append(f"p\t{words[-2]} {words[-1]}")
+    word = _LAST_WORD.match(text, 0, _end_before(text, len(text), str.isspace))
+    if word:
+        out.append(f"w\t{word[0]}")
+    return out
 
 
 def _facts(documents: DataFrame) -> DataFrame:
-    """One pass over the texts: a row for each text, and counts of inner words and line shapes."""
-    schema = "kind string, doc_id bigint, source string, n_chars bigint, ending string, last_word string, shape string, field string, n bigint"
-    names = ["kind", "doc_id", "source", "n_chars", "ending", "last_word", "shape", "field", "n"]
+    """One pass over the texts: a row for each text, and counts of the values in them.
+
+    value, n_more, n_whole: how often more follows a value, and how often it is whole.
+    """
+    schema = "doc_id bigint, source string, n_chars bigint, ending string, lasts array<string>, value string, n_more bigint, n_whole bigint"
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64()]
+    names = ["doc_id", "source", "n_chars", "ending", "lasts", "value", "n_more", "n_whole"]
 
     def rows(tuples: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*tuples, strict=True), kinds, strict=True)], names=names)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        shapes: Counter = Counter()
+        more: defaultdict[str, int] = defaultdict(int)
+        whole: defaultdict[str, int] = defaultdict(int)
 
         def counts() -> list[tuple]:
-            out = [("word", None, None, None, None, w, None, None, n) for w, n in words.items()]
-            out += [("shape", None, s, None, None, None, x, None, n) for (s, x), n in shapes.items()]
-            words.clear()
-            shapes.clear()
+            out = [(None, None, None, None, None, v, more.get(v, 0), whole.get(v, 0)) for v in more.keys() | whole.keys()]
+            more.clear()
+            whole.clear()
             return out
 
+        def take_in(text: str, source: str | None, closed: bool) -> None:
+            said = sentences(text)
+            for i, (raw, shape) in enumerate(said):
+                words = shape.split()
+                first = raw.split(None, FIRST_WORDS)
+                for pair in zip(words[:-2], words[1:-1], strict=False):
+                    more["p\t" + " ".join(pair)] += 1
+                for k in range(1, min(len(first), FIRST_WORDS + 1)):
+                    more["f\t" + " ".join(first[:k])] += 1
+                if closed or i + 1 < len(said):
+                    whole[_sentence_key(shape, source)] += 1
+                    if len(words) > 1:
+                        whole[f"p\t{words[-2]} {words[-1]}"] += 1
+                    if len(first) <= FIRST_WORDS:
+                        whole["f\t" + " ".join(first)] += 1
+            every = _WORD.findall(text)
+            if every and text.endswith(every[-1]):  # what the text ends with may be no whole word
+                every.pop()
+            for w in set(every):
+                whole["w\t" + w] += 1
+
         for b in batches:
             out = []
             for i, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                how, word, shape = ending(t)
-                field = line_key(t.rstrip().rpartition("\n")[2]) if how == "open" else None
-                out.append(("text", i, s, len(t), how, word, shape, field, 1))
+                how, end = ending(t)
+                bare = t[:end]
+                out.append((i, s, len(t), how, last_values(bare, s) if how in ("open", "marked") else None, None, None, None))
                 if how != "blank":
-                    words.update(set(_WORD_INSIDE.findall(t.rstrip())))
-                    shapes.update({(s, line_shape(x)) for x in t.split("\n")[:-1] if x and len(x) < 300})
+                    take_in(bare, s, how == "closed")
             if out:
                 yield rows(out)
-            if len(words) + len(shapes) > HELD:
+            if len(more) + len(whole) > HELD:
                 yield rows(counts())
-        if words or shapes:
+        if more or whole:
             yield rows(counts())
 
     return documents.where("text is not null").select("doc_id", "source", "text").mapInArrow(gather, schema)
 
 
-def text_key(c):
+def text_key(c: Column) -> Column:
     """Two 64-bit hashes as a key of a text."""
     return F.concat_ws("-", F.xxhash64(c), F.xxhash64(F.lit(7), c))
 
 
-def strict_prefixes(texts: DataFrame) -> DataFrame:
-    """key (text_key) of the distinct texts that are strict prefixes of another one.
+def alike_at_front(texts: DataFrame) -> DataFrame:
+    """key of those of the distinct texts (key, text) that may be a strict prefix of another or have one.
+
+    Only hashes of prefixes are shuffled. A text is hashed at its own length (the longest of
+    PREFIX_CHARS that it reaches) and, as it may be the longer one, at all shorter ones; a group of
+    equal prefixes is of use if it holds a text of that own length and a longer text.
+    """
+    n = F.length("text")
+    own = F.array_max(F.filter(F.array(*map(F.lit, PREFIX_CHARS)), lambda p: p <= n))
+    fronts = F.transform(F.filter(F.array(*map(F.lit, PREFIX_CHARS)), lambda p: p <= n), lambda p: F.struct(F.xxhash64(p, F.substring(F.col("text"), F.lit(1), p)).alias("front"), (p == own).alias("own")))
+    rows = checkpointed(texts.select("key", n.alias("n"), F.explode(fronts).alias("f")).select("key", "n", "f.front", "f.own"))
+    groups = rows.groupBy("front").agg(F.max("n").alias("longest"), F.min(F.when(F.col("own"), F.col("n"))).alias("shortest")).where("shortest < longest").select("front")
+    return join_unique(rows, checkpointed(groups), "front").select("key").distinct()
+
+
+def prefix_hits(values: DataFrame) -> DataFrame:
+    """key of the values (key, value, asked; distinct) that are asked and strict prefixes of another one.
 
-    texts: text STRING. The distinct texts are sorted by ranges in descending order, so each meets
-    its successor; only the first text of a range must look at the range before, which two rows a
-    range tell. Empty and null texts take no part. Copies are merged before the shuffle.
+    The values are sorted by ranges in descending order, so each meets its successor; only the first
+    value of a range must look at the range before, which two rows a range tell.
     """
-    n = shuffle_width(texts.sparkSession)
     schema = "key string, is_prefix boolean, part int, first string, last string"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,77 +230,102 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
         first = before = None
         for b in batches:
             keys = []
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, v, asked in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if before is None:
-                    first = (key, t)
-                elif before.startswith(t):
+                    first = (key if asked else None, v)
+                elif asked and before.startswith(v):
                     keys.append(key)
-                before = t
+                before = v
             k = len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([True] * k, pa.bool_()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.nulls(k, pa.string())], names=["key", "is_prefix", "part", "first", "last"])
         if first is not None:
-            yield pa.RecordBatch.from_pydict({"key": [first[0]], "is_prefix": [False], "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "first": [first[1]], "last": [before]})
+            yield pa.RecordBatch.from_pydict({"key": pa.array([first[0]], pa.string()), "is_prefix": [False], "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "first": [first[1]], "last": [before]})
 
-    unique = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).select("text").distinct()
-    in_order = unique.select(text_key(F.col("text")).alias("key"), "text").repartitionByRange(n, F.col("text").desc()).sortWithinPartitions(F.col("text").desc())
+    ranges = max(shuffle_width(values.sparkSession), values.count() // RANGE_ROWS)
+    in_order = values.select("key", "value", "asked").repartitionByRange(ranges, F.col("value").desc()).sortWithinPartitions(F.col("value").desc())
     told = checkpointed(in_order.mapInArrow(compare, schema))
-    # Two texts a range: as many rows as the shuffle has partitions.
+    # Two values a range: as many rows as there are ranges.
     ends = told.where("part is not null").withColumn("greater", F.lag("last").over(Window.orderBy("part")))
-    return told.where("is_prefix").select("key").unionByName(ends.where(F.startswith("greater", "first")).select("key"))
+    return told.where("is_prefix").select("key").unionByName(ends.where(F.col("key").isNotNull() & F.startswith("greater", "first")).select("key"))
+
+
+def _texts_in_question(texts: DataFrame) -> DataFrame:
+    """key, value, asked of the distinct texts that share a front with another one."""
+    keyed = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).select(text_key(F.col("text")).alias("key"), "text")
+    some = checkpointed(alike_at_front(keyed))
+    shared = keyed.join(small_or_shuffled(some, some.count()), "key", "left_semi").dropDuplicates(["key"])
+    return shared.select("key", F.concat(F.lit("t\t"), "text").alias("value"), F.lit(True).alias("asked"))
+
+
+def strict_prefixes(texts: DataFrame) -> DataFrame:
+    """key (text_key) of the distinct texts (text STRING) that are strict prefixes of another one.
+
+    Empty and null texts take no part.
+    """
+    return prefix_hits(checkpointed(_texts_in_question(texts)))
+
+
+def _stem() -> Column:
+    return F.regexp_replace("text", r"(?U)\s+$", "")
+
+
+def prefix_documents(documents: DataFrame, others: DataFrame) -> DataFrame:
+    """doc_id of the documents whose text, blanks at its end aside, is a strict prefix of another text."""
+    longer = checkpointed(strict_prefixes(documents.select(_stem().alias("text")).unionByName(others.select("text"))))
+    keyed = checkpointed(documents.where("text is not null").select("doc_id", text_key(_stem()).alias("key")))
+    return join_unique(keyed, longer, "key").select("doc_id")
 
 
 def find_cut(documents: DataFrame, others: DataFrame) -> DataFrame:
     """doc_id, source, n_chars, reason of all documents; reason is null where a text is whole.
 
     documents: doc_id (unique), source, text; others: text of further tables in which longer copies
-    may lie. Null, empty and blank texts are whole. reason is one of mark, longer copy, limit,
-    word, line.
+    of whole texts may lie. Null, empty and blank texts are whole. reason tells which value is the
+    strict prefix: "longer copy" (all of the text), sentence, pair, word or first words; or mark (a mark of a cut
+    after a prefix of whatever kind) or limit (a text of a usual length after a prefix, even one that
+    is whole elsewhere).
     """
     facts = checkpointed(_facts(documents))
-    texts = facts.where("kind = 'text'")
-    open_ = texts.where("ending = 'open'").drop("kind", "n", "ending")
-
-    stem = F.regexp_replace("text", r"(?U)\s+$", "")
-    longer = checkpointed(strict_prefixes(documents.select(stem.alias("text")).unionByName(others.select("text"))))
-    keyed = _having(documents, stem, longer)
-
-    lengths = texts.where("ending <> 'blank'").groupBy("source", "n_chars").agg(F.count("*").alias("n"))
+    texts = facts.where("doc_id is not null or ending is not null")
+    n_texts = texts.where("ending <> 'blank'").count()
+    values = facts.where("value is not null").groupBy("value").agg(F.sum("n_more").alias("n_more"), F.sum("n_whole").alias("n_whole"))
+    asked = checkpointed(texts.where("lasts is not null").select("doc_id", F.explode("lasts").alias("value")))
+    unique = asked.select("value").distinct()
+
+    # One sort for the values of all kinds; the first two characters keep the kinds apart.
+    short = values.select("value", F.lit(False).alias("asked")).unionByName(unique.select("value", F.lit(True).alias("asked"))).groupBy("value").agg(F.bool_or("asked").alias("asked"))
+    whole_texts = documents.select(_stem().alias("text")).unionByName(others.select("text"))
+    hits = checkpointed(prefix_hits(checkpointed(short.select(F.col("value").alias("key"), "value", "asked").unionByName(_texts_in_question(whole_texts)))))
+
+    kind = F.substring("value", 1, 1)
+    share = F.col("n_whole") / (F.col("n_more") + F.col("n_whole"))
+    enough = F.when(kind == "p", share >= PAIR_SHARE).otherwise(F.col("n_whole") >= WHOLE_SHARE * n_texts)
+    judged = (
+        unique.join(values, "value", "left").join(hits.select(F.col("key").alias("value"), F.lit(True).alias("hit")), "value", "left")
+        .select("value", (F.coalesce("hit", F.lit(False)) | (F.coalesce("n_more", F.lit(0)) > 0)).alias("hit"), F.coalesce((F.col("n_whole") > 0) & enough, F.lit(False)).alias("whole"), F.coalesce("n_more", F.lit(0)).alias("n_more"), F.coalesce("n_whole", F.lit(0)).alias("n_whole"))
+    )
+    known = join_unique(asked, checkpointed(judged), "value").groupBy("doc_id").agg(
+        F.bool_or("hit").alias("any_hit"),
+        *(F.bool_or(F.when(kind == k, F.col("hit") & ~F.col("whole"))).alias(f"cut_{k}") for k in "spw"),
+        F.bool_or(F.when(kind == "s", F.col("whole"))).alias("whole_s"), F.max(F.when(kind == "s", F.col("n_whole"))).alias("n_whole_s"), F.max(F.when(kind == "p", F.col("n_more"))).alias("n_more_p"),
+        F.bool_or(F.when(kind == "f", F.col("n_whole") + 1 < PAIR_SHARE * F.col("n_more"))).alias("cut_f"),
+    )
+
+    keyed = checkpointed(documents.where("text is not null").select("doc_id", text_key(_stem()).alias("key")))
+    longer = join_unique(keyed, hits, "key").select("doc_id", F.lit(True).alias("has_longer"))
+    lengths = texts.where("ending <> 'blank'").groupBy("source", "n_chars").agg(F.count("*").alias("n"), F.count_if(F.col("ending") == "open").alias("n_open"))
     around = Window.partitionBy("source").orderBy("n_chars").rangeBetween(-PILE_AROUND, PILE_AROUND)
     usual = (F.sum("n").over(around) - F.col("n")) / (2 * PILE_AROUND)
-    piles = lengths.withColumn("usual", usual).where((F.col("n") >= PILE_ROWS) & (F.col("n") >= PILE_TIMES * F.greatest("usual", F.lit(0.25)))).select("source", "n_chars")
-
-    words = facts.where("kind = 'word'").select("last_word").distinct().withColumn("known", F.lit(True))
-    sources = checkpointed(texts.where("ending <> 'blank'").groupBy(F.coalesce("source", F.lit("")).alias("of")).agg(F.count("*").alias("n_texts")))
-    shapes = facts.where("kind = 'shape'").groupBy(F.coalesce("source", F.lit("")).alias("of"), "shape").agg(F.sum("n").alias("n"))
-    shapes = shapes.join(small_or_shuffled(sources, sources.count()), "of").withColumn("often", F.col("n") >= SHAPE_SHARE * F.col("n_texts"))
-    # A shape with a word or figure of its own is known wherever it occurs, one of names only in its source.
-    plain = F.regexp_like("shape", F.lit(r"[\p{Ll}\p{Lo}0]"))
-    told = checkpointed(join_unique(checkpointed(open_), words, "last_word", "left"))
-    # Lines ``key: value`` that end texts, such as categories, are never followed by others; of those whose last word is known.
-    final = told.where(F.col("field").isNotNull() & (F.col("last_word").isNull() | F.col("known"))).groupBy("field", "shape").agg(F.count("*").alias("n"))
-    with_field = final.groupBy("field").agg(F.sum("n").alias("n_texts"))
-    final = final.join(with_field, "field").where((F.col("n") > SHAPE_TEXTS) & (F.col("n") >= FINAL_SHARE * F.col("n_texts"))).select("field", "shape", F.lit(True).alias("usual_end"))
-    everywhere = shapes.where(plain).groupBy("shape").agg(F.sum("n").alias("n"), F.max("often").alias("often")).where(F.col("often") & (F.col("n") >= SHAPE_TEXTS)).select(F.col("shape").alias("shape_key"), F.lit(True).alias("usual_line"))
-    own = shapes.where(~plain & F.col("often") & (F.col("n") >= SHAPE_TEXTS)).select(F.concat_ws("\t", "of", "shape").alias("shape_key"), F.lit(True).alias("usual_line"))
-
-    told = told.withColumn("shape_key", F.when(plain, F.col("shape")).otherwise(F.concat_ws("\t", F.coalesce("source", F.lit("")), "shape")))
-    told = checkpointed(join_unique(checkpointed(told), everywhere.unionByName(own), "shape_key", "left"))
-    told = told.withColumn("final_key", F.concat("field", F.lit("\t"), "shape"))
-    final = final.select(F.concat("field", F.lit("\t"), "shape").alias("final_key"), "usual_end")
-    told = checkpointed(join_unique(checkpointed(told), final, "final_key", "left")).withColumn("usual_line", F.coalesce("usual_line", "usual_end"))
-    look = F.when(F.col("last_word").isNotNull() & F.col("known").isNull(), "word").when(F.col("usual_line").isNull(), "line")
-    told = checkpointed(told.join(keyed, "doc_id", "left").withColumn("look", look))
-    # Lengths of short texts may pile up by nature; a limit is where many texts of that length also look cut.
-    broken = told.groupBy("source", "n_chars").agg(F.count("look").alias("n_broken"), F.count("*").alias("n_open"))
-    limits = piles.join(broken, ["source", "n_chars"]).where(F.col("n_broken") >= PILE_BROKEN * F.col("n_open")).select("source", "n_chars", F.lit(True).alias("at_limit"))
-    reason = F.when(F.col("has_longer"), "longer copy").when(F.col("at_limit"), "limit").otherwise(F.col("look"))
-    told = told.join(limits, ["source", "n_chars"], "left")
-    judged = told.select("doc_id", reason.alias("reason")).where("reason is not null")
-    whole = texts.select("doc_id", "source", "n_chars", F.when(F.col("ending") == "marked", "mark").alias("mark"))
-    return whole.join(judged, "doc_id", "left").select("doc_id", "source", "n_chars", F.coalesce("mark", "reason").alias("reason"))
-
-
-def _having(documents: DataFrame, stem, longer: DataFrame) -> DataFrame:
-    """doc_id of the documents whose text is among the strict prefixes."""
-    keyed = documents.where("text is not null").select("doc_id", text_key(stem).alias("key"))
-    return join_unique(checkpointed(keyed), longer.withColumn("has_longer", F.lit(True)), "key").select("doc_id", "has_longer")
+    piles = checkpointed(lengths.withColumn("usual", usual).where((F.col("n") >= PILE_ROWS) & (F.col("n") >= PILE_TIMES * F.greatest("usual", F.lit(0.25))) & (F.col("n_open") >= PILE_OPEN * F.col("n"))).select("source", "n_chars", F.lit(True).alias("at_limit")))
+
+    told = texts.select("doc_id", "source", "n_chars", "ending").join(known, "doc_id", "left").join(longer, "doc_id", "left").join(small_or_shuffled(piles, piles.count()), ["source", "n_chars"], "left")
+    open_ = F.col("ending") == "open"
+    # A sentence that a line break once cut short is still no whole one where its last pair goes on nearly always.
+    rarely_whole = F.col("n_whole_s") + 1 < PAIR_SHARE * F.col("n_more_p")
+    reason = (
+        F.when((F.col("ending") == "marked") & F.col("any_hit"), "mark")
+        .when(F.col("has_longer") & (F.col("ending") != "blank") & (open_ | F.col("at_limit")), "longer copy")
+        .when(open_ & F.col("cut_w"), "word").when(open_ & F.col("cut_s"), "sentence").when(open_ & F.col("cut_p") & (~F.col("whole_s") | rarely_whole), "pair").when(open_ & F.col("cut_f"), "first words")
+        .when(open_ & F.col("at_limit") & F.col("any_hit"), "limit")
+    )
+    return told.select("doc_id", "source", "n_chars", reason.alias("reason"))

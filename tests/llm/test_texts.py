@@ -139,13 +139,17 @@ def test_strict_prefixes(spark, seed):
 
 
 @pytest.mark.parametrize("text, how", [
-    ("It ends.", "closed"), ("It ends.”", "closed"), ("It ends. 🙂", "closed"), ("It ends.</p>", "closed"), ("It ends. {{nowrap|54 m}}", "closed"), ("Ends.\n-- Ann Lee, 19 May", "closed"), ("Ends.\nhttps://a.example/page/1", "closed"),
+    ("It ends.", "closed"), ("It ends.”", "closed"), ("It ends. 🙂", "closed"), ("It ends.</p>", "closed"), ("It ends. {{nowrap|54 m}}", "closed"), ("Ends.\n-- Ann Lee, 19 May", "closed"), ("Ends.\nhttps://a.example/page/1", "open"), ("Ends. {{box|" + "x" * 5000 + "}}", "closed"), ("Ends." + " [[Category:X]]" * 40, "closed"), ("It wa\ufffd", "marked"),
     ("Last page reads: “so it went on...”", "closed"), ("It was…", "marked"), ("It was [...]", "marked"), ("the...", "marked"), ("It was the", "open"), ("two of<ref name=\"ve", "open"), ("", "blank"), (" \n", "blank"), ("終わる。", "closed"), ("1893年の人", "open"),
 ])
 def test_endings(text, how):
     assert C.ending(text)[0] == how
 
 
+def documents_of(spark, texts):
+    return spark.createDataFrame([(i, s, t, "clash") for i, (s, t) in enumerate(texts)], "doc_id bigint, source string, text string, reason string")
+
+
 def test_find_cut(spark):
     r = random.Random(6)
     words = ["castle", "river", "bridge", "tower", "garden", "market", "valley", "museum"]
@@ -153,42 +157,63 @@ def test_find_cut(spark):
         return "The " + " ".join(r.choice(words) for _ in range(6)) + " stands here."
     data, cut = [], {}
     def add(source, text, why=None):
-        data.append((len(data), source, text, "clash"))
+        data.append((source, text))
         if why:
             cut[len(data) - 1] = why
     for i in range(200):
         add("s", " ".join(sentence() for _ in range(r.randrange(2, 6))))
         add("l", "List\n" + "\n".join(f"Name{i} {r.choice(words)}, built {r.randrange(1500, 1999)}" for _ in range(r.randrange(3, 7))))
-    for i in range(12):
-        add("s", (sentence() + " " + sentence() * 3)[:120], "limit")
     add("s", sentence() + " The castle riv", "word")
-    add("s", sentence() + " The castle river", "line")
+    add("s", sentence() + " The castle river bridge", "sentence")
+    add("s", sentence() + " The", "sentence")
     add("s", sentence() + " The castle…", "mark")
-    add("l", "List\nName1 castle, built 1700\nName2 tower, built 16", "line")
-    whole = sentence() + "\nName7 market, built 1801"
-    add("s", whole, "longer copy")
+    add("s", sentence() + " The castle. River [...]", "mark")
+    add("l", "List\nName1 castle, built 1700\nName2 tower, built 16", "sentence")
+    add("s", "Castle. Gate", "longer copy")
+    add("s", "Castle. Gate of the hall.")
     add("s", None)
     add("s", "")
     add("s", "  ")
+    add("s", "w" * 300_000)
     add(None, "A full sentence.")
-    documents = spark.createDataFrame(data, "doc_id bigint, source string, text string, reason string")
-    others = spark.createDataFrame([(whole + " and more.",), (None,)], "text string")
+    documents = documents_of(spark, data)
+    others = spark.createDataFrame([(sentence() + " and more.",), (None,)], "text string")
     got = {x["doc_id"]: x["reason"] for x in C.find_cut(documents, others).collect()}
-    assert {k: v for k, v in got.items() if v} == cut and len(got) == sum(d[2] is not None for d in data)
+    assert {k: v for k, v in got.items() if v} == cut and len(got) == sum(t is not None for _, t in data)
     assert C.find_cut(documents.where("false"), others.where("false")).count() == 0
 
 
+def test_limit_with_a_longer_copy(spark):
+    """A text closed by a full stop is cut if its length is a limit of its source and a longer copy exists."""
+    long = [f"The hall of house {1000 + i} stands. It was sold {1000 + i} times and more." for i in range(40)]
+    texts = [("f", t[:31]) for t in long[:20]] + [("f", t[:29] + " b") for t in long[20:]] + [("g", t) for t in long]
+    got = {x["doc_id"]: x["reason"] for x in C.find_cut(documents_of(spark, texts), spark.createDataFrame([], "text string")).collect()}
+    assert [got[i] for i in range(20)] == ["longer copy"] * 20 and not any(got[i] for i in range(40, 80))
+
+
 def test_cuts_are_no_evidence_of_whole_lines(spark):
     """However often a cut ending recurs, it stays a cut; a usual last field stays whole."""
     whole = [f"Why the hall was sold is not known: the records of the guild were lost in {1500 + i}." for i in range(100)]
-    fields = [f"The hall stands.\nCategory: {a} in Brundish" for a in ("Works", "Halls") for _ in range(50)] + ["Works and Halls stand in Brundish."]
-    cut = [f"Why the {x} was sold is not known: the records of the" for x in ("mill", "inn", "barn", "dam", "well")] + ["The hall stands.\nCategory: Works in the"] + ["Hall of the town.\nlabel: the guild of"] * 2
-    texts = whole + fields + cut
-    documents = spark.createDataFrame(list(enumerate(["s"] * len(texts))), "doc_id bigint, source string").join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id")
-    got = {x["doc_id"] for x in C.find_cut(documents, spark.createDataFrame([], "text string")).where("reason is not null").collect()}
+    fields = [f"The hall stands.\nCategory: {a} in Brundish" for a in ("Works", "Halls") for _ in range(50)]
+    cut = [f"Why the {x} was sold is not known: the records of the" for x in ("mill", "inn", "barn", "dam", "well")] + ["Hall of the town.\nlabel: the records of"] * 2
+    texts = [("s", t) for t in whole + fields + cut]
+    got = {x["doc_id"] for x in C.find_cut(documents_of(spark, texts), spark.createDataFrame([], "text string")).where("reason is not null").collect()}
     assert got == set(range(len(whole) + len(fields), len(texts)))
 
 
+def test_a_line_break_within_a_sentence_is_no_evidence(spark):
+    """A sentence that once stands before a line break is still cut where its last words go on nearly always."""
+    texts = [("s", f"Adults of kind {i} are found only near the river.") for i in range(300)] + [("s", "Adults of kind 77 are found\nonly near the river."), ("s", "It stands. Adults of kind 12 are found")]
+    got = {x["doc_id"]: x["reason"] for x in C.find_cut(documents_of(spark, texts), spark.createDataFrame([], "text string")).where("reason is not null").collect()}
+    assert got == {301: "pair"}
+
+
+def test_prefix_documents(spark):
+    texts = ["Ends here.", "Ends here. And more.", "Ends here. ", "Other.", "Oth", None, "", "Lead of a page"]
+    got = [r["doc_id"] for r in C.prefix_documents(documents_of(spark, [("s", t) for t in texts]), spark.createDataFrame([("Lead of a page that goes on.",)], "text string")).collect()]
+    assert sorted(got) == [0, 2, 4, 7]
+
+
 def test_ending_of_long_text():
     assert C.ending("word " * 200_000 + "end")[0] == "open" and C.ending("<b>x</b> " * 50_000)[0] == "open"
 
