@@ -1,8 +1,14 @@
 """Free spellings mapped to the entries of a canonical list.
 
-The distinct values are normalised, an inverted index of character 2- and 3-grams yields the
-entries with the highest cosine (grams weighted by their rarity among the entries), and a value is
-given the best of them if score, margin and edit distance allow.
+The distinct values are normalised and looked up in an inverted index of character grams (single
+characters, neighbours, and neighbours but one) of the entries. Candidates are scored by the cosine
+of their grams, weighted by rarity among the entries; the best one is accepted if its cosine
+reaches THRESHOLD and leads the second best by MARGIN.
+
+The index lies in blocks of the list, each built in the tasks that search it; values meet every
+block. The search is exact: a value's grams are taken in the order of their rarity, and those after
+which the rest can't reach the cosine that matters any more yield no candidates (prefix filter), on
+the side of the values and of the entries alike.
 """
 
 from __future__ import annotations
@@ -10,7 +16,6 @@ from __future__ import annotations
 import html
 import math
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -21,167 +26,147 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.operators.skew import join_unique
-from linkgraph.plans.session import checkpointed
-
-#: Entries in one shard of the index; the index is broadcast shard by shard, so a task holds one at a time.
-SHARD = 50_000
-#: Candidates kept for each value and shard, and the least cosine of a candidate.
-TOP, FLOOR = 4, 0.2
-#: Accepted with at most so many edits (and one for so many characters) and this lead in cosine ...
-EDITS, CHARACTERS_PER_EDIT, LEAD = 3, 3, 0.0
-#: ... or, with more edits, from this cosine and lead on.
-SURE, SURE_LEAD = 0.6, 0.2
-# Usual short forms of words in names.
-SHORT_FORMS = {
-    "univ": "university", "inst": "institute", "natl": "national", "intl": "international", "dept": "department", "rep": "republic", "lib": "library",
-    "mt": "mount", "mtn": "mountain", "mtns": "mountains", "ft": "fort", "st": "saint", "co": "company", "rly": "railway", "and": "&",
-}
-_SHORT = {v: k for k, v in SHORT_FORMS.items() if v not in "&"} | {"county": "co"}
-#: A note that links carry after the title, and the edits within which it is taken for one.
-NOTE, NOTE_EDITS = "page", 2
-_EDGE = ' \t"\'“”„«»‘’:?.,;!'
-_NOTE = regex.compile(r"\s*\((\w{2,6})\)(?=\W*(?:,|\Z))")
-_AMP, _ANCHOR, _QUOTES, _GAPS, _REST = (regex.compile(p) for p in ("(?i)&amp;", r"#[^,]*", r"['’‘`´]", r"[-\s]+", r"[^\p{L}\p{M}\p{N}&]"))
-_ARTICLE = regex.compile(r"the[\s-]+")
+from linkgraph.plans.session import checkpointed, shuffle_width
+
+#: Accepted from this cosine on, with at least this lead over the second best entry.
+THRESHOLD, MARGIN = 0.4, 0.08
+#: A second best entry matters only above this cosine, so no candidate below it is looked for.
+FLOOR = THRESHOLD - MARGIN
+#: Entries in a block of the index, values in a task.
+BLOCK_ENTRIES, TASK_VALUES = 50_000, 200_000
+#: Grams are numbered by hash; the table of their weights has this fixed size whatever the list.
+GRAM_BITS = 18
+_EDGE = " \t\"'“”„«»‘’:?.,;!"
+_AMP, _ANCHOR, _REST = regex.compile("(?i)&amp;"), regex.compile(r"#[^,]*"), regex.compile(r"[^\p{L}\p{M}\p{N}&]")
+# Letters that don't decompose.
 _TRANSFER = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "æ": "ae", "œ": "oe", "ß": "ss"})
 
 
-def normalise(value: str, short: bool = False) -> str:
-    """A spelling without what free typing varies: encodings, case, accents, blanks and other
-    separators, quotes, anchors, notes, leading articles, inversion (``Y, X of``), short forms.
-    With short, words that have a short form are shortened instead."""
+def normalise(value: str) -> str:
+    """A spelling without what free typing varies: encodings, case, accents, blanks and all other
+    signs but letters, digits and ``&``; anchors are cut off."""
     s = html.unescape(_AMP.sub("&", unicodedata.normalize("NFKC", value)))
-    s = _ANCHOR.sub("", unquote(s, errors="replace"))
-    s = _NOTE.sub(lambda m: "" if edits(m[1].lower(), NOTE, NOTE_EDITS) <= NOTE_EDITS else m[0], s.replace("_", " ")).strip(_EDGE + " ")
-    s = "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c)).translate(_TRANSFER)
-    s = _QUOTES.sub("", s)
-    first, comma, rest = s.partition(",")
-    if comma:
-        s = f"{rest.strip(_EDGE)} {_ARTICLE.sub('', first.strip(_EDGE))}"
-    words = _GAPS.split( s.strip(_EDGE))
-    if len(words) > 1 and edits(words[0], "the", 1) <= 1:
-        words = words[1:]
-    words = [_SHORT.get(w, w) if short else SHORT_FORMS.get(w.rstrip("."), w) for w in words]
-    if words[:1] == ["company"]:  # Co. in front stands for County
-        words[0] = "county"
-    s = _REST.sub("", "".join(words))
-    return s.replace("aa", "a").replace("oe", "o")
-
-
-def grams(s: str) -> Counter:
-    p = f"^{s}$"
-    return Counter(p[i : i + n] for n in (2, 3) for i in range(len(p) - n + 1))
-
-
-def edits(a: str, b: str, most: int) -> int:
-    """Edits (insert, delete, replace, swap of neighbours) from a to b; most + 1 if more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    above, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(len(b), i + most)
-        new = [most + 1] * (len(b) + 1)
-        if low == 1:
-            new[0] = i
-        for j in range(low, high + 1):
-            y = b[j - 1]
-            v = row[j - 1] + (x != y)
-            if row[j] + 1 < v:
-                v = row[j] + 1
-            if new[j - 1] + 1 < v:
-                v = new[j - 1] + 1
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and above[j - 2] + 1 < v:
-                v = above[j - 2] + 1
-            new[j] = v
-        if min(new) > most:
-            return most + 1
-        above, row = row, new
-    return min(row[-1], most + 1)
-
-
-def forms(entry: str) -> list[str]:
-    """The normalised entry, and its shortened form if that is another."""
-    return list(dict.fromkeys((normalise(entry), normalise(entry, short=True))))
-
-
-def build_index(entries: list[str], rarity: dict[str, float], unseen: float) -> tuple:
-    """Postings (form numbers and weights divided by the form's norm) of each gram."""
-    postings: dict[str, tuple[list[int], list[float]]] = {}
-    names = [(f, e) for e in entries for f in forms(e)]
-    for i, (s, _) in enumerate(names):
-        g = grams(s)
-        norm = math.sqrt(sum((c * rarity.get(x, unseen)) ** 2 for x, c in g.items())) or 1.0
-        for x, c in g.items():
-            at = postings.setdefault(x, ([], []))
-            at[0].append(i)
-            at[1].append(c * rarity.get(x, unseen) / norm)
-    return names, {x: (np.array(i, np.int32), np.array(w)) for x, (i, w) in postings.items()}
-
-
-def search(s: str, index: tuple, rarity: dict[str, float], unseen: float) -> list[tuple[float, str, str]]:
-    """The TOP forms of highest cosine from FLOOR on: (cosine, entry, form)."""
-    names, postings = index
-    g = {x: c * rarity.get(x, unseen) for x, c in grams(s).items()}
-    norm = math.sqrt(sum(w * w for w in g.values()))
-    found = [(postings[x], w) for x, w in g.items() if x in postings]
-    if not found:
-        return []
-    score = np.bincount(np.concatenate([p[0] for p, _ in found]), weights=np.concatenate([p[1] * w for p, w in found]), minlength=len(names)) / norm
-    best = np.argpartition(-score, min(TOP, len(score) - 1))[:TOP]
-    return [(float(score[i]), names[i][1], names[i][0]) for i in best if score[i] >= FLOOR]
-
-
-def decide(s: str, found: list[tuple[float, str, str]]) -> tuple[str | None, float]:
-    """The entry that a normalised value names, or None, and its cosine."""
-    if not found:
-        return None, 0.0
-    most = min(EDITS, len(s) // CHARACTERS_PER_EDIT)
-    told: dict[str, list] = {}  # entry: fewest edits, highest cosine
-    for score, entry, form in sorted(found, key=lambda x: (-x[0], x[1]))[:TOP]:
-        # A value that begins with an article is also read without it.
-        n = min(edits(r, form, most) for r in ({s, s[3:]} if s.startswith("the") else {s}))
-        old = told.setdefault(entry, [n, score])
-        told[entry] = [min(old[0], n), max(old[1], score)]
-    near = sorted((n, -score, entry) for entry, (n, score) in told.items())
-    if near[0][0] <= most and (len(near) == 1 or near[1][0] > near[0][0] or near[1][1] - near[0][1] > LEAD):
-        return near[0][2], -near[0][1]
-    best = sorted((-score, entry) for entry, (_, score) in told.items())
-    if -best[0][0] >= SURE and (len(best) == 1 or best[1][0] - best[0][0] >= SURE_LEAD):
-        return best[0][1], -best[0][0]
-    return None, -best[0][0]
+    s = _ANCHOR.sub("", unquote(s, errors="replace")).replace("_", " ").strip(_EDGE)
+    s = "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c))
+    return _REST.sub("", s.translate(_TRANSFER))
+
+
+def grams(s: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of the grams of a normalised value, its ends included."""
+    c = np.frombuffer(f"\x02{s}\x03".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        raw = np.concatenate([c, (c[:-1] << np.uint64(21)) + c[1:] + np.uint64(1 << 50), (c[:-2] << np.uint64(21)) + c[2:] + np.uint64(1 << 51)])
+        mixed = (raw ^ (raw >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return np.unique((mixed >> np.uint64(64 - GRAM_BITS)).astype(np.int32), return_counts=True)
+
+
+def weighted(s: str, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The grams of a value, the rarest first, their weights (together of length 1), and how many of
+    them belong to the prefix: what comes after it has a length below FLOOR."""
+    g, n = grams(s)
+    w = n * weight[g]
+    order = np.lexsort((g, -weight[g]))
+    g, w = g[order], w[order] / math.sqrt(w @ w)
+    rest = np.cumsum((w * w)[::-1])[::-1]
+    return g, w, int(np.searchsorted(-rest, -(FLOOR * FLOOR) * 0.999999, side="right"))
+
+
+class Index:
+    """Inverted index of the grams of some entries."""
+
+    def __init__(self, names: list[str], weight: np.ndarray):
+        self.weight, self.names = weight, sorted(names)
+        self.own = set(self.names)
+        none = np.empty(0, np.int32), np.empty(0), 0
+        self.vectors = [weighted(s, weight) if s else none for s in map(normalise, self.names)]
+        gram = np.concatenate([none[0], *(v[0] for v in self.vectors)])
+        value = np.concatenate([none[1], *(v[1] for v in self.vectors)])
+        number = np.repeat(np.arange(len(self.names)), [len(v[0]) for v in self.vectors])
+        first = np.concatenate([np.empty(0, bool), *(np.arange(len(v[0])) < v[2] for v in self.vectors)])
+        # Within the postings of a gram the entries in whose prefix it is come first.
+        order = np.lexsort((number, ~first, gram))
+        self.number, self.value = number[order], value[order]
+        at, starts, sizes = np.unique(gram[order], return_index=True, return_counts=True)
+        heads = np.bincount(np.repeat(np.arange(len(at)), sizes), weights=first[order], minlength=len(at)).astype(np.int64)
+        self.postings = {g: (a, a + h, a + n) for g, a, h, n in zip(at.tolist(), starts.tolist(), heads.tolist(), sizes.tolist(), strict=True)}
+
+    def candidates(self, g: np.ndarray, head: int) -> np.ndarray:
+        """The entries that share a gram of both prefixes: all of cosine FLOOR or more."""
+        spans = [self.postings[x] for x in g[:head].tolist() if x in self.postings]
+        return np.unique(np.concatenate([self.number[a:m] for a, m, _ in spans])) if spans else np.empty(0, np.int64)
+
+    def best(self, s: str) -> tuple[str | None, float, float]:
+        """The entry with the highest cosine to a normalised value, of equal ones the first, and the two highest cosines."""
+        g, w, head = weighted(s, self.weight)
+        found = self.candidates(g, head)
+        if not len(found):
+            return None, 0.0, 0.0
+        spans = [(self.postings[x], y) for x, y in zip(g.tolist(), w.tolist(), strict=True) if x in self.postings]
+        number = np.concatenate([self.number[a:b] for (a, _, b), _ in spans])
+        product = np.concatenate([self.value[a:b] * y for (a, _, b), y in spans])
+        at = np.searchsorted(found, number)
+        at[at == len(found)] = 0
+        hit = found[at] == number
+        score = np.bincount(at[hit], weights=product[hit], minlength=len(found)).round(9)
+        i = int(score.argmax())
+        second = float(np.delete(score, i).max()) if len(score) > 1 else 0.0
+        return self.names[found[i]], float(score[i]), second
+
+
+def gram_weights(entries: DataFrame, n_entries: int) -> np.ndarray:
+    """Weight of every gram: root of the logarithm of its rarity among the distinct entries (entry).
+
+    Counted where the entries lie; the driver gets at most 2 ** GRAM_BITS sums.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << GRAM_BITS, np.int64)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                seen[grams(normalise(name))[0]] += 1
+        g = seen.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(seen[g])], names=["gram", "n"])
+
+    df = np.zeros(1 << GRAM_BITS)
+    for r in entries.select("entry").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        df[r["gram"]] = r["n"]
+    return np.sqrt(np.log1p(max(n_entries, 1) / (0.5 + df)))
 
 
 def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     """value, entry, score of the distinct non-null values (column value); entry is null where a value
-    names none. entries: entry STRING. An entry itself is given that entry; blank values name none.
+    names none, score is the highest cosine found (0 below FLOOR). entries: entry STRING. An entry itself is given
+    that entry; blank values, and those whose two best entries are alike, name none.
 
-    The list is read once on the driver and broadcast in shards of SHARD entries with the gram
-    rarities of the whole list; the values stay where they are and are scored against every shard.
+    Every value meets every block of the list once; values and blocks form a grid of tasks.
     """
     spark = values.sparkSession
-    names = sorted(r[0] for r in entries.where("entry is not null").distinct().toLocalIterator())
-    seen = Counter(x for n in names for x in {x for f in forms(n) for x in grams(f)})
-    rarity = {x: math.log(1 + len(names) / (0.5 + n)) for x, n in seen.items()}
-    unseen = math.log(1 + 2 * len(names))
-    shards = [spark.sparkContext.broadcast((set(names[i : i + SHARD]), build_index(names[i : i + SHARD], rarity, unseen), rarity, unseen)) for i in range(0, len(names), SHARD)]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(0).to_pylist()
-            told: list[tuple[str | None, float] | None] = [None] * len(raw)
-            plain = [normalise(v) for v in raw]
-            found: list[list] = [[] for _ in raw]
-            for shard in shards:
-                own, index, weights, rest = shard.value
-                for i, s in enumerate(plain):
-                    if raw[i] in own:
-                        told[i] = raw[i], 1.0
-                    elif s and told[i] is None:
-                        found[i] += search(s, index, weights, rest)
-            told = [t or decide(s, f) for t, s, f in zip(told, plain, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())], names=["value", "entry", "score"])
-
-    return values.where("value is not null").select("value").distinct().mapInArrow(score, "value string, entry string, score double")
+    names = checkpointed(entries.where("entry is not null").select("entry").distinct())
+    n_entries = names.count()
+    weight = spark.sparkContext.broadcast(gram_weights(names, n_entries))
+    blocks = max(1, -(-n_entries // BLOCK_ENTRIES))
+    distinct = checkpointed(values.where("value is not null").select("value").distinct())
+    parts = max(-(-distinct.count() // TASK_VALUES), -(-shuffle_width(spark) // blocks))
+    each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    each_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    asked = distinct.select("value", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int").alias("part"), each_block)
+    listed = names.select("entry", F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int").alias("block"), each_part)
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        index = Index(right.column("entry").to_pylist(), weight.value)
+        raw = left.column("value").to_pylist()
+        plain = [normalise(v) for v in raw]
+        told = [(v, 2.0, 0.0) if v in index.own else index.best(s) if s else (None, 0.0, 0.0) for v, s in zip(raw, plain, strict=True)]
+        return pa.table({"value": left.column("value"), "entry": pa.array([t[0] for t in told], pa.string()), "score": pa.array([t[1] for t in told], pa.float64()), "second": pa.array([t[2] for t in told], pa.float64())})
+
+    found = asked.groupBy("part", "block").cogroup(listed.groupBy("part", "block")).applyInArrow(search, "value string, entry string, score double, second double")
+    # One row a block; the second best of all is the second of the best block or the best of another.
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "entry", "second")))
+    best = found.groupBy("value").agg(ranked.alias("r")).select("value", F.col("r")[0].alias("first"), F.coalesce(-F.get("r", F.lit(1))["minus"], F.lit(0.0)).alias("other"))
+    score = -F.col("first.minus")
+    sure = (score > 1.5) | ((score >= THRESHOLD) & (score - F.greatest("first.second", "other") >= MARGIN))
+    return best.select("value", F.when(sure, F.col("first.entry")).alias("entry"), F.least(score, F.lit(1.0)).alias("score"))
 
 
 def map_rows(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:

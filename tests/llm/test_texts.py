@@ -1,6 +1,8 @@
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkgraph.llm import markup as M
 from linkgraph.llm import matching as N
@@ -93,39 +95,50 @@ FREE = {
 def test_matching(spark):
     values = [*FREE, *TITLES, "the river", "?", "", " ", "Republic of imanim", "Ertostost_University", None, "x" * 50_000, "Zimzuszim"]
     df = spark.createDataFrame([(v, "clash") for v in values], "value string, entry string")
-    got = {r["value"]: r["entry"] for r in N.match_values(df, spark.createDataFrame([(t,) for t in [*TITLES, TITLES[0], None]], "entry string")).collect()}
+    more = [f"{x}_University" for x in ("Hanzwulov", "Morkzanter", "Kvelborun", "Jandrusk", "Pelgomat", "Bracholm", "Sunderwik", "Gaffelen", "Norvakin", "Dolmarek")]  # grams of usual words weigh little
+    got = {r["value"]: r["entry"] for r in N.match_values(df, spark.createDataFrame([(t,) for t in [*TITLES, *more, TITLES[0], None]], "entry string")).collect()}
     assert got == {v: TITLES[i] for v, i in FREE.items()} | {t: t for t in TITLES} | dict.fromkeys(["the river", "?", "", " ", "Republic of imanim", "Ertostost_University", "x" * 50_000])
     rows = spark.createDataFrame([(1, "zimzuszim", "e"), (2, "nope", "e"), (3, None, "e")], "id int, title string, entry string")
     mapping = spark.createDataFrame([("zimzuszim", "Zimzuszim"), ("nope", None)], "value string, entry string")
     assert [tuple(r) for r in N.map_rows(rows, "title", mapping).select("id", "entry").collect()] == [(1, "Zimzuszim")]
 
 
-def test_matching_in_shards_and_of_nothing(spark, monkeypatch):
-    df = spark.createDataFrame([(v,) for v in FREE], "value string")
+def test_matching_in_blocks_and_of_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(v,) for v in [*FREE, *TITLES]], "value string")
     entries = spark.createDataFrame([(t,) for t in TITLES], "entry string")
-    whole = sorted(map(tuple, N.match_values(df, entries).select("value", "entry").collect()))
-    monkeypatch.setattr(N, "SHARD", 3)
-    assert sorted(map(tuple, N.match_values(df, entries).select("value", "entry").collect())) == whole
+    told = lambda: sorted(map(tuple, N.match_values(df, entries).select("value", "entry", F.round("score", 6)).collect()))
+    whole = told()
+    monkeypatch.setattr(N, "BLOCK_ENTRIES", 2)
+    monkeypatch.setattr(N, "TASK_VALUES", 5)
+    assert told() == whole
     assert {r["entry"] for r in N.match_values(df, entries.where("false")).collect()} == {None}
     assert N.match_values(df.where("false"), entries).count() == 0
 
 
-def brute_edits(a, b):
-    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
-    return d[len(a), len(b)]
-
-
-def test_edits():
-    r = random.Random(1)
-    for _ in range(600):
-        a = "".join(r.choice("abc") for _ in range(r.randrange(9)))
-        b = "".join(r.choice("abc") for _ in range(r.randrange(9)))
-        assert N.edits(a, b, 3) == min(brute_edits(a, b), 4)
+def test_candidates_hold_all_entries_that_matter(spark):
+    """The index against all cosines, on the values of pages whose id is divisible by 100."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    entries = spark.read.parquet(f"{folder}/title_list.parquet").select(F.col("page_title").alias("entry")).distinct()
+    names = [r[0] for r in entries.collect()]
+    weight = N.gram_weights(entries, len(names))
+    index = N.Index(names, weight)
+    values = [r[0] for r in spark.read.parquet(f"{folder}/page_links.parquet").where("page_id % 100 = 0 and link_title is not null").select("link_title").distinct().collect()]
+    assert len(values) > 300
+    n_near = 0
+    for s in filter(None, map(N.normalise, values)):
+        g, w, head = N.weighted(s, weight)
+        mine = dict(zip(g.tolist(), w.tolist(), strict=True))
+        scores = [sum(mine.get(x, 0.0) * y for x, y in zip(v[0].tolist(), v[1].tolist(), strict=True)) for v in index.vectors]
+        near = {i for i, c in enumerate(scores) if c >= N.FLOOR}
+        n_near += len(near)
+        assert near <= set(index.candidates(g, head).tolist())
+        top = sorted(scores, reverse=True)
+        _, first, second = index.best(s)
+        for got, want in ((first, top[0]), (second, top[1])):
+            assert got == pytest.approx(want, abs=1e-6) or (want < N.FLOOR and got <= want + 1e-6)
+    assert n_near > 300
 
 
 @pytest.mark.parametrize("seed", range(3))
