@@ -86,24 +86,28 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """Every non-null text of the four fields, cleaned. The field stands for the host."""
-    articles = table(spark, d, "parsed_article")
-    section = articles.select("page_id", F.explode("sections").alias("s")).select(F.lit("section_text").alias("host"), "page_id", F.col("s.section_no").cast("int").alias("section_no"), F.col("s.text").alias("text"))
-    whole = [
-        df.select(F.lit(c).alias("host"), "page_id", F.lit(-1).alias("section_no"), F.col(c).alias("text"))
-        for df, c in ((articles, "full_text"), (articles, "infobox"), (table(spark, d, "lead_text"), "lead_text"))
-    ]
-    return markup.clean_fields(section.unionByName(whole[0]).unionByName(whole[1]).unionByName(whole[2]))
+    """Every non-null text of the four fields, cleaned, with its field.
+
+    The tables name no site. Pages with one type of infobox are made from one template, so field and
+    type together stand for the host; leads and pages without a type have their field alone.
+    """
+    articles = table(spark, d, "parsed_article").withColumn("type", F.regexp_extract(F.coalesce("infobox", F.lit("")), r"^\s*\[Infobox:\s*([^\]\n]*)\]", 1))
+    host = lambda field: F.concat_ws(":", F.lit(field), "type").alias("host")
+    section = articles.select("page_id", "type", F.explode("sections").alias("s")).select(host("section_text"), "page_id", F.col("s.section_no").cast("int").alias("section_no"), F.col("s.text").alias("text"))
+    whole = [articles.select(host(c), "page_id", F.lit(-1).alias("section_no"), F.col(c).alias("text")) for c in ("full_text", "infobox")]
+    leads = table(spark, d, "lead_text").select(F.lit("lead_text:").alias("host"), "page_id", F.lit(-1).alias("section_no"), F.col("lead_text").alias("text"))
+    told = markup.clean_fields(section.unionByName(whole[0]).unionByName(whole[1]).unionByName(leads))
+    return told.withColumn("field", F.substring_index("host", ":", 1)).drop("host")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Values that hold markup, whole or broken."""
-    return _cleaned(spark, d).where("n_kinds > 0").select(F.col("host").alias("field"), "page_id", "section_no").distinct()
+    """Values whose tree of elements has a node: markup, whole or broken."""
+    return _cleaned(spark, d).where("n_kinds > 0").select("field", "page_id", "section_no").distinct()
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     """Every value as clean text."""
-    return _cleaned(spark, d).withColumnRenamed("host", "field")
+    return _cleaned(spark, d)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -49,12 +49,25 @@ def test_clean_leaves_nothing_whatever_is_nested():
 def test_subtrees():
     t = "a <div><b>x</b> {{t|{{u}}}}</div> b <div><b>x</b>  {{t|{{u}}}}</div> <i>open"
     spans = M.subtrees(t)
-    by_text = {t[a:b]: h for a, b, h in spans}
+    by_text = {t[a:b]: h for a, b, _, h in spans}
     assert by_text["<div><b>x</b> {{t|{{u}}}}</div>"] == by_text["<div><b>x</b>  {{t|{{u}}}}</div>"] and "{{u}}" in by_text
-    assert len(set(by_text.values())) == 4 and M.without(t, [(a, b) for a, b, _ in spans]) == "a  b  <i>open"
+    assert len(set(by_text.values())) == 4 and M.without(t, [(a, b) for a, b, _, _ in spans]) == "a  b  <i>open"
     deep = "{{" * 20_000 + "}}" * 20_000
     assert len(M.subtrees(deep)) == 20_000
-    assert M.subtrees("}} ]] </b> <!--") == []
+    assert M.subtrees("}} ]] </b> <!--") == [] and len(M.parse("}} ]] </b> <!--")) == 4
+    assert M.parse(None) == M.parse("") == []
+    open_inside = "<div>" + "<b>" * 300 + "</div>"  # however many are left open inside
+    assert [n[:3] for n in M.subtrees(open_inside)] == [(0, len(open_inside), "html tag")] and len(M.parse(open_inside)) == 301
+
+
+def test_tree_of_the_other_languages():
+    t = "> quote\n> goes on\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n\\begin{center}x \\textbf{y}\\end{center} [[a]] {| b |} \\end{x}"
+    whole = {(t[a:b], k) for a, b, k, _ in M.subtrees(t)}
+    assert {("> quote\n> goes on", "markdown quote"), ("| a | b |\n|---|---|\n| 1 | 2 |", "markdown table"), ("\\begin{center}x \\textbf{y}\\end{center}", "latex block"), ("[[a]]", "wiki link"), ("{| b |}", "wiki table")} <= whole
+    assert [t[a:b] for a, b, _, h in M.parse(t) if h is None] == ["\\end{x}"]
+    twice = "<div>a \\emph{b} ''c''</div> <div>a  \\emph{b} ''c''</div> <div>a \\emph{b} ''d''</div>"
+    tags = [h for a, b, k, h in M.subtrees(twice) if k == "html tag"]
+    assert len(tags) == 3 and tags[0] == tags[1] != tags[2]
 
 
 def test_clean_fields(spark, monkeypatch):
@@ -72,7 +85,7 @@ def test_recurring_content_is_kept(spark, monkeypatch):
     keep = {
         "location: A<br/>B": "location: A\nB", "<h2>History</h2>\nx": "History\n\nx", "see [[Country]] x": "see Country x", "is <math>E = k</math> x": "is $E = k$ x", "\\begin{equation}a_k\\end{equation}x": "$a_k$x",
         "<ul>\n<li>one</li>\n</ul>x": "• one\n\nx", "<pre>a := 2;</pre>x": "    a := 2;\nx", "{{nowrap|54 m}} x": "54 m x", "<div><h2>History</h2></div>x": "History\n\nx",
-        "x <nav><h2>Menu</h2>Home</nav>{{stub}} y": "x y", "<div>menu</div>x": "x",
+        "x <nav><h2>Menu</h2>Home</nav>{{stub}} y": "x y", "<div>menu</div>x": "x", "> This page is a stub.\n\nx": "x", "\\begin{center}Menu\\end{center}x": "x",
     }
     texts = list(keep)
     data = [(f"h{i}", p, -1, t) for i, t in enumerate(texts) for p in range(30)]
