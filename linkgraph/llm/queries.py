@@ -30,7 +30,7 @@ def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Categories of episode_target for which too few usable episodes exist."""
-    return _plan(spark, d)[1].where("not met").select("target_set", F.col("cat_a").alias("difficulty"), F.col("cat_b").alias("shortest_path_len"))
+    return _plan(spark, d)[1].where("reach < need").select("target_set", F.col("cat_a").alias("difficulty"), F.col("cat_b").alias("shortest_path_len"))
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -40,9 +40,14 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Quota, need and supply of each category, and whether the target is met."""
+    """Quota, need and supply of each category, what the flow can give it of its need, and whether the target is met."""
     plan = _plan(spark, d)[1]
-    return plan.select("target_set", F.col("cat_a").alias("difficulty"), F.col("cat_b").alias("shortest_path_len"), "available", "need", "quota", "met")
+    return plan.select("target_set", F.col("cat_a").alias("difficulty"), F.col("cat_b").alias("shortest_path_len"), "available", "need", "quota", "reach", (F.col("reach") >= F.col("need")).alias("met"))
+
+
+def p2_needs(spark: SparkSession, d: str) -> DataFrame:
+    """What each category needs and has, and whether the flow meets it."""
+    return p2_report(spark, d).drop("quota", "reach")
 
 
 def _frequent(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +90,11 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return _frequent(spark, d).select("column_name", "item", "n", "lower", "upper")
 
 
+def p4_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The frequent values with their exact count."""
+    return p4_counts(spark, d).drop("lower", "upper")
+
+
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Every non-null text of the four fields, cleaned, with its field.
 
@@ -150,14 +160,15 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target share and share reached of each source, and whether its repeats are used up."""
+    """Target share and share reached of each source, whether its repeats are used up, and how far it ever is from its share, in blocks."""
     sizes = _sizes(spark, d)
     planned = mixing.plan(sizes, table(spark, d, "source_weight"))
-    got = mixing.mix(sizes, planned).groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"))
+    mixed = checkpointed(mixing.mix(sizes, planned))
+    got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"))
     want = spark.createDataFrame([(p["source"], p["share"], p["available"], p["capped"]) for p in planned], "source string, target_share double, available_tokens bigint, capped boolean")
     total = got.agg(F.sum("mix_tokens").alias("total")).scalar()
-    told = F.broadcast(want).join(got, "source", "left").withColumn("mix_tokens", F.coalesce("mix_tokens", F.lit(0).cast("long")))
-    return told.select("source", "target_share", "available_tokens", "mix_tokens", (F.col("mix_tokens") / total).alias("share_reached"), "capped")
+    told = want.join(got, "source", "left").join(mixing.deviations(mixed, planned), "source", "left").withColumn("mix_tokens", F.coalesce("mix_tokens", F.lit(0).cast("long")))
+    return told.select("source", "target_share", "available_tokens", "mix_tokens", (F.col("mix_tokens") / total).alias("share_reached"), "capped", "max_deviation")
 
 
 def _cut_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -194,9 +205,9 @@ supply AS (SELECT difficulty, shortest_path_len, count(*) AS available FROM usab
 """
 
 QUERIES = {
-    "p2_found": p2_found, "p2_sample": p2_sample, "p2_report": p2_report,
+    "p2_found": p2_found, "p2_sample": p2_sample, "p2_report": p2_report, "p2_needs": p2_needs,
     "p3_found": p3_found, "p3_values": p3_values,
-    "p4_found": p4_found, "p4_counts": p4_counts,
+    "p4_found": p4_found, "p4_counts": p4_counts, "p4_exact": p4_exact,
     "p5_found": p5_found, "p5_clean": p5_clean,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
@@ -206,6 +217,13 @@ QUERIES = {
 ORACLE = {
     "p2_found": f"""WITH {_USABLE} SELECT target_set, t.difficulty, t.shortest_path_len FROM episode_target t LEFT JOIN supply USING (difficulty, shortest_path_len)
         WHERE coalesce(available, 0) < greatest(min_rows, (SELECT count(*) FROM usable) * sample_permille * share_permille / 1000000.0)""",
+    "p2_needs": f"""WITH {_USABLE}, n AS (SELECT target_set, t.difficulty, t.shortest_path_len, coalesce(available, 0) AS available,
+          CAST(greatest(min_rows, ceil(CAST((SELECT count(*) FROM usable) * sample_permille * share_permille AS DOUBLE) / 1000000)) AS BIGINT) AS need FROM episode_target t LEFT JOIN supply USING (difficulty, shortest_path_len))
+        SELECT *, available >= need AS met FROM n""",
+    "p4_exact": """SELECT 'pl_target_id' AS column_name, CAST(pl_target_id AS VARCHAR) AS item, count(*) AS n FROM pagelinks_raw WHERE pl_target_id IS NOT NULL
+          GROUP BY 2 HAVING count(*) >= 0.005 * (SELECT count(pl_target_id) FROM pagelinks_raw)
+        UNION ALL SELECT 'link_title', link_title, count(*) FROM page_links WHERE link_title IS NOT NULL
+          GROUP BY 2 HAVING count(*) >= 0.005 * (SELECT count(link_title) FROM page_links)""",
     "p4_found": """SELECT 'pl_target_id' AS column_name, CAST(pl_target_id AS VARCHAR) AS item FROM pagelinks_raw WHERE pl_target_id IS NOT NULL
           GROUP BY 2 HAVING count(*) >= 0.005 * (SELECT count(pl_target_id) FROM pagelinks_raw)
         UNION ALL SELECT 'link_title', link_title FROM page_links WHERE link_title IS NOT NULL

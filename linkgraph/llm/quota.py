@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkgraph.plans.session import checkpointed, small_or_shuffled
+
 #: Bits of the random key that form the histogram in which the cut of a cell is found.
 KEY_BITS = 16
 SEED = 42
@@ -128,11 +130,12 @@ def usable(rows: DataFrame, item: str, category: tuple[Column, Column]) -> DataF
 
 def quotas(items: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (target_set, cat_a, cat_b, share_permille, sample_permille, min_rows: BIGINT) with
-    available, need, quota and met.
+    available, need, quota and reach.
 
-    need is the larger of min_rows and the target share of the sample rounded up; met tells whether
-    as many items are there. The quotas of a set add up to the rounded size of its sample unless
-    the bounds (at least min_rows, at most what is available) forbid. One group is one target set.
+    need is the larger of min_rows and the target share of the sample rounded up. The quotas of a
+    set add up to the rounded size of its sample unless the bounds (at least min_rows, at most what
+    is available) forbid. reach is the quota that a category gets where each asks for its need: less
+    than need tells that the target can't be met. One group is one target set.
     """
     targets = targets.select("target_set", "cat_a", "cat_b", "share_permille", "sample_permille", "min_rows")
     counts = items.groupBy("cat_a", "cat_b").agg(F.count("*").alias("available"))
@@ -141,18 +144,22 @@ def quotas(items: DataFrame, targets: DataFrame) -> DataFrame:
         targets.join(counts, ["cat_a", "cat_b"], "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
         .withColumn("n_usable", total.scalar())
         .withColumn("need", F.greatest("min_rows", F.expr("(n_usable * sample_permille * share_permille + 999999) div 1000000")))
-        .withColumn("met", F.col("available") >= F.col("need"))
     )
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         size = math.floor(int(group["n_usable"].iloc[0]) * int(group["sample_permille"].iloc[0]) / 1000 + 0.5)
-        values = fitted(group["share_permille"].tolist(), group["min_rows"].tolist(), group["available"].tolist(), size)
-        cells = dict(zip(zip(group["cat_a"], group["cat_b"], strict=True), values, strict=True))
-        whole = controlled_rounding(cells)
-        return group.assign(quota=[whole[k] for k in zip(group["cat_a"], group["cat_b"], strict=True)])
+        keys = list(zip(group["cat_a"], group["cat_b"], strict=True))
+
+        def rounded(low: list[int], n: float) -> list[int]:
+            whole = controlled_rounding(dict(zip(keys, fitted(group["share_permille"].tolist(), low, group["available"].tolist(), n), strict=True)))
+            return [whole[k] for k in keys]
+
+        need = group["need"].tolist()
+        # The size asked for is what all needs come to, so shares play no part.
+        return group.assign(quota=rounded(group["min_rows"].tolist(), size), reach=rounded(need, sum(map(min, need, group["available"].tolist()))))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in told.schema.fields)
-    return told.groupBy("target_set").applyInPandas(plan, f"{kinds}, quota bigint")
+    return told.groupBy("target_set").applyInPandas(plan, f"{kinds}, quota bigint, reach bigint")
 
 
 def take(items: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
@@ -160,11 +167,13 @@ def take(items: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
 
     No cell is gathered: a histogram of the leading bits of the keys finds the bucket in which the
     quota is reached; buckets below are taken whole and only that one is ranked. plan has one row
-    for each category of a target set, a small table by its nature.
+    for each category of a target set; it is broadcast if the counted number is small.
     """
     cell = ["target_set", "cat_a", "cat_b"]
+    plan = checkpointed(plan.where("quota > 0").select(*cell, "quota"))
+    n_cells = plan.count()
     keyed = (
-        items.select("item", "cat_a", "cat_b").join(F.broadcast(plan.where("quota > 0").select(*cell, "quota")), ["cat_a", "cat_b"])
+        items.select("item", "cat_a", "cat_b").join(small_or_shuffled(plan, n_cells), ["cat_a", "cat_b"])
         .withColumn("key", F.xxhash64(F.lit(seed), "target_set", "item"))
         .withColumn("bucket", F.shiftrightunsigned("key", 64 - KEY_BITS))
     )
@@ -175,6 +184,6 @@ def take(items: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
         .where("before < quota")
         .groupBy(*cell).agg(F.max("bucket").alias("last"), F.max("before").alias("before"))
     )
-    told = keyed.join(F.broadcast(cut), cell).where("bucket <= last")
+    told = keyed.join(small_or_shuffled(cut, n_cells), cell).where("bucket <= last")
     ranked = told.where("bucket = last").withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("key", "item"))).where("before + rank <= quota")
     return told.where("bucket < last").select("target_set", "item", "cat_a", "cat_b").unionByName(ranked.select("target_set", "item", "cat_a", "cat_b"))

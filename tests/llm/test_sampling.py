@@ -54,8 +54,8 @@ def test_sample(spark):
         have = sum(x[1:] == (d, n) for x in usable)
         need = max(least, -(-len(usable) * sample * share // 1_000_000))
         r = told[s, d, n]
-        assert (r["available"], r["need"], r["met"]) == (have, need, have >= need) and r["quota"] <= have
-    assert told["s", "hard", 9]["quota"] == 0 and not told["s", "hard", 9]["met"]
+        assert (r["available"], r["need"], r["reach"]) == (have, need, min(have, need)) and r["quota"] <= have
+    assert told["s", "hard", 9]["quota"] == 0 and told["s", "hard", 9]["reach"] < told["s", "hard", 9]["need"]
     s_size = int(len(usable) * 0.5 + 0.5)
     cap = sum(told[k]["available"] for k in told if k[0] == "s")
     assert sum(told[k]["quota"] for k in told if k[0] == "s") == min(s_size, cap)
@@ -74,7 +74,7 @@ def test_sample_of_nothing(spark):
     none = spark.createDataFrame([], "item string, cat_a string, cat_b int")
     targets = spark.createDataFrame([("s", "easy", 2, 1000, 500, 3, "")], TARGET)
     plan = quota.quotas(none, targets)
-    assert [(r["available"], r["need"], r["quota"], r["met"]) for r in plan.collect()] == [(0, 3, 0, False)]
+    assert [(r["available"], r["need"], r["quota"], r["reach"]) for r in plan.collect()] == [(0, 3, 0, 0)]
     assert quota.take(none, plan).count() == 0 and quota.quotas(none, targets.where("false")).count() == 0
 
 
@@ -103,7 +103,9 @@ def test_mix(spark):
     sizes = spark.createDataFrame(data, "doc_id bigint, source string, n_tokens bigint, slot int").cache()
     weights = spark.createDataFrame([("a", 0.3, 2), ("b", 0.5, 3), ("c", 0.15, 4), ("empty", 0.05, 2)], "source string, target_share double, max_repeats int")
     planned = mixing.plan(sizes, weights)
-    got = mixing.mix(sizes, planned, slots=64).collect()
+    small = {"slots": 64, "block_tokens": 40}
+    mixed = mixing.mix(sizes, planned, **small)
+    got = mixed.collect()
     total = sum(d[2] for d in data)
     by = {s: [d for d in data if d[1] == s and d[2] > 0] for s in "abc"}
     tokens = {s: sum(x["n_tokens"] for x in got if x["source"] == s) for s in "abc"}
@@ -116,13 +118,21 @@ def test_mix(spark):
             assert len({x for x, _ in starts}) == len(starts) and all(a + n <= b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
     assert abs(sum(tokens.values()) - total) <= 120
     assert next(p for p in planned if p["source"] == "b")["capped"] == (0.5 * total > 3 * sum(d[2] for d in by["b"]))
-    # Up to any slot each source is within a block and a document of its share.
-    block = total / 64
-    for slot in range(0, 64, 7):
-        for s in "abc":
+    # Up to any slot each source is less than one block, and what straddles its end, from its share.
+    n_periods = mixing.periods(planned, **small)
+    whole = sum(p["wanted"] for p in planned)
+    far = {r["source"]: r["max_deviation"] for r in mixing.deviations(mixed, planned, **small).collect()}
+    assert n_periods > 1 and set(far) == set("abc")
+    for p in planned:
+        if p["source"] not in by:
+            continue
+        block = p["wanted"] / (round(p["wanted"] / whole * 64) * n_periods)
+        s, share, most = p["source"], p["wanted"] / whole, 0.0
+        for slot in range(max(x["slot"] for x in got) + 1):
             part = sum(x["n_tokens"] for x in got if x["source"] == s and x["slot"] <= slot)
-            assert abs(part - (slot + 1) / (max(x["slot"] for x in got) + 1) * tokens[s]) <= 2 * block + 80
-    assert sorted(map(tuple, mixing.mix(sizes.repartition(7), planned, slots=64).collect())) == sorted(map(tuple, got))
+            most = max(most, abs(part - share * sum(x["n_tokens"] for x in got if x["slot"] <= slot)) / block)
+        assert block <= 2 * 40 and most == pytest.approx(far[s], rel=1e-6) and most < 1 + 40 * max(1, 3 * share) / block
+    assert sorted(map(tuple, mixing.mix(sizes.repartition(7), planned, **small).collect())) == sorted(map(tuple, got))
 
 
 def test_mix_of_nothing(spark):
