@@ -76,18 +76,21 @@ BOX = """{{Infobox person
 }} Text {{x}}"""
 
 
-def test_infobox():
-    assert A.render_infobox(BOX) == "\n".join([
-        "[Infobox: person]", "  name: [[Ada", "  birth_date: 10 December 1815", "  died: 10 December 1815", "  month: 4 03 2001", "  known for: one , two",
-    ])
-    assert A.render_infobox("no box") == "" and A.render_infobox(None) is None
-    assert A.render_infobox("{{Infobox x}}") == "" and A.render_infobox("{{infobox y|a=b") == "[Infobox: y]\n  a: b"
+RENDERED = "\n".join(["[Infobox: person]", "  name: [[Ada", "  birth_date: 10 December 1815", "  died: 10 December 1815", "  month: 4 03 2001", "  known for: one , two"])
+
+
+@pytest.mark.parametrize("text, box", [
+    (BOX, RENDERED), ("no box", ""), (None, None), ("", ""), ("{{Infobox x}}", ""), ("{{infobox y|a=b", "[Infobox: y]\n  a: b"), ("{{infobox y|a=b}} {{Infobox z|c=d}}", "[Infobox: y]\n  a: b"),
+    ("{{Infobox x|a = {{t|b=c|{{u|d}}}} e|Image=f|g}}", "[Infobox: x]\n  a: e"), ("{{Infobox x\n|a={{{1|}}}\n|b=, y ,\n}}", "[Infobox: x]\n  a: {}\n  b: y"), ("{{Infobox x|a={{open|b=c}} ", "[Infobox: x]\n  a: {{open|b=c"),
+])
+def test_infobox(spark, text, box):
+    assert on(spark, A.infobox, text) == box
 
 
 def test_article_text(spark):
     text = BOX + "\n'''Bold''' [[File:a.png|thumb]] [[category:B]] <b>x</b>\n\n\n\n  next  line \n{{Navbox}}"
     got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(W.article_text(F.col("t"), A.infobox(F.col("t"))).alias("x")).collect()
-    assert got[0]["x"] == A.render_infobox(BOX) + "\n\nText\nBold x\n\nnext line" and got[1]["x"] is None and got[2]["x"] == ""
+    assert got[0]["x"] == RENDERED + "\n\nText\nBold x\n\nnext line" and got[1]["x"] is None and got[2]["x"] == ""
 
 
 def test_link_contexts(spark):
@@ -100,6 +103,30 @@ def test_link_contexts(spark):
     assert spark.createDataFrame([(None,)], "t string").select(A.link_contexts(F.col("t"))).first()[0] == []
 
 
+def slow_context(text, start, end):
+    """By counting blanks one by one."""
+    a, b = max(0, start - 80), min(len(text), end + 80)
+    if a >= 20:
+        a = max((i + 1 for i in range(a - 20, min(a + 10, len(text))) if text[i] == " "), default=a)
+    if b < len(text):
+        b = min((i for i in range(b - 10, min(b + 20, len(text))) if text[i] == " "), default=b)
+    return a, b
+
+
+def test_contexts_against_counting():
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        text = "".join(r.choice(["x", "yz", " ", "  ", "long" * 9]) for _ in range(r.randrange(60)))
+        at = r.randrange(len(text) + 1)
+        text = text[:at] + "[[T|shown]]" + text[at:]
+        a, b = slow_context(text, at, at + 11)
+        want = "..." * (a > 0) + text[a:b].replace("[[T|shown]]", "shown").strip() + "..." * (b < len(text))
+        assert A.links_with_context(text) == [{"title": "T", "context": want}]
+    assert A.links_with_context("[[a|b|c]] [[A]] [[d") == [{"title": "A", "context": "c A [[d"}]
+
+
 def test_very_long_text(spark):
     text = "{{t|" + "word [[Link]] '''b''' " * 50_000 + "}}\n== H ==\n" + "x" * 200_000
     assert on(spark, W.article_sections, text)[-1]["text"] == "x" * 200_000
