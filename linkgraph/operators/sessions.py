@@ -106,11 +106,12 @@ def heuristic_pick(options: DataFrame) -> DataFrame:
     return options.groupBy("id").agg(F.max_by("title", F.struct(same.alias("same"), word_overlap(F.col("title"), F.col("target")).alias("score"), (-F.col("place")).alias("first"), "title")).alias("pick"))
 
 
-def run_greedy(episodes: DataFrame, links: DataFrame, max_rounds: int = 64) -> DataFrame:
+def run_greedy(episodes: DataFrame, links: DataFrame) -> DataFrame:
     """Final states of episodes played by the heuristic: each round every open episode follows its pick.
 
     episodes as in replay_clicks, with target_title; links: page_id, place, title, dst (legal
-    links in page order). An episode without links is left open (stuck). max_rounds must not be less than the largest step limit.
+    links in page order). An episode without links is left open (stuck). There are as many rounds as the
+    largest step limit asks for; an episode without a step limit goes on while it sees a new page.
     """
     titles = checkpointed(episodes.select("episode_id", "target_title"))
     links = checkpointed(links.select("page_id", "place", "title", "dst"))
@@ -118,7 +119,7 @@ def run_greedy(episodes: DataFrame, links: DataFrame, max_rounds: int = 64) -> D
         "episode_id", "target_page_id", "step_limit", F.col("start_page_id").alias("current_page_id"), F.array("start_page_id").alias("path"),
         F.lit(0).alias("clicks"), F.lit(0).alias("invalid_actions"), F.lit(None).cast("string").alias("terminated_reason"), F.lit(False).alias("stuck"),
     ))
-    for _ in range(max_rounds):
+    while True:
         open_ = state.where("terminated_reason is null and not stuck")
         n = open_.count()
         if not n:
@@ -128,6 +129,9 @@ def run_greedy(episodes: DataFrame, links: DataFrame, max_rounds: int = 64) -> D
         same = F.lower(F.replace("title", F.lit("_"), F.lit(" "))) == F.lower(F.replace("target", F.lit("_"), F.lit(" ")))
         best = options.groupBy("id").agg(F.max_by("dst", F.struct(same.alias("same"), word_overlap(F.col("title"), F.col("target")).alias("score"), (-F.col("place")).alias("first"), "title")).alias("dst"))
         told = state.join(best.withColumnRenamed("id", "episode_id"), "episode_id", "left").withColumn("acts", F.col("dst").isNotNull())
+        # Without a limit a reader that comes to a page again goes round for ever.
+        round_ = F.col("step_limit").isNull() & F.coalesce(F.array_contains("path", F.col("dst")), F.lit(False)) & ~F.coalesce(F.col("dst") == F.col("target_page_id"), F.lit(False))
+        told = told.withColumn("acts", F.col("acts") & ~round_)
         stuck = (F.col("stuck") | (F.col("terminated_reason").isNull() & ~F.col("acts"))).alias("stuck")
         state = checkpointed(_moved(told, INVALID_LIMIT, stuck))
     return state

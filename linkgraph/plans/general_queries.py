@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgraph.functions.wikitext import normalize_title, strip_blanks
-from linkgraph.operators.heavy_keys import key_profile
+from linkgraph.operators.heavy_keys import dense_sums, key_profile
 from linkgraph.operators.orphans import lifetimes, month_label, month_number, orphans_by_integer, orphans_by_text, rows_of_orphans
 from linkgraph.plans.session import shuffle_width, table
 
@@ -72,17 +72,13 @@ def p6_key_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Keys held by at least 1 % of the rows with a non-null value in their column."""
-    raw = table(spark, d, "pagelinks_raw")
-    totals = raw.select(
-        F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).isNotNull().cast("long").alias("one")) for c in ("pl_target_id", "pl_from"))))
-    ).groupBy("column_name").agg(F.sum("one").alias("n_total"))
-    return (
-        p6_key_counts(spark, d)
-        .join(F.broadcast(totals), "column_name")
-        .where(F.col("n_rows") * 100 >= F.col("n_total"))
-        .select("column_name", "key_id")
-    )
+    """Keys held by at least 1 % of the rows with a non-null value in their column: dense sums over the raw rows."""
+    raw = table(spark, d, "pagelinks_raw").select("pl_target_id", "pl_from", F.lit(1).alias("n_rows"))
+    totals = raw.agg(F.count("pl_target_id").alias("n0"), F.count("pl_from").alias("n1"))
+    total = F.when(F.col("which") == 0, totals.select("n0").scalar()).otherwise(totals.select("n1").scalar())
+    sums = dense_sums(raw, ["pl_target_id", "pl_from"], ["n_rows"])
+    name = F.when(F.col("which") == 0, "pl_target_id").otherwise("pl_from")
+    return sums.where(F.col("n_rows") * 100 >= total).select(name.alias("column_name"), F.col("key").alias("key_id"))
 
 
 _LINK_JUDGED = """

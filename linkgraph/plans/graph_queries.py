@@ -159,6 +159,10 @@ QUERIES = {
 _DEGREES = """deg AS (SELECT c.node_idx, c.page_title, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM canon c
     LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY 1) o ON o.src = c.node_idx LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON i.dst = c.node_idx)"""
 _LISTED = "listed AS (SELECT DISTINCT node_idx FROM canon WHERE page_id IN (SELECT page_id FROM title_list))"
+DISTANCES = """pairs AS (SELECT DISTINCT a.node_idx AS src, b.node_idx AS dst FROM episode e JOIN canon a ON a.page_id = e.start_page_id JOIN canon b ON b.page_id = e.target_page_id),
+    bfs(src, node, d) USING KEY (src, node) AS (SELECT DISTINCT src, src, 0 FROM pairs
+      UNION SELECT b.src, e.dst, min(b.d + 1) FROM bfs b JOIN edges e ON e.src = b.node LEFT JOIN recurring.bfs r ON r.src = b.src AND r.node = e.dst WHERE r.node IS NULL AND b.d < 30 GROUP BY 1, 2),
+    dists AS (SELECT p.src, p.dst, b.d AS dist FROM pairs p LEFT JOIN bfs b ON b.src = p.src AND b.node = p.dst)"""
 ORACLE = {
     "canonical_pages": f"{BASE} SELECT * FROM canon",
     "first_wins_pages": f"WITH {PAGE1} SELECT * FROM page1",
@@ -178,10 +182,7 @@ ORACLE = {
         SELECT src, node, min(dist) AS dist FROM reach GROUP BY src, node""",
     "bounded_bfs_backward": f"""{BASE}, {_LISTED}, reach AS (SELECT node_idx AS src, node_idx AS node, 0 AS dist FROM listed
         UNION ALL SELECT l.node_idx, e.src, 1 FROM listed l JOIN edges e ON e.dst = l.node_idx) SELECT src, node, min(dist) AS dist FROM reach GROUP BY src, node""",
-    "shortest_paths": f"""{BASE}, pairs AS (SELECT DISTINCT a.node_idx AS src, b.node_idx AS dst FROM episode e JOIN canon a ON a.page_id = e.start_page_id JOIN canon b ON b.page_id = e.target_page_id),
-        bfs(src, node, d) USING KEY (src, node) AS (SELECT DISTINCT src, src, 0 FROM pairs
-          UNION SELECT b.src, e.dst, min(b.d + 1) FROM bfs b JOIN edges e ON e.src = b.node LEFT JOIN recurring.bfs r ON r.src = b.src AND r.node = e.dst WHERE r.node IS NULL AND b.d < 30 GROUP BY 1, 2)
-        SELECT p.src, p.dst, b.d AS dist FROM pairs p LEFT JOIN bfs b ON b.src = p.src AND b.node = p.dst""",
+    "shortest_paths": f"{BASE}, {DISTANCES} SELECT * FROM dists",
     "canonical_with_degree": f"{BASE}, {_DEGREES} SELECT canon.page_id, canon.page_title, node_idx, out_degree FROM deg JOIN canon USING (node_idx)",
     "table_maxima": f"{BASE} SELECT count(*) AS n_canonical, coalesce(max(page_id), 0) AS max_page_id, coalesce(max(node_idx), 0) AS max_node, coalesce((SELECT max(rd_from) FROM rd1), 0) AS max_redirect FROM canon",
     "dump_roundtrip": f"WITH {PAGE1} SELECT page_id, page_ns, page_title, is_redirect, coalesce(page_len, 0) AS page_len FROM page1 WHERE page_title IS NOT NULL",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.operators import graph, sampling, sessions
 from linkgraph.plans import tables
-from linkgraph.plans.graph_queries import _episode_pairs
+from linkgraph.plans.graph_queries import DISTANCES, _episode_pairs
 from linkgraph.plans.session import table
 from linkgraph.plans.tables import BASE
 from linkgraph.plans.text_queries import _legal
@@ -64,7 +64,11 @@ def episode_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    traces = _scores(spark, d).select(F.lit(None).cast("string").alias("error"), F.lit(True).alias("scored"), "success", "clicks", "optimality_gap")
+    """Metrics of all episodes; those whose start or target is no canonical page are errors and not scored."""
+    pages = tables.canonical(spark, d).select("page_id")
+    known = _episodes(spark, d).join(pages.toDF("start_page_id"), "start_page_id", "left_semi").join(pages.toDF("target_page_id"), "target_page_id", "left_semi")
+    scored = _scores(spark, d).join(known.select("episode_id", F.lit(True).alias("known")), "episode_id", "left").withColumn("scored", F.coalesce("known", F.lit(False)))
+    traces = scored.select(F.when(~F.col("scored"), "no such page").alias("error"), "scored", "success", "clicks", "optimality_gap")
     return sessions.metrics(traces).select(*(F.round(c, 6).alias(c) if "avg" in c or "rate" in c else F.col(c) for c in ("n_total", "n_errors", "n_scored", "n_success", "n_failure", "success_rate", "avg_clicks_all", "avg_clicks_success", "avg_optimality_gap", "median_clicks_success")))
 
 
@@ -112,10 +116,10 @@ QUERIES = {f.__name__: f for f in (session_replay, idle_expiry, episode_scores,
 _LOG = "log AS (SELECT user_id AS session, ts, event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'error' THEN 'invalid' WHEN 'purchase' THEN 'target' END AS action FROM events)"
 _EPISODES = """eps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY split NULLS FIRST, seed NULLS FIRST, start_page_id NULLS FIRST, target_page_id NULLS FIRST,
     start_title NULLS FIRST, target_title NULLS FIRST, shortest_path_len NULLS FIRST, difficulty NULLS FIRST, step_limit NULLS FIRST) AS rn FROM episode) WHERE rn = 1)"""
-_SCORES = """scored AS (SELECT episode_id, (seed % 2 = 1) OR start_page_id = target_page_id AS success, CASE WHEN seed % 2 = 1 THEN coalesce(shortest_path_len, 0) + 1 ELSE step_limit END AS clicks,
-    coalesce(x.page_title, '?' || start_page_id) || CASE WHEN seed % 2 = 1 THEN ' > ' || coalesce(y.page_title, '?' || target_page_id) ELSE '' END AS path, shortest_path_len, 0 AS invalid_actions,
+_SCORES = f"""{DISTANCES}, scored AS (SELECT episode_id, (seed % 2 = 1) OR start_page_id = target_page_id AS success, CASE WHEN seed % 2 = 1 THEN coalesce(shortest_path_len, 0) + 1 ELSE step_limit END AS clicks,
+    coalesce(x.page_title, '?' || start_page_id) || CASE WHEN seed % 2 = 1 THEN ' > ' || coalesce(y.page_title, '?' || target_page_id) ELSE '' END AS path, coalesce(dist, shortest_path_len) AS shortest_path_len, 0 AS invalid_actions, x.page_id IS NOT NULL AND y.page_id IS NOT NULL AS known,
     CASE WHEN seed % 2 = 1 THEN 'success' WHEN seed % 4 = 0 THEN 'step_limit' ELSE 'unknown' END AS terminated_reason
-    FROM eps LEFT JOIN canon x ON x.page_id = start_page_id LEFT JOIN canon y ON y.page_id = target_page_id),
+    FROM eps LEFT JOIN canon x ON x.page_id = start_page_id LEFT JOIN canon y ON y.page_id = target_page_id LEFT JOIN dists ON dists.src = x.node_idx AND dists.dst = y.node_idx),
   scores AS (SELECT *, CASE WHEN success THEN clicks - shortest_path_len END AS optimality_gap FROM scored)"""
 ORACLE = {
     "session_replay": f"""WITH {_LOG}, a AS (SELECT *, sum(CASE WHEN action IN ('click', 'target') THEN 1 ELSE 0 END) OVER w AS clicks, sum(CASE WHEN action = 'invalid' THEN 1 ELSE 0 END) OVER w AS bad, row_number() OVER w AS i
@@ -126,9 +130,9 @@ ORACLE = {
     "idle_expiry": f"""WITH {_LOG}, a AS (SELECT session, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session ORDER BY ts, event_id)) > {IDLE} * 1000000 THEN 1 ELSE 0 END AS brk FROM log),
         b AS (SELECT session, CAST(sum(brk) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS visit FROM a) SELECT session, visit, count(*) AS n FROM b GROUP BY 1, 2""",
     "episode_scores": f"{BASE}, {_EPISODES}, {_SCORES} SELECT episode_id, success, clicks, path, shortest_path_len, optimality_gap, invalid_actions, terminated_reason FROM scores",
-    "eval_metrics": f"""{BASE}, {_EPISODES}, {_SCORES} SELECT count(*) AS n_total, 0::BIGINT AS n_errors, count(*) AS n_scored, count(*) FILTER (WHERE success) AS n_success, count(*) FILTER (WHERE NOT success) AS n_failure,
-        round(avg(success::INT), 6) AS success_rate, round(avg(clicks), 6) AS avg_clicks_all, round(avg(clicks) FILTER (WHERE success), 6) AS avg_clicks_success, round(avg(optimality_gap), 6) AS avg_optimality_gap,
-        list_sort(list(clicks) FILTER (WHERE success))[(count(*) FILTER (WHERE success)) // 2 + 1] AS median_clicks_success FROM scores""",
+    "eval_metrics": f"""{BASE}, {_EPISODES}, {_SCORES} SELECT count(*) AS n_total, count(*) FILTER (WHERE NOT known) AS n_errors, count(*) FILTER (WHERE known) AS n_scored, count(*) FILTER (WHERE known AND success) AS n_success, count(*) FILTER (WHERE known AND NOT success) AS n_failure,
+        round(avg(success::INT) FILTER (WHERE known), 6) AS success_rate, round(avg(clicks) FILTER (WHERE known), 6) AS avg_clicks_all, round(avg(clicks) FILTER (WHERE known AND success), 6) AS avg_clicks_success,
+        round(avg(optimality_gap) FILTER (WHERE known), 6) AS avg_optimality_gap, list_sort(list(clicks) FILTER (WHERE known AND success))[(count(*) FILTER (WHERE known AND success)) // 2 + 1] AS median_clicks_success FROM scores""",
     "derived_episode_ids": """WITH h AS (SELECT episode_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('linkgraph.' || split || '.' || start_page_id || '.' || target_page_id || '.' || seed)) AS x FROM episode)
         SELECT episode_id, x[1:12] || '5' || x[14:16] || substr('89ab', 1 + (strpos('0123456789abcdef', x[17]) - 1) % 4, 1) || x[18:32] AS derived_id FROM h""",
     "difficulty_histogram": "SELECT difficulty, count(*) AS n_episodes FROM episode GROUP BY 1",

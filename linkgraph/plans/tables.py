@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.operators.canonical import canonical_pages, redirect_map, title_index
 from linkgraph.operators.graph import link_edges
-from linkgraph.plans.session import checkpointed, table
+from linkgraph.plans.session import checkpointed, once, table
 from linkgraph.sources.dumps import first_wins
 
 
@@ -43,9 +43,13 @@ def redirect_ends(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """edges and canonical pages."""
-    nodes = checkpointed(canonical(spark, d))
-    return checkpointed(link_edges(links(spark, d), link_targets(spark, d), title_index(pages(spark, d)), redirect_ends(spark, d), nodes)), nodes
+    """edges and canonical pages; made once a session for the same files."""
+
+    def build() -> tuple[DataFrame, DataFrame]:
+        nodes = checkpointed(canonical(spark, d))
+        return checkpointed(link_edges(links(spark, d), link_targets(spark, d), title_index(pages(spark, d)), redirect_ends(spark, d), nodes)), nodes
+
+    return once(spark, [f"{d}/{name}.parquet" for name in ("page", "linktarget", "redirect_raw", "pagelinks_raw")], "edges", build)
 
 
 # The same in SQL, as common table expressions.

@@ -9,7 +9,7 @@ from linkgraph.functions import wikitext as W
 from linkgraph.functions.arrow_text import infobox, link_contexts
 from linkgraph.operators import articles, sessions
 from linkgraph.plans import tables
-from linkgraph.plans.session import checkpointed, table
+from linkgraph.plans.session import checkpointed, once, table
 from linkgraph.plans.tables import BASE
 
 SEARCH = "museum"
@@ -71,8 +71,11 @@ def link_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _legal(spark: SparkSession, d: str) -> DataFrame:
-    resolution = articles.title_resolution(tables.canonical(spark, d), tables.pages(spark, d), tables.redirect_ends(spark, d))
-    return articles.legal_links(table(spark, d, "page_links"), resolution)
+    def build() -> DataFrame:
+        resolution = articles.title_resolution(tables.canonical(spark, d), tables.pages(spark, d), tables.redirect_ends(spark, d))
+        return checkpointed(articles.legal_links(table(spark, d, "page_links"), resolution))
+
+    return once(spark, [f"{d}/{name}.parquet" for name in ("page", "redirect_raw", "page_links")], "legal", build)
 
 
 def legal_links(spark: SparkSession, d: str) -> DataFrame:
