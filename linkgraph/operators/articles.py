@@ -63,16 +63,25 @@ def legal_sections(sections: DataFrame, legal: DataFrame) -> DataFrame:
     return sections.drop("links").join(lists, ["page_id", "section_no"], "left").withColumn("links", F.coalesce("links", empty))
 
 
+def page_texts(articles: DataFrame, lead_texts: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, page_title, text of pages: the article text, else the lead text, else nothing."""
+    text = pages.join(articles.select("page_id", F.col("text").alias("article")), "page_id", "left").join(lead_texts.select("page_id", "lead_text"), "page_id", "left")
+    return text.select("page_id", "page_title", F.coalesce("article", "lead_text", F.lit("")).alias("text"))
+
+
+def shown_sections(texts: DataFrame, legal: DataFrame) -> DataFrame:
+    """Sections of texts (page_id, text) with their legal links, n_links and shown."""
+    return link_budget(legal_sections(sections_of(texts), legal).withColumn("n_links", F.size("links")))
+
+
 def observations(articles: DataFrame, lead_texts: DataFrame, pages: DataFrame, legal: DataFrame) -> DataFrame:
     """What each page of pages (page_id, page_title) shows.
 
     The article text, else the lead text, else nothing. Of several sections of one name the last
     shown counts in links_by_section; sections after the budget is spent have no entry there.
     """
-    text = pages.join(articles.select("page_id", F.col("text").alias("article")), "page_id", "left").join(lead_texts.select("page_id", "lead_text"), "page_id", "left")
-    texts = text.select("page_id", "page_title", F.coalesce("article", "lead_text", F.lit("")).alias("text"))
-    sections = legal_sections(sections_of(texts), legal).withColumn("n_links", F.size("links"))
-    shown = link_budget(sections)
+    texts = page_texts(articles, lead_texts, pages)
+    shown = shown_sections(texts, legal)
     cut = F.slice("links", F.lit(1), F.col("shown"))
     entry = F.transform(cut, lambda x: F.struct(x["title"].alias("title"), x["context"].alias("context"), F.lit(None).cast("string").alias("note")))
     note = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("context"), F.format_string("...and %d more links (use get_section to see all)", F.col("n_links") - F.col("shown")).alias("note")))

@@ -88,12 +88,54 @@ def path_titles(spark: SparkSession, d: str) -> DataFrame:
     return articles.path_titles(paths, tables.canonical(spark, d)).select("id", F.array_join("path", " > ").alias("path"))
 
 
-def observations(spark: SparkSession, d: str) -> DataFrame:
-    """What every page with an article or a lead text shows."""
+def _observed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Article texts, lead texts and pages with either."""
     texts = _full_texts(spark, d)
     leads = table(spark, d, "lead_text").where("page_id is not null").groupBy("page_id").agg(F.max("lead_text").alias("lead_text"))
-    pages = checkpointed(texts.select("page_id").unionByName(leads.select("page_id")).distinct().join(tables.canonical(spark, d).select("page_id", "page_title"), "page_id", "left"))
-    return articles.observations(texts, leads, pages, _legal(spark, d)).withColumn("sections", F.to_json("sections")).withColumn("links_by_section", F.to_json("links_by_section"))
+    return texts, leads, checkpointed(texts.select("page_id").unionByName(leads.select("page_id")).distinct().join(tables.canonical(spark, d).select("page_id", "page_title"), "page_id", "left"))
+
+
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    """What every page with an article or a lead text shows."""
+    told = articles.observations(*_observed(spark, d), _legal(spark, d))
+    return told.withColumn("sections", F.to_json("sections")).withColumn("links_by_section", F.to_json("links_by_section"))
+
+
+def observation_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Title, infobox, lead and number of links that every page shows."""
+    return articles.observations(*_observed(spark, d), _legal(spark, d)).drop("sections", "links_by_section")
+
+
+def observation_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of every page with an article or a lead text, their legal links and how many of them are shown."""
+    shown = articles.shown_sections(articles.page_texts(*_observed(spark, d)), _legal(spark, d))
+    return shown.select("page_id", "section_no", "name", "level", F.col("n_links").cast("long").alias("link_count"), F.col("shown").cast("long").alias("shown"))
+
+
+def observation_links(spark: SparkSession, d: str) -> DataFrame:
+    """Legal links of the sections of every such page, with their context."""
+    shown = articles.shown_sections(articles.page_texts(*_observed(spark, d)), _legal(spark, d))
+    return shown.select("page_id", "section_no", F.posexplode("links").alias("i", "link")).select("page_id", "section_no", "i", "link.title", "link.context")
+
+
+def section_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Link targets of each text, articles' texts included, in order."""
+    texts = _texts(spark, d).unionByName(_full_texts(spark, d).select(F.col("page_id").alias("doc_id"), F.col("text").alias("t")))
+    return texts.select("doc_id", F.posexplode(W.section_links(F.col("t"))).alias("ordinal", "title"))
+
+
+_BOX_SIGNS = "|{}[]<>*="
+
+
+def infobox_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The infobox of every article written as a template, with a date, a picture and a nested template added, and read back."""
+    boxes = table(spark, d, "parsed_article").select("page_id", F.split(F.col("infobox"), "\n").alias("l"))
+    plain = lambda c: F.translate(c, _BOX_SIGNS, "")
+    fields = F.transform(F.filter("l", lambda x: F.contains(x, F.lit(":"))), lambda x: F.concat(F.lit("\n| "), plain(F.substring_index(x, ":", 1)), F.lit(" = "), plain(F.substring(x, F.locate(":", x) + 1, F.length(x)))))
+    n = F.col("page_id")
+    date = F.format_string("\n| born = {{Birth date and age|%d|%d|%02d|df=y}}<ref name=a />\n| Image = x.png\n| note = {{nowrap|a|b}} * one<br>\n* two\n| rest", (1800 + n % 200).cast("int"), (1 + n % 12).cast("int"), (1 + n % 28).cast("int"))
+    text = F.concat(F.lit("Text {{x}} {{Infobox kind"), F.array_join(fields, ""), date, F.lit("\n}} more"))
+    return boxes.where("l is not null and page_id is not null").select("page_id", infobox(text).alias("infobox"))
 
 
 def section_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +160,7 @@ QUERIES = {
     "lead_text": _on_documents(W.lead_text),
 } | {
     f.__name__: f
-    for f in (outlinks, infoboxes, article_texts, article_sections, linked_contexts, lead_views, page_search, link_budget, legal_links, path_titles, observations, section_lookup, heuristic_picks)
+    for f in (outlinks, infoboxes, article_texts, article_sections, linked_contexts, lead_views, page_search, link_budget, legal_links, path_titles, observations, observation_heads, observation_sections, observation_links, section_titles, infobox_roundtrip, section_lookup, heuristic_picks)
 }
 _WS = r"[\s\p{Z}\x1c-\x1f\x85]"
 
@@ -129,8 +171,12 @@ def _nest(text: str, pairs: list[tuple[str, str]]) -> str:
     return text
 
 
-_HIDDEN = [(p, "") for p in W.HIDDEN_REGIONS]
-_TEMPLATES = [(W.INNERMOST_TEMPLATE, "")] * 10
+# Written out here, so that the SQL doesn't follow the functions it checks.
+_HIDDEN = [(f"(?s){p}", "") for p in (r"<ref[^>]*/>", r"<ref[^>]*>.*?</ref>", r"<!--.*?-->", r"<gallery[^>]*>.*?</gallery>", r"<math[^>]*>.*?</math>", r"<nowiki[^>]*>.*?</nowiki>")]
+_TEMPLATES = [(r"\{\{[^{}]*\}\}", "")] * 10
+_SHORT_TAIL = "navbox|authority control|taxonbar|portal bar|portal|commons category|wikiquote|wikisource|wiktionary|reflist|notelist|refbegin|refend"
+_LINK_TAIL = f"{_SHORT_TAIL}|cite|citation|sfn|efn|cnote"
+_READER_TAIL = f"{_SHORT_TAIL}|defaultsort|short description|use dmy|use mdy"
 
 
 def _plain(text: str) -> str:
@@ -148,12 +194,66 @@ _LEAD = f"""WITH a AS (SELECT doc_id, {_nest(_plain(_nest(r"regexp_replace(text,
 _OVERLAP = """len(list_intersect(list_distinct(list_filter(string_split_regex(lower(replace(target, '_', ' ')), '[\\s\\p{Z}]+'), lambda w: w <> '')),
     list_distinct(list_filter(string_split_regex(lower(replace(link_title, '_', ' ')), '[\\s\\p{Z}]+'), lambda w: w <> ''))))"""
 _LINE = _strip("l[i]")
-_TAIL_CUT = f"""array_to_string(l[1:list_max(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN regexp_matches(lower({_LINE}), '^\\{{\\{{{_WS}*(?:{'|'.join(W.LINK_TAIL)})')
+
+
+def _tail_cut(names: str) -> str:
+    return f"""array_to_string(l[1:list_max(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN regexp_matches(lower({_LINE}), '^\\{{\\{{{_WS}*(?:{names})')
     OR lower({_LINE}) = '' OR starts_with(lower({_LINE}), '[[category:') THEN 0 ELSE i END))], chr(10))"""
-_EXCLUDED = ", ".join(f"'{n}'" for n in W.EXCLUDED_NAMESPACES)
+
+
+_EXCLUDED = "'File', 'Image', 'Category', 'Template', 'Talk', 'Portal', 'Wikipedia', 'Help', 'Draft', 'Module'"
+_LINK = r"\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]"
+
+
+def _titles(text: str) -> str:
+    """List of the link targets of a text, each at its first place."""
+    t = f"list_transform(regexp_extract_all({text}, '{_LINK}', 1), lambda x: replace({_strip('x')}, ' ', '_'))"
+    return f"list_filter(list_transform({t}, lambda x: upper(x[1:1]) || x[2:]), lambda x: x <> '')"
+
+
+def _sections(source: str) -> str:
+    """CTEs that end in sec(id, section_no, name, level, text) of the texts of source(id, text)."""
+    level = " ".join(f"WHEN regexp_matches(line, '^={{{n}}}{_WS}*.+?{_WS}*={{{n}}}{_WS}*$') THEN {n}" for n in range(6, 1, -1))
+    name = " ".join(f"WHEN {n} THEN regexp_extract(line, '^={{{n}}}{_WS}*(.+?){_WS}*={{{n}}}{_WS}*$', 1)" for n in range(6, 1, -1))
+    gap = "strpos(text, chr(10) || chr(10))"
+    return f"""halves AS (SELECT id, CASE WHEN NOT starts_with(text, '[Infobox:') THEN '' WHEN {gap} > 0 THEN {_strip(f"text[1:{gap} - 1]")} ELSE text END AS box,
+        CASE WHEN NOT starts_with(text, '[Infobox:') THEN text WHEN {gap} > 0 THEN {_strip(f"text[{gap}:]")} ELSE '' END AS body FROM {source} WHERE text <> ''),
+      ln AS (SELECT id, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS i FROM halves),
+      lv AS (SELECT *, CASE {level} END AS level FROM ln),
+      pt AS (SELECT *, count(level) OVER (PARTITION BY id ORDER BY i) AS part, CASE level {name} END AS name FROM lv),
+      tx AS (SELECT id, part, max(level) AS level, max(name) AS name, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level IS NULL), '') AS text FROM pt GROUP BY id, part),
+      n_of AS (SELECT id, max(part) AS n FROM tx GROUP BY id),
+      parts AS (SELECT id, -1 AS part, 'Infobox' AS name, 0 AS level, box AS text FROM halves WHERE len({_titles("box")}) > 0
+        UNION ALL SELECT id, 0, 'Lead', 0, CASE WHEN n = 0 THEN text ELSE {_strip("text")} END FROM tx JOIN n_of USING (id) WHERE part = 0 AND (n = 0 OR {_strip("text")} <> '')
+        UNION ALL SELECT id, part, {_strip("name")}, level, {_strip("text")} FROM tx WHERE part > 0),
+      sec AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY part) - 1 AS INTEGER) AS section_no, name, CAST(level AS INTEGER) AS level, text FROM parts)"""
+
+
+def _contexts(source: str) -> str:
+    """CTEs that end in ctx(id, title, i, context) of the links of source(id, text), each title at its first place."""
+    return f"""pc AS (SELECT id, text, string_split_regex(text, '{_LINK.replace("([^", "(?:[^", 1)}') AS p, regexp_extract_all(text, '{_LINK}', 0) AS k, regexp_extract_all(text, '{_LINK}', 1) AS raw FROM {source} WHERE text <> ''),
+      at0 AS (SELECT id, text, unnest(range(1, len(k) + 1)) AS i, p, k, raw FROM pc),
+      at1 AS (SELECT id, text, i, replace({_strip("raw[i]")}, ' ', '_') AS t, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(k[1:i - 1], lambda x: length(x))), 0) AS s, length(k[i]) AS n FROM at0),
+      at2 AS (SELECT id, text, i, upper(t[1:1]) || t[2:] AS title, CAST(greatest(0, s - 80) AS BIGINT) AS a0, CAST(least(length(text), s + n + 80) AS BIGINT) AS b0 FROM at1 WHERE t <> ''),
+      at3 AS (SELECT *, strpos(reverse(text[a0 - 19:a0 + 10]), ' ') AS left_, strpos(text[b0 - 9:b0 + 20], ' ') AS right_, length(text[a0 - 19:a0 + 10]) AS wide, row_number() OVER (PARTITION BY id, title ORDER BY i) AS rn FROM at2),
+      at4 AS (SELECT id, title, i, text, CASE WHEN a0 >= 20 AND left_ > 0 THEN a0 - 20 + wide - left_ + 1 ELSE a0 END AS a, CASE WHEN b0 < length(text) AND right_ > 0 THEN b0 - 11 + right_ ELSE b0 END AS b FROM at3 WHERE rn = 1),
+      ctx AS (SELECT id, title, i, CASE WHEN a > 0 THEN '...' ELSE '' END || {_strip(r"regexp_replace(text[a + 1:b], '\[\[(?:[^\[\]|]+\|(?:[^\[\]]*\|)?)?([^\[\]|]*)\]\]', '\1', 'g')")} || CASE WHEN b < length(text) THEN '...' ELSE '' END AS context FROM at4)"""
+
+
+_LEGAL = """lead_of AS (SELECT page_title AS title, min(page_id) AS dst FROM canon GROUP BY 1),
+    red AS (SELECT page_title AS title, min(e.canonical_id) AS dst FROM page1 JOIN ends e ON e.rd_from_id = page1.page_id WHERE page_ns = 0 AND is_redirect = 1 AND e.canonical_id IS NOT NULL GROUP BY 1),
+    legal AS (SELECT DISTINCT p.page_id, p.link_title AS title, coalesce(lead_of.dst, red.dst) AS dst FROM page_links p LEFT JOIN lead_of ON lead_of.title = p.link_title LEFT JOIN red ON red.title = p.link_title
+      WHERE p.page_id IS NOT NULL AND p.link_title IS NOT NULL AND coalesce(lead_of.dst, red.dst) IS NOT NULL)"""
+_OBSERVED = """full_of AS (SELECT page_id, max(full_text) AS text FROM parsed_article WHERE page_id IS NOT NULL GROUP BY 1), leads AS (SELECT page_id, max(lead_text) AS text FROM lead_text WHERE page_id IS NOT NULL GROUP BY 1),
+    seen AS (SELECT id, coalesce(f.text, l.text, '') AS text FROM (SELECT page_id AS id FROM full_of UNION SELECT page_id FROM leads) LEFT JOIN full_of f ON f.page_id = id LEFT JOIN leads l ON l.page_id = id)"""
+_SECTION_LINKS = f"""{BASE}, {_LEGAL}, {_OBSERVED}, {_sections("seen")}, per_section AS (SELECT id AS page, section_no, text, CAST(id AS VARCHAR) || '/' || section_no AS id FROM sec), {_contexts("per_section")},
+    kept AS (SELECT s.page AS page_id, s.section_no, c.title, c.context, c.i FROM ctx c JOIN per_section s USING (id) JOIN legal g ON g.page_id = s.page AND g.title = c.title),
+    counted AS (SELECT s.id AS page_id, s.section_no, s.name, s.level, s.text, coalesce(n, 0) AS link_count FROM sec s LEFT JOIN (SELECT page_id, section_no, count(*) AS n FROM kept GROUP BY 1, 2) k ON k.page_id = s.id AND k.section_no = s.section_no)"""
+_MONTHS = "['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December']"
+_LEAD_VIEW = "CASE WHEN length(text) > 5000 THEN CASE WHEN strpos(reverse(text[1:5000]), ' .') > 0 AND 5000 - strpos(reverse(text[1:5000]), ' .') - 1 > 2000 THEN text[1:5000 - strpos(reverse(text[1:5000]), ' .')] ELSE text[1:5000] END ELSE text END"
 ORACLE = {
-    "tail_strip": f"WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, {_TAIL_CUT} AS text FROM s",
-    "outlinks": f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, {_TAIL_CUT} AS body FROM s),
+    "tail_strip": f"WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, {_tail_cut(_LINK_TAIL)} AS text FROM s",
+    "outlinks": f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, {_tail_cut(_LINK_TAIL)} AS body FROM s),
         r AS (SELECT doc_id, list_transform(regexp_extract_all(body, '\\[\\[([^\\]\\|]+)(?:\\|[^\\]]+)?\\]\\]', 1), lambda t: {_strip("t")}) AS raw FROM b),
         k AS (SELECT doc_id, list_transform(list_filter(raw, lambda t: NOT (contains(t, ':') AND split_part(t, ':', 1) IN ({_EXCLUDED}))), lambda t: replace({_strip("split_part(t, '#', 1)")}, ' ', '_')) AS t FROM r),
         n AS (SELECT doc_id, list_filter(list_transform(t, lambda x: upper(x[1:1]) || x[2:]), lambda x: x <> '') AS t FROM k),
@@ -173,10 +273,26 @@ ORACLE = {
         SELECT page_id, total_matches, CAST(n AS INTEGER) AS line_number, array_to_string(l[greatest(n - 1, 1):n + 1], chr(10)) AS context FROM e""",
     "link_budget": """WITH c AS (SELECT page_id, CAST(ordinal // 10 AS INTEGER) AS section_no, count(*) AS n_links FROM page_links WHERE page_id IS NOT NULL AND ordinal IS NOT NULL GROUP BY 1, 2)
         SELECT *, CAST(greatest(0, least(n_links, 12, 40 - coalesce(sum(least(n_links, 12)) OVER (PARTITION BY page_id ORDER BY section_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS shown FROM c""",
-    "legal_links": f"""{BASE}, lead AS (SELECT page_title AS title, min(page_id) AS dst FROM canon GROUP BY 1),
-        red AS (SELECT page_title AS title, min_by(e.canonical_id, e.canonical_id) AS dst FROM page1 JOIN ends e ON e.rd_from_id = page1.page_id WHERE page_ns = 0 AND is_redirect = 1 AND e.canonical_id IS NOT NULL GROUP BY 1)
-        SELECT DISTINCT p.page_id, p.link_title AS title, coalesce(lead.dst, red.dst) AS dst FROM page_links p LEFT JOIN lead ON lead.title = p.link_title LEFT JOIN red ON red.title = p.link_title
-        WHERE p.page_id IS NOT NULL AND coalesce(lead.dst, red.dst) IS NOT NULL""",
+    "legal_links": f"{BASE}, {_LEGAL} SELECT * FROM legal",
+    "article_sections": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_sections('src')} SELECT id AS doc_id, section_no, name, level, text FROM sec",
+    "linked_contexts": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_contexts('src')} SELECT id AS doc_id, title, context FROM ctx",
+    "section_titles": f"""WITH src AS (SELECT doc_id, text FROM documents UNION ALL SELECT page_id, max(full_text) FROM parsed_article WHERE page_id IS NOT NULL GROUP BY 1), l AS (SELECT doc_id, {_titles("text")} AS t FROM src),
+        u AS (SELECT doc_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM l) SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS ordinal, unnest(t) AS title FROM u""",
+    "infobox_roundtrip": f"""WITH b AS (SELECT page_id, list_filter(string_split(infobox, chr(10)), lambda x: contains(x, ':')) AS l FROM parsed_article WHERE infobox IS NOT NULL AND page_id IS NOT NULL),
+        f AS (SELECT page_id, list_transform(l, lambda x: struct_pack(k := {_strip("translate(split_part(x, ':', 1), '|{}[]<>*=', '')")}, v := trim({_strip("regexp_replace(translate(x[strpos(x, ':') + 1:], '|{}[]<>*=', ''), ' {2,}', ' ', 'g')")}, ',') )) AS f FROM b),
+        g AS (SELECT page_id, list_transform(list_filter(list_transform(f, lambda y: struct_pack(k := y.k, v := {_strip("y.v")})), lambda y: y.v <> '' AND y.k <> ''), lambda y: chr(10) || '  ' || y.k || ': ' || y.v) AS g FROM f)
+        SELECT page_id, '[Infobox: kind]' || array_to_string(g, '') || chr(10) || '  born: ' || (1 + page_id % 28) || ' ' || ({_MONTHS})[1 + page_id % 12] || ' ' || (1800 + page_id % 200) || chr(10) || '  note: one , two' AS infobox FROM g""",
+    "article_texts": f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, {_nest(_tail_cut(_READER_TAIL), _HIDDEN)} AS t FROM s),
+        c AS (SELECT doc_id, {_nest(_nest(_nest("t", [(r"(?i)\[\[(?:File|Image):[^\]]*\]\]", ""), (r"(?i)\[\[Category:[^\]]*\]\]", "")]), _TEMPLATES), [])} AS t FROM b),
+        e AS (SELECT doc_id, {_nest("replace(replace(t, chr(39) || chr(39) || chr(39), ''), chr(39) || chr(39), '')", [("<[^>]+>", ""), (" {2,}", " ")])} AS t FROM c)
+        SELECT doc_id, {_strip(f"regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: {_strip('x')}), chr(10)), '{chr(92)}n{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM e""",
+    "observation_sections": f"""{_SECTION_LINKS} SELECT page_id, section_no, name, level, link_count,
+        CAST(greatest(0, least(link_count, 50, 200 - coalesce(sum(least(link_count, 50)) OVER (PARTITION BY page_id ORDER BY section_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS shown FROM counted""",
+    "observation_links": f"{_SECTION_LINKS} SELECT page_id, section_no, CAST(row_number() OVER (PARTITION BY page_id, section_no ORDER BY i) - 1 AS INTEGER) AS i, title, context FROM kept",
+    "observation_heads": f"""{_SECTION_LINKS}, first_lead AS (SELECT page_id, arg_min({_LEAD_VIEW}, section_no) AS lead_paragraph, arg_min(length(text) > 5000, section_no) AS lead_truncated FROM counted WHERE name = 'Lead' GROUP BY 1)
+        SELECT h.id AS page_id, coalesce(canon.page_title, '') AS current_title, coalesce(v.box, '') AS infobox, coalesce(lead_paragraph, '') AS lead_paragraph, coalesce(lead_truncated, FALSE) AS lead_truncated,
+          CAST(coalesce((SELECT sum(link_count) FROM counted WHERE counted.page_id = h.id), 0) AS BIGINT) AS total_link_count
+        FROM seen h LEFT JOIN halves v ON v.id = h.id LEFT JOIN canon ON canon.page_id = h.id LEFT JOIN first_lead l ON l.page_id = h.id""",
     "path_titles": f"""{BASE}, e AS (SELECT DISTINCT episode_id AS id, start_page_id AS a, target_page_id AS b FROM episode)
         SELECT id, coalesce(x.page_title, '?' || a) || ' > ' || coalesce(y.page_title, '?' || b) AS path FROM e LEFT JOIN canon x ON x.page_id = a LEFT JOIN canon y ON y.page_id = b""",
     "section_lookup": """WITH s AS (SELECT page_id, unnest(sections) AS s FROM parsed_article WHERE page_id IS NOT NULL), r AS (SELECT DISTINCT page_id, s.section_no AS n, s.name AS name, s.text AS text FROM s WHERE lower(s.name) = 'history')
