@@ -11,6 +11,8 @@ from linkgraph.plans.session import checkpointed
 
 #: Name under which episode ids are derived; a parameter of the functions below.
 ID_PREFIX = "linkgraph"
+#: Links of a page that may start a hard episode at most.
+HARD_SOURCE_OUT_DEGREE = 20
 #: Pairs that a quick sample verifies in one round.
 QUICK_ROUND = 500
 # Fixed value: the DNS namespace of name-based UUIDs (RFC 4122).
@@ -105,8 +107,14 @@ def _episodes(pairs: DataFrame, split: str, first_seed: int, pages: DataFrame, p
     )
 
 
+def pools(pages: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pages with links, and those of them with at most so many."""
+    active = pages.where("out_degree > 0")
+    return active, active.where(F.col("out_degree") <= most)
+
+
 def sample_episodes(
-    edges: DataFrame, pages: DataFrame, n_total: int = 100, n_hard_bonus: int = 3, seed: int = 42, max_depth: int = 7, hard_source_out_degree: int = 20, hard_walk_out_degree: int = 50, prefix: str = ID_PREFIX
+    edges: DataFrame, pages: DataFrame, n_total: int = 100, n_hard_bonus: int = 3, seed: int = 42, max_depth: int = 7, hard_source_out_degree: int = HARD_SOURCE_OUT_DEGREE, hard_walk_out_degree: int = 50, prefix: str = ID_PREFIX
 ) -> DataFrame:
     """A benchmark set: medium pairs (distance 5, random), easy ones (3 or 4, by walks), then the bonus of hard ones (6 or 7).
 
@@ -115,10 +123,9 @@ def sample_episodes(
     """
     if max_depth < 7 and n_hard_bonus > 0:
         raise ValueError("a hard bonus needs a depth of at least 7")
-    active = pages.where("out_degree > 0")
+    active, low = pools(pages, hard_source_out_degree)
     if not active.take(1):
         raise ValueError("no page has links")
-    low = active.where(F.col("out_degree") <= hard_source_out_degree)
     low = low if low.take(1) else active
     none = edges.sparkSession.createDataFrame([], "src int, dst int")
     want = bucket_targets(n_total)

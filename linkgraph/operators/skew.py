@@ -13,12 +13,12 @@ HOT_SHARE = 0.001
 HOT_ROWS = 100_000
 
 
-def hot_keys(rows: DataFrame, key: str, n_rows: int, share: float = HOT_SHARE) -> DataFrame:
-    """The at most 1 / share values of key that more than share of the n_rows rows, and more than HOT_ROWS rows, hold."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(n_rows * share, HOT_ROWS)).select(key)
+def hot_keys(rows: DataFrame, key: str, n_rows: int, share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The at most 1 / share values of key that more than share of the n_rows rows, and more than hot_rows rows, hold."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(n_rows * share, hot_rows)).select(key)
 
 
-def join_unique(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
+def join_unique(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """rows joined on key with dim, where dim holds each key once; how is inner or left.
 
     Rows of hot keys stay where they are and meet a broadcast of the few dim rows of hot keys; the
@@ -26,9 +26,9 @@ def join_unique(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", s
     nothing. rows is read three times: pass a table or a checkpoint.
     """
     n = rows.count()
-    if n <= HOT_ROWS:  # no key can be hot
+    if n <= hot_rows:  # no key can be hot
         return rows.join(dim, key, how)
-    hot = checkpointed(hot_keys(rows, key, n, share))
+    hot = checkpointed(hot_keys(rows, key, n, share, hot_rows))
     hot_dim = dim.join(F.broadcast(hot), key, "left_semi")
     flag = hot.withColumn("_is_hot", F.lit(True))
     told = rows.join(F.broadcast(flag), key, "left")

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import bz2
+import io
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.operators import graph, sampling
+from linkgraph.operators import graph, sampling, sessions
+from linkgraph.operators.skew import join_unique
 from linkgraph.plans import tables
-from linkgraph.plans.session import table
+from linkgraph.plans.session import checkpointed, scratch, table
 from linkgraph.plans.tables import BASE, LT1, PAGE1, RD1
 from linkgraph.sources import articles_dump, dumps
 
 #: Pages of the report of the most linked ones, and depth of the bounded search.
 TOP, DEPTH = 10, 2
+#: Characters that XML can't hold, and the carriage return, which its readers change.
+_NO_XML = "".join(chr(i) for i in range(32) if chr(i) not in "\t\n")
 
 
 def canonical_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +138,123 @@ def pagelinks_fast_extract(spark: SparkSession, d: str) -> DataFrame:
     return dumps.link_pairs_fast(dumps.render_inserts(rows, "pagelinks", ["pl_from", "ns", "pl_target_id"]))
 
 
+def _dump(spark: SparkSession, rows: DataFrame, name: str, columns: list[str], compressed: bool = False) -> DataFrame:
+    """rows written as a file of INSERT statements and read by the dump reader."""
+    path = scratch(spark, name)
+    dumps.render_inserts(rows, name, columns).write.option("compression", "gzip" if compressed else "none").text(path)
+    return dumps.read_dump(spark, path, name)
+
+
+def redirect_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Redirects through a dump file; those that lead to another wiki fall away."""
+    rows = tables.redirects(spark, d).withColumn("interwiki", F.when(F.col("rd_from") % 7 == 0, "other").when(F.col("rd_from") % 2 == 0, "")).withColumn("fragment", F.lit("it's"))
+    return _dump(spark, rows, "redirect", ["rd_from", "rd_ns", "rd_title", "interwiki", "fragment"], True)
+
+
+def linktarget_dump(spark: SparkSession, d: str) -> DataFrame:
+    return _dump(spark, tables.link_targets(spark, d), "linktarget", ["lt_id", "lt_ns", "lt_title"])
+
+
+def props_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Page properties through a dump file; only those that mark a disambiguation count."""
+    marked = tables.props(spark, d)
+    others = tables.pages(spark, d).select(F.col("page_id").alias("pp_page"), F.lit("displaytitle").alias("pp_propname"), F.col("page_title").alias("pp_value"))
+    return _dump(spark, marked.unionByName(others), "page_props", ["pp_page", "pp_propname", "pp_value"], True)
+
+
+def pagelinks_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Links through a dump file by the general reader; those from other namespaces fall away."""
+    rows = tables.links(spark, d).select("pl_from", (F.col("pl_from") % 3).cast("int").alias("ns"), "pl_target_id")
+    return _dump(spark, rows, "pagelinks", ["pl_from", "ns", "pl_target_id"], True)
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as an index file, a hundred ids to a block, read back."""
+    path = scratch(spark, "index")
+    rows = tables.pages(spark, d).where("page_title is not null")
+    rows.select(F.concat_ws(":", F.col("page_id") - F.col("page_id") % 100, "page_id", "page_title")).write.text(path)
+    return articles_dump.read_index(spark, path)
+
+
+def dump_index(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d)
+
+
+def saved_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets of the canonical pages, saved and read back."""
+    path = scratch(spark, "offsets")
+    articles_dump.write_index(articles_dump.offset_index(_index(spark, d), tables.canonical(spark, d)), path)
+    return spark.read.parquet(path)
+
+
+def dump_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Which pages are wanted from which block."""
+    found = articles_dump.blocks(articles_dump.offset_index(_index(spark, d), tables.canonical(spark, d)))
+    return found.select("block_offset", F.array_join(F.transform("page_ids", lambda x: x.cast("string")), ",").alias("page_ids"))
+
+
+def block_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Lead texts as pages of compressed blocks with an older revision before each, read by the block reader."""
+    rows = table(spark, d, "lead_text").where("page_id is not null and lead_text is not null").groupBy("page_id").agg(F.max("lead_text").alias("t"))
+    clean = F.translate("t", _NO_XML, "")
+    page = F.concat(F.lit("<page><title>x</title><id>"), F.col("page_id").cast("string"), F.lit("</id><revision><text>old</text></revision><revision><text>"), F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</text></revision></page>"))
+    packed = rows.select(F.floor(F.col("page_id") / 1000).alias("b"), page.alias("page")).groupBy("b").agg(F.array_join(F.collect_list("page"), "\n").alias("xml"))
+
+    def read(frames):
+        for f in frames:
+            found = [p for xml in f["xml"] for p in articles_dump.pages_in_block(articles_dump.one_stream(io.BytesIO(b"--" + bz2.compress(xml.encode())), 2))]
+            yield pd.DataFrame(found, columns=["page_id", "wikitext"])
+
+    return packed.select("xml").mapInPandas(read, "page_id bigint, wikitext string")
+
+
+def saved_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The edges, saved and loaded."""
+    edges, nodes = tables.edges(spark, d)
+    path = scratch(spark, "graph")
+    graph.save_graph(edges, nodes.select("node_idx"), path)
+    return graph.load_graph(spark, path)[0]
+
+
+def walk_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of every walk the steps that are no links and the nodes visited twice: none."""
+    edges, nodes = tables.edges(spark, d)
+    starts = _listed(spark, d, nodes).select(F.col("node_idx").cast("long").alias("walk_id"), F.col("node_idx").alias("src"))
+    walks = checkpointed(graph.random_walks(edges, starts, 4, 42))
+    steps = walks.select("walk_id", F.explode(F.transform(F.slice("path", 2, 99), lambda x, i: F.struct(F.get("path", i).alias("src"), x.alias("dst")))).alias("s")).select("walk_id", "s.*")
+    bad = steps.join(edges, ["src", "dst"], "left_anti").groupBy("walk_id").agg(F.count("*").alias("n_bad"))
+    told = walks.join(bad, "walk_id", "left")
+    return told.select("walk_id", F.coalesce("n_bad", F.lit(0)).cast("int").alias("n_bad_steps"), (F.size("path") - F.size(F.array_distinct("path"))).alias("n_repeats"))
+
+
+def sampling_pools(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages may start an episode, and how many a hard one."""
+    edges, nodes = tables.edges(spark, d)
+    active, low = sampling.pools(_pages_with_degree(edges, nodes), sampling.HARD_SOURCE_OUT_DEGREE)
+    return active.agg(F.count("*").alias("n_active"), F.sum("out_degree").alias("n_links")).withColumn("n_low", low.agg(F.count("*")).scalar())
+
+
+def sample_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of a quick sample the episodes that break a rule, by rule: none."""
+    edges, nodes = tables.edges(spark, d)
+    drawn = checkpointed(sampling.quick_sample(edges, _pages_with_degree(edges, nodes)))
+    key = nodes.select("page_id", "node_idx")
+    ends = drawn.join(key.toDF("start_page_id", "src"), "start_page_id").join(key.toDF("target_page_id", "dst"), "target_page_id")
+    told = ends.join(graph.shortest_paths(edges, ends.select("src", "dst")), ["src", "dst"])
+    n = F.col("shortest_path_len")
+    named = sampling.episode_id(F.col("split"), F.col("start_page_id"), F.col("target_page_id"), F.col("seed"))
+    return told.agg(
+        F.count_if(F.col("dist") != n).alias("n_wrong_distance"), F.count_if(F.col("difficulty") != sessions.difficulty(n)).alias("n_wrong_difficulty"), F.count_if(F.col("step_limit") != sessions.step_limit(n)).alias("n_wrong_limit"),
+        F.count_if(F.col("episode_id") != named).alias("n_wrong_id"), (F.count("*") - F.countDistinct("seed")).alias("n_repeated_seeds"),
+    )
+
+
+def hot_key_join(spark: SparkSession, d: str) -> DataFrame:
+    """Links with the title of their target, keys above half a percent kept apart from any number of rows on."""
+    links = tables.links(spark, d)
+    return join_unique(links, tables.link_targets(spark, d).withColumnRenamed("lt_id", "pl_target_id"), "pl_target_id", "left", 0.005, 0)
+
+
 def canonical_with_degree(spark: SparkSession, d: str) -> DataFrame:
     """Canonical pages with their number of outgoing links."""
     edges, nodes = tables.edges(spark, d)
@@ -154,6 +278,7 @@ QUERIES = {
     for f in (
         canonical_pages, first_wins_pages, first_wins_targets, first_wins_redirects, redirect_resolution, link_graph_edges, transposed_edges, degrees, adjacency, csr_offsets,
         in_neighbors, top_pages_by_in_degree, bounded_bfs, bounded_bfs_backward, shortest_paths, random_walks, episode_sample, quick_sample, dump_roundtrip, pagelinks_fast_extract, pending_work, canonical_with_degree, table_maxima,
+        redirect_dump, linktarget_dump, props_dump, pagelinks_dump, dump_index, saved_offsets, dump_blocks, block_texts, saved_graph, walk_checks, sampling_pools, sample_checks, hot_key_join,
     )
 }
 _DEGREES = """deg AS (SELECT c.node_idx, c.page_title, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM canon c
@@ -183,6 +308,20 @@ ORACLE = {
     "bounded_bfs_backward": f"""{BASE}, {_LISTED}, reach AS (SELECT node_idx AS src, node_idx AS node, 0 AS dist FROM listed
         UNION ALL SELECT l.node_idx, e.src, 1 FROM listed l JOIN edges e ON e.dst = l.node_idx) SELECT src, node, min(dist) AS dist FROM reach GROUP BY src, node""",
     "shortest_paths": f"{BASE}, {DISTANCES} SELECT * FROM dists",
+    "redirect_dump": f"WITH {RD1} SELECT * FROM rd1 WHERE rd_from % 7 <> 0 AND rd_ns IS NOT NULL",
+    "linktarget_dump": f"WITH {LT1} SELECT * FROM lt1 WHERE lt_ns IS NOT NULL AND lt_title IS NOT NULL",
+    "props_dump": f"WITH {PAGE1} SELECT page_id AS pp_page, 'disambiguation' AS pp_propname, '' AS pp_value FROM page1 WHERE ends_with(page_title, '_(disambiguation)')",
+    "pagelinks_dump": "SELECT pl_from, pl_target_id FROM pagelinks_raw WHERE pl_from % 3 = 0 AND pl_target_id IS NOT NULL",
+    "dump_index": f"WITH {PAGE1} SELECT page_id - page_id % 100 AS block_offset, page_id, page_title AS title FROM page1 WHERE page_title IS NOT NULL",
+    "saved_offsets": f"{BASE} SELECT page_id, page_id - page_id % 100 AS block_offset FROM canon WHERE page_title IS NOT NULL",
+    "dump_blocks": f"{BASE} SELECT page_id - page_id % 100 AS block_offset, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS page_ids FROM canon WHERE page_title IS NOT NULL GROUP BY 1",
+    "block_texts": r"""WITH t AS (SELECT page_id, max(lead_text) AS t FROM lead_text WHERE page_id IS NOT NULL AND lead_text IS NOT NULL GROUP BY 1), c AS (SELECT page_id, regexp_replace(t, '[\x00-\x08\x0b-\x1f]', '', 'g') AS wikitext FROM t)
+        SELECT * FROM c WHERE wikitext <> ''""",
+    "saved_graph": f"{BASE} SELECT * FROM edges",
+    "walk_checks": f"{BASE}, {_LISTED} SELECT CAST(node_idx AS BIGINT) AS walk_id, 0 AS n_bad_steps, 0 AS n_repeats FROM listed",
+    "sampling_pools": f"{BASE}, {_DEGREES} SELECT count(*) FILTER (WHERE out_degree > 0) AS n_active, CAST(sum(out_degree) AS BIGINT) AS n_links, count(*) FILTER (WHERE out_degree BETWEEN 1 AND 20) AS n_low FROM deg",
+    "sample_checks": "SELECT 0::BIGINT AS n_wrong_distance, 0::BIGINT AS n_wrong_difficulty, 0::BIGINT AS n_wrong_limit, 0::BIGINT AS n_wrong_id, 0::BIGINT AS n_repeated_seeds",
+    "hot_key_join": f"WITH {LT1} SELECT pl_from, pl_target_id, lt_ns, lt_title FROM pagelinks_raw LEFT JOIN lt1 ON lt_id = pl_target_id WHERE pl_from IS NOT NULL AND pl_target_id IS NOT NULL",
     "canonical_with_degree": f"{BASE}, {_DEGREES} SELECT canon.page_id, canon.page_title, node_idx, out_degree FROM deg JOIN canon USING (node_idx)",
     "table_maxima": f"{BASE} SELECT count(*) AS n_canonical, coalesce(max(page_id), 0) AS max_page_id, coalesce(max(node_idx), 0) AS max_node, coalesce((SELECT max(rd_from) FROM rd1), 0) AS max_redirect FROM canon",
     "dump_roundtrip": f"WITH {PAGE1} SELECT page_id, page_ns, page_title, is_redirect, coalesce(page_len, 0) AS page_len FROM page1 WHERE page_title IS NOT NULL",

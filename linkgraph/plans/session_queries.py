@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkgraph.operators import graph, sampling, sessions
 from linkgraph.plans import tables
 from linkgraph.plans.graph_queries import DISTANCES, _episode_pairs
-from linkgraph.plans.session import table
+from linkgraph.plans.session import scratch, table
 from linkgraph.plans.tables import BASE
-from linkgraph.plans.text_queries import _legal
-from linkgraph.sources.episodes import difficulty_counts
-from linkgraph.streaming.sessions import stream_counts
+from linkgraph.plans.text_queries import LEGAL, TITLE, _legal
+from linkgraph.sources.episodes import difficulty_counts, read_episodes, write_episodes
+from linkgraph.streaming.sessions import final_table, stream_counts, stream_visits
 
 #: Limits of the sessions that the events stand for.
 STEP_LIMIT, IDLE = 2, 30 * 60
@@ -102,17 +102,42 @@ def greedy_run(spark: SparkSession, d: str) -> DataFrame:
     return state.select("episode_id", "current_page_id", "clicks", "terminated_reason", "stuck")
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    raw = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The events read as a stream and counted per day and kind of action."""
-    schema = table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    stream = stream_counts(raw.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("action")), "1 day")
-    query = stream.writeStream.outputMode("complete").format("memory").queryName("linkgraph_stream_counts").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table("linkgraph_stream_counts").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "action", "n")
+    """The events read as a stream and counted per hour and kind of action."""
+    stream = stream_counts(_event_stream(spark, d).select("ts", F.col("event_type").alias("action")))
+    return final_table(stream, scratch(spark, "counts")).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "action", "n")
+
+
+def stream_visit_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The visits of each user, read as a stream: first and last event and how many there are."""
+    stream = stream_visits(_event_stream(spark, d).select("ts", F.col("user_id").alias("session")))
+    return final_table(stream, scratch(spark, "visits")).select("session", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")
+
+
+def episode_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes written as JSON lines and read back."""
+    path = scratch(spark, "episodes")
+    write_episodes(_episodes(spark, d), path)
+    return read_episodes(spark, path)
+
+
+def bucket_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes wanted of each bucket, for totals from 0 to 500."""
+    return spark.createDataFrame([(n, *sampling.bucket_targets(n).values()) for n in range(501)], "n_total int, easy int, medium int")
+
+
+def first_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes in the order of their seeds: place of each in its split."""
+    place = F.row_number().over(Window.partitionBy("split").orderBy("seed", "episode_id"))
+    return _episodes(spark, d).where("seed is not null and split is not null").select("split", "seed", "episode_id", place.alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (session_replay, idle_expiry, episode_scores, eval_metrics, difficulty_histogram, difficulty_rules, derived_episode_ids, click_replay, greedy_run, stream_hourly_counts)}
+QUERIES = {f.__name__: f for f in (session_replay, idle_expiry, episode_scores, eval_metrics, difficulty_histogram, difficulty_rules, derived_episode_ids, click_replay, greedy_run, stream_hourly_counts, stream_visit_counts, episode_file_roundtrip, bucket_sizes, first_episodes)}
 _LOG = "log AS (SELECT user_id AS session, ts, event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'error' THEN 'invalid' WHEN 'purchase' THEN 'target' END AS action FROM events)"
 _EPISODES = """eps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY split NULLS FIRST, seed NULLS FIRST, start_page_id NULLS FIRST, target_page_id NULLS FIRST,
     start_title NULLS FIRST, target_title NULLS FIRST, shortest_path_len NULLS FIRST, difficulty NULLS FIRST, step_limit NULLS FIRST) AS rn FROM episode) WHERE rn = 1)"""
@@ -138,5 +163,18 @@ ORACLE = {
     "difficulty_histogram": "SELECT difficulty, count(*) AS n_episodes FROM episode GROUP BY 1",
     "difficulty_rules": """SELECT episode_id, shortest_path_len, CASE WHEN shortest_path_len <= 4 THEN 'easy' WHEN shortest_path_len = 5 THEN 'medium' ELSE 'hard' END AS bucket,
         greatest(2 * shortest_path_len + 4, 12) AS limit_by_rule, greatest(3 * shortest_path_len + 4, 20) AS bonus_limit FROM episode""",
-    "stream_hourly_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_hourly_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_visit_counts": """WITH a AS (SELECT user_id AS session, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000 THEN 1 ELSE 0 END AS brk FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        b AS (SELECT *, sum(brk) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS visit FROM a) SELECT session, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n FROM b GROUP BY session, visit""",
+    "episode_file_roundtrip": f"WITH {_EPISODES} SELECT * EXCLUDE (rn) FROM eps",
+    "bucket_sizes": "SELECT CAST(n AS INTEGER) AS n_total, CAST(round_even(n * 0.4, 0) AS INTEGER) AS easy, CAST(n - round_even(n * 0.4, 0) AS INTEGER) AS medium FROM range(501) t(n)",
+    "first_episodes": f"WITH {_EPISODES} SELECT split, seed, episode_id, CAST(row_number() OVER (PARTITION BY split ORDER BY seed, episode_id) AS INTEGER) AS place FROM eps WHERE seed IS NOT NULL AND split IS NOT NULL",
+    "click_replay": f"""{BASE}, {LEGAL}, {_EPISODES}, clicked AS (SELECT DISTINCT page_id, ordinal, link_title FROM page_links WHERE page_id IS NOT NULL AND link_title IS NOT NULL),
+        log AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ordinal NULLS FIRST, link_title) AS seq, {TITLE} AS title FROM clicked),
+        play(episode_id, start, target, step_limit, seq, cur, clicks, bad, reason) AS (
+          SELECT episode_id, start_page_id, target_page_id, step_limit, CAST(0 AS BIGINT), start_page_id, 0, 0, CAST(NULL AS VARCHAR) FROM eps WHERE episode_id IS NOT NULL
+          UNION ALL SELECT p.episode_id, p.start, p.target, p.step_limit, l.seq, coalesce(g.dst, p.cur), p.clicks + CASE WHEN g.dst IS NULL THEN 0 ELSE 1 END, p.bad + CASE WHEN g.dst IS NULL THEN 1 ELSE 0 END,
+            CASE WHEN g.dst = p.target THEN 'success' WHEN g.dst IS NOT NULL AND p.clicks + 1 >= p.step_limit THEN 'step_limit' WHEN g.dst IS NULL AND p.bad + 1 >= 3 THEN 'invalid_action_limit' END
+          FROM play p JOIN log l ON l.page_id = p.start AND l.seq = p.seq + 1 LEFT JOIN legal g ON g.page_id = p.cur AND g.title = l.title WHERE p.reason IS NULL)
+        SELECT episode_id, arg_max(cur, seq) AS current_page_id, arg_max(clicks, seq) AS clicks, arg_max(bad, seq) AS invalid_actions, arg_max(struct_pack(r := reason), seq).r AS terminated_reason FROM play GROUP BY 1""",
 }

@@ -240,15 +240,17 @@ def _contexts(source: str) -> str:
       ctx AS (SELECT id, title, i, CASE WHEN a > 0 THEN '...' ELSE '' END || {_strip(r"regexp_replace(text[a + 1:b], '\[\[(?:[^\[\]|]+\|(?:[^\[\]]*\|)?)?([^\[\]|]*)\]\]', '\1', 'g')")} || CASE WHEN b < length(text) THEN '...' ELSE '' END AS context FROM at4)"""
 
 
-_LEGAL = """lead_of AS (SELECT page_title AS title, min(page_id) AS dst FROM canon GROUP BY 1),
+LEGAL = """lead_of AS (SELECT page_title AS title, min(page_id) AS dst FROM canon GROUP BY 1),
     red AS (SELECT page_title AS title, min(e.canonical_id) AS dst FROM page1 JOIN ends e ON e.rd_from_id = page1.page_id WHERE page_ns = 0 AND is_redirect = 1 AND e.canonical_id IS NOT NULL GROUP BY 1),
     legal AS (SELECT DISTINCT p.page_id, p.link_title AS title, coalesce(lead_of.dst, red.dst) AS dst FROM page_links p LEFT JOIN lead_of ON lead_of.title = p.link_title LEFT JOIN red ON red.title = p.link_title
       WHERE p.page_id IS NOT NULL AND p.link_title IS NOT NULL AND coalesce(lead_of.dst, red.dst) IS NOT NULL)"""
 _OBSERVED = """full_of AS (SELECT page_id, max(full_text) AS text FROM parsed_article WHERE page_id IS NOT NULL GROUP BY 1), leads AS (SELECT page_id, max(lead_text) AS text FROM lead_text WHERE page_id IS NOT NULL GROUP BY 1),
     seen AS (SELECT id, coalesce(f.text, l.text, '') AS text FROM (SELECT page_id AS id FROM full_of UNION SELECT page_id FROM leads) LEFT JOIN full_of f ON f.page_id = id LEFT JOIN leads l ON l.page_id = id)"""
-_SECTION_LINKS = f"""{BASE}, {_LEGAL}, {_OBSERVED}, {_sections("seen")}, per_section AS (SELECT id AS page, section_no, text, CAST(id AS VARCHAR) || '/' || section_no AS id FROM sec), {_contexts("per_section")},
+_SECTION_LINKS = f"""{BASE}, {LEGAL}, {_OBSERVED}, {_sections("seen")}, per_section AS (SELECT id AS page, section_no, text, CAST(id AS VARCHAR) || '/' || section_no AS id FROM sec), {_contexts("per_section")},
     kept AS (SELECT s.page AS page_id, s.section_no, c.title, c.context, c.i FROM ctx c JOIN per_section s USING (id) JOIN legal g ON g.page_id = s.page AND g.title = c.title),
     counted AS (SELECT s.id AS page_id, s.section_no, s.name, s.level, s.text, coalesce(n, 0) AS link_count FROM sec s LEFT JOIN (SELECT page_id, section_no, count(*) AS n FROM kept GROUP BY 1, 2) k ON k.page_id = s.id AND k.section_no = s.section_no)"""
+# A link title in the form for look-ups.
+TITLE = f"upper(replace({_strip('link_title')}, ' ', '_')[1:1]) || replace({_strip('link_title')}, ' ', '_')[2:]"
 _MONTHS = "['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December']"
 _LEAD_VIEW = "CASE WHEN length(text) > 5000 THEN CASE WHEN strpos(reverse(text[1:5000]), ' .') > 0 AND 5000 - strpos(reverse(text[1:5000]), ' .') - 1 > 2000 THEN text[1:5000 - strpos(reverse(text[1:5000]), ' .')] ELSE text[1:5000] END ELSE text END"
 ORACLE = {
@@ -273,7 +275,7 @@ ORACLE = {
         SELECT page_id, total_matches, CAST(n AS INTEGER) AS line_number, array_to_string(l[greatest(n - 1, 1):n + 1], chr(10)) AS context FROM e""",
     "link_budget": """WITH c AS (SELECT page_id, CAST(ordinal // 10 AS INTEGER) AS section_no, count(*) AS n_links FROM page_links WHERE page_id IS NOT NULL AND ordinal IS NOT NULL GROUP BY 1, 2)
         SELECT *, CAST(greatest(0, least(n_links, 12, 40 - coalesce(sum(least(n_links, 12)) OVER (PARTITION BY page_id ORDER BY section_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS shown FROM c""",
-    "legal_links": f"{BASE}, {_LEGAL} SELECT * FROM legal",
+    "legal_links": f"{BASE}, {LEGAL} SELECT * FROM legal",
     "article_sections": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_sections('src')} SELECT id AS doc_id, section_no, name, level, text FROM sec",
     "linked_contexts": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_contexts('src')} SELECT id AS doc_id, title, context FROM ctx",
     "section_titles": f"""WITH src AS (SELECT doc_id, text FROM documents UNION ALL SELECT page_id, max(full_text) FROM parsed_article WHERE page_id IS NOT NULL GROUP BY 1), l AS (SELECT doc_id, {_titles("text")} AS t FROM src),

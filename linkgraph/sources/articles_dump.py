@@ -57,6 +57,12 @@ def read_blocks(wanted: DataFrame, path: str) -> DataFrame:
     return wanted.mapInPandas(read, "page_id bigint, wikitext string")
 
 
+def pages_of(offsets: DataFrame, path: str, page_ids: list[int]) -> DataFrame:
+    """page_id, wikitext of single pages, by point reads in the saved index (a table of write_index) and the dump file."""
+    found = offsets.where(F.col("page_id").isin(*page_ids)) if page_ids else offsets.limit(0)
+    return read_blocks(blocks(found), path)
+
+
 def one_stream(f, offset: int, step: int = 256 * 1024) -> bytes:
     """Exactly one bz2 stream that begins at offset."""
     f.seek(offset)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _STRING = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
 _TUPLE = rf"(?s)\(((?:{_STRING}|[^')]++)*+)\)"
+_STATEMENT = rf"(?s)INSERT INTO `\w+` VALUES (?:[\s,]*+\((?:{_STRING}|[^')]++)*+\))*+"
 _FIELD = rf"(?s)(?:^|,)((?:{_STRING}|[^',]++)*+)"
 # What an escaped character stands for; any other stands for itself.
 _ESCAPES = {"\\n": "\n", "\\r": "\r", "\\t": "\t", "\\0": "\x00", "\\Z": "\x1a", "''": "'"}
@@ -43,15 +44,15 @@ TABLES = {
 
 
 def raw_tuples(lines: DataFrame, table: str) -> DataFrame:
-    """ordinal, tuple: the text of each tuple that the lines (column value) insert into table.
+    """line, part, place, tuple: the text of each tuple that the lines (column value) insert into table.
 
-    Spark reads .gz by itself; a dump has one INSERT a line. ordinal rises within a file and tells which row comes first.
+    line (taken over if the lines have it), part and place rise within a file and tell which row comes first.
     """
     marker = f"INSERT INTO `{table}` VALUES "
     wanted = lines.where(F.contains("value", F.lit(marker)))
-    # Text after the marker up to the end of the statement; a line may hold several statements.
-    parts = wanted.withColumn("line", F.monotonically_increasing_id()).select("line", F.posexplode(F.slice(F.split("value", rf"(?=INSERT INTO `\w+` VALUES )"), 1, 2147483647)).alias("part", "text"))
-    mine = parts.where(F.startswith("text", F.lit(marker)))
+    wanted = wanted if "line" in wanted.columns else wanted.withColumn("line", F.monotonically_increasing_id())
+    # A line may hold several statements; a statement is taken with its tuples, so what is quoted in them begins no other.
+    mine = wanted.select("line", F.posexplode(F.regexp_extract_all("value", F.lit(_STATEMENT), 0)).alias("part", "text")).where(F.startswith("text", F.lit(marker)))
     return mine.select("line", "part", F.posexplode(F.regexp_extract_all(F.substring("text", len(marker) + 1, 2147483647), F.lit(_TUPLE), 1)).alias("place", "tuple"))
 
 
@@ -111,9 +112,18 @@ def load_table(lines: DataFrame, name: str) -> DataFrame:
     return good.select(*columns)
 
 
+def dump_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and line (its order) of a .sql or .sql.gz file.
+
+    A .gz file is unpacked in one task, as the format demands; its lines are spread right after, so that all parsing is done by all.
+    """
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    return lines.repartition("line") if any(f.endswith(".gz") for f in lines.inputFiles()) else lines
+
+
 def read_dump(spark: SparkSession, path: str, name: str) -> DataFrame:
     """load_table over a .sql or .sql.gz file."""
-    return load_table(spark.read.text(path), name)
+    return load_table(dump_lines(spark, path), name)
 
 
 def link_pairs_fast(lines: DataFrame) -> DataFrame:

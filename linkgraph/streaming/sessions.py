@@ -51,6 +51,13 @@ def stream_sessions(actions: DataFrame, invalid_limit: int = INVALID_LIMIT, idle
     return actions.groupBy("session").applyInPandasWithState(play, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def final_table(stream: DataFrame, path: str) -> DataFrame:
+    """What a stream of aggregates comes to when all that is there has been read, as a table under path; nothing goes through the driver."""
+    query = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/table")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/table")
+
+
 def stream_counts(actions: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Actions per window and kind of a stream with ts."""
     return actions.withWatermark("ts", lateness).groupBy(F.window("ts", width), "action").agg(F.count("*").alias("n"))

@@ -32,6 +32,11 @@ def test_escapes(spark):
     assert fields(spark, insert(r"(1,'a\nb\tc\\nd\Z\b')")) == [["1", "a\nb\tc\\nd\x1ab"]]
 
 
+def test_a_statement_quoted_in_a_value(spark):
+    quoted = "INSERT INTO `t` VALUES (9,''z'');"
+    assert fields(spark, insert(f"(1,'{quoted}'),(2,'b')") + insert("(3,'c')")) == [["1", quoted.replace("''", "'")], ["2", "b"], ["3", "c"]]
+
+
 def test_several_inserts_and_other_tables(spark):
     assert fields(spark, insert("(1,'a'),(2,'b')"), insert("(3,'c')")) == [["1", "a"], ["2", "b"], ["3", "c"]]
     assert fields(spark, insert("(1,'skip')", "other"), insert("(2,'keep')")) == [["2", "keep"]]
