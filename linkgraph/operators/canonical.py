@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from linkgraph.operators.skew import join_unique
 from linkgraph.plans.session import checkpointed
 
-#: Width of the key ranges within which rows are numbered.
-RANGE_KEYS = 4096
+#: Bits of the width of the key ranges within which rows are numbered.
+RANGE_BITS = 12
 
 
 def dense_index(rows: DataFrame, key: str, name: str) -> DataFrame:
     """rows with name INT = rank of the unique integer key, from 0 on.
 
-    Numbered within ranges of RANGE_KEYS keys, each moved on by the number of rows in the ranges
-    before it; only the range counts go through one task.
+    Numbered within ranges of RANGE_BITS bits of the key, each moved on by the number of rows in the
+    ranges before it. These counts are summed up in the same way within ranges of ranges, so no
+    window sees more than 2 ** RANGE_BITS rows, or 2 ** 16 counts, however sparse the keys are.
     """
-    ranged = rows.withColumn("_range", F.floor(F.col(key) / RANGE_KEYS))
-    before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(
-        "_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before")
-    )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.withColumn("_inside", inside).join(before, "_range").withColumn(name, (F.col("_before") + F.col("_inside")).cast("int")).drop("_range", "_before", "_inside")
+    ranged = rows.withColumn("_r0", F.shiftright(F.col(key).cast("long"), RANGE_BITS))
+    counts = [ranged.groupBy("_r0").agg(F.count("*").alias("_n")).withColumn("_r1", F.shiftright("_r0", 16))]
+    counts.append(counts[0].groupBy("_r1").agg(F.sum("_n").alias("_n")).withColumn("_r2", F.shiftright("_r1", 16)))
+    counts.append(counts[1].groupBy("_r2").agg(F.sum("_n").alias("_n")).withColumn("_r3", F.lit(0)))
+    before = None
+    for level in (2, 1, 0):
+        inside = F.sum("_n").over(Window.partitionBy(f"_r{level + 1}").orderBy(f"_r{level}")) - F.col("_n")
+        told = counts[level].withColumn("_in", inside).drop("_n")
+        told = told.withColumn("_above", F.lit(0)) if before is None else told.join(before.withColumnRenamed("_before", "_above"), f"_r{level + 1}")
+        before = told.select(f"_r{level}", (F.col("_in") + F.col("_above")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_r0").orderBy(key)) - 1
+    return ranged.withColumn("_inside", inside).join(before, "_r0").withColumn(name, (F.col("_before") + F.col("_inside")).cast("int")).drop("_r0", "_before", "_inside")
 
 
 def canonical_pages(page: DataFrame, props: DataFrame) -> DataFrame:

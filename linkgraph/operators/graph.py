@@ -7,12 +7,21 @@ is within the bound, and ends in a reliable checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.operators.skew import join_unique
 from linkgraph.plans.session import checkpointed, small_or_shuffled
 
+#: Links of a node that one task takes at a time; nodes with more are cut into parts.
+HUB_LINKS = 20_000
+#: Links that a walk draws at once.
+DRAWS = 8
+
 
 def link_edges(pagelinks: DataFrame, linktarget: DataFrame, page_titles: DataFrame, redirects: DataFrame, canonical: DataFrame) -> DataFrame:
     """src, dst INT: distinct links between canonical pages, redirects followed, no self-links.
@@ -51,16 +60,20 @@ def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "fwd") -> Dat
     return e.join(small_or_shuffled(nodes.select(F.col("node_idx").alias("src")).distinct(), nodes.count()), "src", "left_semi").select(F.col("src").alias("node_idx"), F.col("dst").alias("neighbor"))
 
 
-def adjacency(edges: DataFrame, block: int = 10_000) -> DataFrame:
-    """node_idx, block_no, neighbors ARRAY<INT> sorted: the lists of a node in blocks of so many links.
+def ranked_edges(edges: DataFrame) -> DataFrame:
+    """src, i BIGINT, dst: the links of each node numbered from 0 in the order of dst.
 
-    A hub is cut into blocks by rank, so no row grows with the largest hub; ranks come from
-    node-and-target-range counts, not from one sort of the hub.
+    Ranks come from counts of node and target range, not from one sort of a hub.
     """
     ranged = edges.withColumn("r", F.floor(F.col("dst") / 4096))
     before = ranged.groupBy("src", "r").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("src").orderBy("r")) - F.col("n")).drop("n")
-    place = ranged.withColumn("i", F.row_number().over(Window.partitionBy("src", "r").orderBy("dst")) - 1).join(before, ["src", "r"])
-    blocks = place.withColumn("block_no", F.floor((F.col("before") + F.col("i")) / block).cast("int"))
+    inside = F.row_number().over(Window.partitionBy("src", "r").orderBy("dst")) - 1
+    return ranged.withColumn("j", inside).join(before, ["src", "r"]).select("src", (F.col("before") + F.col("j")).alias("i"), "dst")
+
+
+def adjacency(edges: DataFrame, block: int = 10_000) -> DataFrame:
+    """node_idx, block_no, neighbors ARRAY<INT> sorted: the lists of a node in blocks of so many links, so no row grows with the largest hub."""
+    blocks = ranked_edges(edges).withColumn("block_no", F.floor(F.col("i") / block).cast("int"))
     return blocks.groupBy("src", "block_no").agg(F.sort_array(F.collect_list("dst")).alias("neighbors")).withColumnRenamed("src", "node_idx")
 
 
@@ -73,10 +86,47 @@ def csr_offsets(nodes: DataFrame, edges: DataFrame, range_nodes: int = 4096) ->
     return ranged.withColumn("upto", upto).join(before, "r").select("node_idx", (F.col("before") + F.col("upto") - F.col("n")).alias("row_start"), (F.col("before") + F.col("upto")).alias("row_end"))
 
 
-def _step(frontier: DataFrame, n: int, edges: DataFrame, carry: str) -> DataFrame:
-    """carry, node one link on from the frontier (carry, node)."""
-    f = small_or_shuffled(frontier.select(carry, F.col("node").alias("src")), n)
-    return edges.join(f, "src").select(carry, F.col("dst").alias("node")).distinct()
+@dataclass
+class _Links:
+    """The links of one direction, those of hubs (more than HUB_LINKS of them) in parts by the target."""
+
+    edges: DataFrame
+    hubs: DataFrame | None  # src, parts
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> _Links:
+        parts = F.ceil(F.col("n") / HUB_LINKS).cast("int")
+        hubs = checkpointed(edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > HUB_LINKS).select("src", parts.alias("parts")))
+        n = hubs.count()  # at most the number of links / HUB_LINKS
+        if not n:
+            return cls(edges, None)
+        part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("parts"))).otherwise(0).cast("int")
+        small = small_or_shuffled(hubs, n)
+        return cls(checkpointed(edges.join(small, "src", "left").select("src", "dst", part.alias("part"))), small)
+
+    def step(self, frontier: DataFrame, n: int, carry: str) -> DataFrame:
+        """carry, node one link on from the n rows of the frontier (carry, node); a hub is met part by part, in as many tasks."""
+        f = frontier.select(carry, F.col("node").alias("src"))
+        keys = ["src"]
+        if self.hubs is not None:
+            f = f.join(self.hubs, "src", "left").select(carry, "src", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+            keys = ["src", "part"]
+        return self.edges.join(small_or_shuffled(f, n), keys).select(carry, F.col("dst").alias("node")).distinct()
+
+
+_PREPARED: WeakKeyDictionary[DataFrame, dict[str, object]] = WeakKeyDictionary()
+
+
+def _prepared(edges: DataFrame, what: str, build: Callable[[], object]):
+    """What is derived once from a table of edges and used by every search over it."""
+    told = _PREPARED.setdefault(edges, {})
+    if what not in told:
+        told[what] = build()
+    return told[what]
+
+
+def _links(edges: DataFrame, direction: str) -> _Links:
+    return _prepared(edges, direction, lambda: _Links.of(edges if direction == "fwd" else transpose(edges)))
 
 
 def bounded_bfs(edges: DataFrame, sources: DataFrame, max_depth: int, direction: str = "fwd") -> DataFrame:
@@ -84,14 +134,14 @@ def bounded_bfs(edges: DataFrame, sources: DataFrame, max_depth: int, direction:
 
     sources: src; nulls and repeats count once or not at all. Backward for any direction but fwd.
     """
-    e = edges if direction == "fwd" else transpose(edges)
+    links = _links(edges, "fwd" if direction == "fwd" else "bwd")
     seen = checkpointed(sources.where("src is not null").select("src", F.col("src").alias("node"), F.lit(0).alias("dist")).distinct())
     frontier = seen
     for depth in range(1, max_depth + 1):
         n = frontier.count()
         if not n:
             break
-        step = _step(frontier.select(F.col("src").alias("start"), "node"), n, e, "start").withColumnRenamed("start", "src")
+        step = links.step(frontier.select(F.col("src").alias("start"), "node"), n, "start").withColumnRenamed("start", "src")
         frontier = checkpointed(step.join(seen, ["src", "node"], "left_anti").withColumn("dist", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
@@ -100,41 +150,36 @@ def bounded_bfs(edges: DataFrame, sources: DataFrame, max_depth: int, direction:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 30) -> DataFrame:
     """src, dst, dist of each distinct pair: exact number of links if at most max_depth, else null.
 
-    Two searches meet: from the sources forward and from the targets backward, the smaller frontier
-    first. After a levels forward and b backward every distance up to a + b is known exactly. Only
-    sources and targets of pairs still open go on; a pair is closed when its distance is known, or
-    when one of its ends has no frontier left.
+    Two searches meet, from the sources forward and from the targets backward; each round the one with
+    the smaller frontier goes one link on. A pair that is still open when they have gone a and b links
+    is at least a + b apart, and just so far if the two last frontiers share a node. Sources and
+    targets of pairs that are closed (met, or one of the ends has no frontier left) go no further.
     """
     wanted = checkpointed(pairs.where("src is not null and dst is not null").select("src", "dst").distinct())
-    back = transpose(edges)
-    sides = {
-        "f": {"key": "src", "edges": edges, "depth": 0}, "b": {"key": "dst", "edges": back, "depth": 0},
-    }
-    for s in sides.values():
-        s["seen"] = s["frontier"] = checkpointed(wanted.select(F.col(s["key"]).alias("start"), F.col(s["key"]).alias("node"), F.lit(0).alias("d")).distinct())
-        s["n"] = s["frontier"].count()
     solved = wanted.where("src = dst").withColumn("dist", F.lit(0))
-    open_ = checkpointed(wanted.where("src <> dst"))
+    open_ = wanted.where("src <> dst")
+    sides = {}
+    for name, key in (("fwd", "src"), ("bwd", "dst")):
+        start = checkpointed(open_.select(F.col(key).alias("start"), F.col(key).alias("node")).distinct())
+        sides[name] = {"key": key, "seen": start, "frontier": start, "n": start.count()}
     n_open = open_.count()
-    while n_open and sides["f"]["depth"] + sides["b"]["depth"] < max_depth:
-        if not all(s["n"] for s in sides.values()):
+    for depth in range(1, max_depth + 1):
+        if not n_open or not all(s["n"] for s in sides.values()):
             break
-        s = min(sides.values(), key=lambda x: x["n"])
-        other = sides["b" if s is sides["f"] else "f"]
-        s["depth"] += 1
-        live = open_.select(F.col(s["key"]).alias("start")).distinct()
-        going = s["frontier"].select("start", "node").join(small_or_shuffled(live, n_open), "start", "left_semi")
-        step = _step(going, s["n"], s["edges"], "start")
-        s["frontier"] = checkpointed(step.join(s["seen"].select("start", "node"), ["start", "node"], "left_anti").withColumn("d", F.lit(s["depth"])))
+        name = min(sides, key=lambda x: sides[x]["n"])
+        s, other = sides[name], sides["bwd" if name == "fwd" else "fwd"]
+        live = small_or_shuffled(open_.select(F.col(s["key"]).alias("start")).distinct(), n_open)
+        going, seen = (s[x].join(live, "start", "left_semi") for x in ("frontier", "seen"))
+        s["frontier"] = checkpointed(_links(edges, name).step(going, s["n"], "start").join(seen, ["start", "node"], "left_anti"))
         s["n"] = s["frontier"].count()
         s["seen"] = s["seen"].unionByName(s["frontier"])
-        here = s["frontier"].select(F.col("start").alias(s["key"]), "node", F.col("d").alias("d1"))
-        there = other["seen"].select(F.col("start").alias(other["key"]), "node", F.col("d").alias("d2"))
-        met = small_or_shuffled(open_, n_open).join(here, s["key"]).join(there, [other["key"], "node"]).groupBy("src", "dst").agg(F.min(F.col("d1") + F.col("d2")).alias("dist"))
-        found = checkpointed(met.where(F.col("dist") <= max_depth))
-        solved = solved.unionByName(found)
-        alive = s["frontier"].select(F.col("start").alias(s["key"])).distinct()
-        open_ = checkpointed(open_.join(found, ["src", "dst"], "left_anti").join(alive, s["key"], "left_semi"))
+        here = s["frontier"].withColumnRenamed("start", s["key"])
+        there = other["frontier"].withColumnRenamed("start", other["key"])
+        met = small_or_shuffled(open_, n_open).join(here, s["key"]).join(there, [other["key"], "node"]).select("src", "dst", F.lit(depth).alias("dist")).distinct()
+        alive = here.select(s["key"], F.lit(True).alias("alive")).distinct()
+        told = checkpointed(open_.join(met, ["src", "dst"], "left").join(alive, s["key"], "left"))
+        solved = solved.unionByName(told.where("dist is not null").select("src", "dst", "dist"))
+        open_ = told.where("dist is null and alive").select("src", "dst")
         n_open = open_.count()
     return wanted.join(solved, ["src", "dst"], "left")
 
@@ -142,23 +187,39 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 30) -> D
 def random_walks(edges: DataFrame, starts: DataFrame, steps: int, seed: int, max_out_degree: int | None = None) -> DataFrame:
     """walk_id, src, end: the last node of a self-avoiding walk of so many steps, null at a dead end.
 
-    starts: walk_id, src. Each step takes, of the links to nodes not yet visited (and with at most
-    max_out_degree links, if given), the one with the least hash of (seed, walk, step, node); so the
-    choice is uniform and does not depend on the partitioning.
+    starts: walk_id, src. Each step takes one of the links to nodes not yet visited (and with at most
+    max_out_degree links, if given), all with equal chance. DRAWS places among the numbered links of
+    the node are drawn by hashes of (seed, walk, step, draw) and only these links are joined, so a
+    hub costs no more than any other node; the first that leads to a new node is taken. Where all
+    lead back, which only a node with few links makes likely, the least hash among all its links decides.
+    The choice does not depend on the partitioning.
     """
-    e = edges
-    if max_out_degree is not None:
-        big = edges.groupBy("src").count().where(F.col("count") > max_out_degree).select(F.col("src").alias("dst"))
-        e = edges.join(big, "dst", "left_anti").select("src", "dst")
+    def allowed() -> tuple[DataFrame, DataFrame]:
+        e = edges
+        if max_out_degree is not None:
+            big = edges.groupBy("src").count().where(F.col("count") > max_out_degree).select(F.col("src").alias("dst"))
+            e = edges.join(big, "dst", "left_anti").select("src", "dst")
+        ranked = checkpointed(ranked_edges(e))
+        return ranked, checkpointed(ranked.groupBy("src").agg(F.count("*").alias("degree")))
+
+    ranked, degree = _prepared(edges, f"ranked {max_out_degree}", allowed)
     n = starts.count()
     walks = checkpointed(starts.select("walk_id", "src", F.col("src").alias("node"), F.array("src").alias("path")))
+    new = lambda: ~F.array_contains("path", F.col("dst"))
+    links = ranked.withColumnRenamed("src", "node")
     for step in range(steps):
-        choice = F.struct(F.xxhash64(F.lit(seed), "walk_id", F.lit(step), "dst").alias("h"), "dst")
-        options = e.withColumnRenamed("src", "node").join(small_or_shuffled(walks, n), "node").where(~F.array_contains("path", F.col("dst")))
-        picked = options.groupBy("walk_id").agg(F.min(choice).alias("pick"))
-        walks = checkpointed(
-            walks.join(picked, "walk_id", "left").select("walk_id", "src", F.col("pick.dst").alias("node"), F.when(F.col("pick").isNotNull(), F.concat("path", F.array("pick.dst"))).otherwise(F.col("path")).alias("path"))
-        )
+        here = walks.join(degree.withColumnRenamed("src", "node"), "node")
+        drawn = here.select("walk_id", "node", "path", "degree", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("k"))
+        drawn = drawn.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "walk_id", F.lit(step), "k"), F.col("degree")))
+        lucky = links.join(small_or_shuffled(drawn.select("walk_id", "node", "i", "k", "path"), n * DRAWS), ["node", "i"]).where(new()).groupBy("walk_id").agg(F.min_by("dst", "k").alias("dst"))
+        told = checkpointed(walks.join(lucky, "walk_id", "left"))
+        left = told.where("dst is null and node is not null").select("walk_id", "node", "path")
+        n_left = left.count()
+        if n_left:
+            choice = F.struct(F.xxhash64(F.lit(seed), "walk_id", F.lit(step), F.col("dst").cast("long")).alias("h"), "dst")
+            rest = links.join(small_or_shuffled(left, n_left), "node").where(new()).groupBy("walk_id").agg(F.min(choice)["dst"].alias("other"))
+            told = told.join(rest, "walk_id", "left").withColumn("dst", F.coalesce("dst", "other"))
+        walks = checkpointed(told.select("walk_id", "src", F.col("dst").alias("node"), F.when(F.col("dst").isNotNull(), F.concat("path", F.array("dst"))).otherwise(F.col("path")).alias("path")))
     return walks.select("walk_id", "src", F.col("node").alias("end"), "path")
 
 
