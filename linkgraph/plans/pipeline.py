@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +10,18 @@ from pyspark.sql import functions as F
 from linkgraph.functions.arrow_text import infobox
 from linkgraph.functions.wikitext import article_text, lead_text, outlinks
 from linkgraph.operators import articles, canonical, graph, sessions
+from linkgraph.plans.session import path_of, stamp
 from linkgraph.sources import articles_dump, dumps
 
 
 class Manifest:
-    """key and value STRING of what has been built, as a small table that is overwritten."""
+    """key and value STRING of what has been built, as a small table that is overwritten; on whatever store the path is."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def all(self) -> dict[str, str]:
-        if not os.path.exists(self.path):
+        if not stamp(self.spark, self.path):
             return {}
         return {r["key"]: r["value"] for r in self.spark.read.schema("key string, value string").json(self.path).collect()}
 
@@ -34,9 +33,10 @@ class Manifest:
         self.spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").json(self.path)
 
 
-def find_file(folder: str, pattern: str) -> str | None:
+def find_file(spark: SparkSession, folder: str, pattern: str) -> str | None:
     """The first file of a folder that matches, or None."""
-    return next(iter(sorted(glob.glob(os.path.join(folder, pattern)))), None)
+    fs, p = path_of(spark, f"{folder}/{pattern}")
+    return min((s.getPath().toString() for s in fs.globStatus(p) or []), default=None)
 
 
 def run_steps(manifest: Manifest, steps: dict[str, Callable[[], int | None]], only: str | None = None, force: bool = False) -> list[str]:
@@ -76,7 +76,7 @@ class Build:
         return self.table(name).count()
 
     def load(self, name: str) -> int | None:
-        path = find_file(self.raw, self.FILES[name])
+        path = find_file(self.spark, self.raw, self.FILES[name])
         return None if path is None else self._write(dumps.read_dump(self.spark, path, name), name)
 
     def canonical(self) -> int:
@@ -90,26 +90,48 @@ class Build:
         graph.save_graph(edges, self.table("canonical").select("node_idx"), f"{self.root}/graph")
         return graph.load_graph(self.spark, f"{self.root}/graph")[0].count()
 
-    def texts(self) -> int | None:
-        """Lead text, links and article text of the canonical pages that have none yet; appended."""
-        path = find_file(self.raw, "*-pages-articles*.xml*")
+    def resolution(self) -> int:
+        """Where each title leads, for the tools."""
+        return self._write(articles.title_resolution(self.table("canonical"), self.table("page"), self.table("redirect_map")), "title_resolution")
+
+    def offsets(self) -> int | None:
+        """The offset index of the article dump, for point reads; only of canonical pages."""
+        path = find_file(self.spark, self.raw, "*index*.txt*")
+        if path is None:
+            return None
+        articles_dump.write_index(articles_dump.offset_index(articles_dump.read_index(self.spark, path), self.table("canonical")), f"{self.root}/offsets")
+        return self.table("offsets").count()
+
+    def texts(self, force: bool = False) -> int | None:
+        """Lead text, links and article text of the canonical pages, in one table ``texts`` from which the three come.
+
+        Pages that have their texts are not read again, unless forced. A run appends one table of all
+        columns, so a page has either all of its texts or none, whenever a run is broken off.
+        """
+        path = find_file(self.spark, self.raw, "*-pages-articles*.xml*")
         if path is None:
             return None
         pages = articles_dump.read_articles(self.spark, path)
         wanted = self.table("canonical").select("page_id")
-        if os.path.exists(f"{self.root}/lead_text"):
-            wanted = articles_dump.pending(wanted, self.table("lead_text"))
-        text = pages.join(wanted, "page_id", "left_semi").persist()
+        if not force and stamp(self.spark, f"{self.root}/texts/_SUCCESS"):
+            wanted = articles_dump.pending(wanted, self.table("texts"))
         c = F.col("wikitext")
-        text.select("page_id", lead_text(c).alias("lead_text")).write.mode("append").parquet(f"{self.root}/lead_text")
-        text.select("page_id", F.posexplode(outlinks(c)).alias("ordinal", "link_title")).write.mode("append").parquet(f"{self.root}/page_links")
-        text.select("page_id", article_text(c, infobox(c)).alias("text")).write.mode("append").parquet(f"{self.root}/article")
-        text.unpersist()
-        return self.table("lead_text").count()
+        told = pages.join(wanted, "page_id", "left_semi").select("page_id", lead_text(c).alias("lead_text"), outlinks(c).alias("links"), article_text(c, infobox(c)).alias("text"))
+        told.write.mode("overwrite" if force else "append").parquet(f"{self.root}/texts")
+        return self.table("texts").count()
+
+    def page_links(self) -> DataFrame:
+        return self.table("texts").select("page_id", F.posexplode("links").alias("ordinal", "link_title"))
+
+    def lead_texts(self) -> DataFrame:
+        return self.table("texts").select("page_id", "lead_text")
+
+    def articles(self) -> DataFrame:
+        return self.table("texts").select("page_id", "text")
 
     def run(self, only: str | None = None, force: bool = False) -> list[str]:
         steps: dict[str, Callable[[], int | None]] = {name: (lambda n=name: self.load(n)) for name in self.FILES}
-        steps |= {"canonical": self.canonical, "redirects": self.redirects, "graph": self.graph, "texts": self.texts}
+        steps |= {"canonical": self.canonical, "redirects": self.redirects, "resolution": self.resolution, "graph": self.graph, "offsets": self.offsets, "texts": lambda: self.texts(force)}
         return run_steps(self.manifest, steps, only, force)
 
 
@@ -121,36 +143,41 @@ class Tools:
         t = build.table
         self.canonical, self.page, self.redirects = t("canonical"), t("page"), t("redirect_map")
         self.edges, _ = graph.load_graph(build.spark, f"{build.root}/graph")
-        self.legal = articles.legal_links(t("page_links"), articles.title_resolution(self.canonical, self.page, self.redirects))
+        self.legal = articles.legal_links(build.page_links(), t("title_resolution"))
 
     def get_page(self, pages: DataFrame) -> DataFrame:
         """Observations of pages (page_id)."""
         named = pages.select("page_id").join(self.canonical.select("page_id", "page_title"), "page_id", "left")
-        return articles.observations(self.build.table("article"), self.build.table("lead_text"), named, self.legal)
+        return articles.observations(self.build.articles(), self.build.lead_texts(), named, self.legal)
+
+    def raw_pages(self, page_ids: list[int]) -> DataFrame:
+        """page_id, wikitext of single pages, read from the article dump by the saved offsets."""
+        path = find_file(self.build.spark, self.build.raw, "*-pages-articles-multistream*.xml.bz2")
+        return articles_dump.pages_of(self.build.table("offsets"), path.removeprefix("file:"), page_ids)
 
     def start_episode(self, episodes: DataFrame, seed: int | None = None) -> DataFrame:
-        """Episode of a seed (of every seed if None) with its first observation; a seed out of range is an error."""
+        """Episode of a seed (of every seed if None, in their order) with its first observation; a seed out of range is an error."""
         if seed is not None:
             episodes = episodes.where(F.col("seed") == seed)
             if not episodes.take(1):
                 raise ValueError(f"seed {seed} out of range")
         seen = self.get_page(episodes.select(F.col("start_page_id").alias("page_id")).distinct())
-        return episodes.join(seen.withColumnRenamed("page_id", "start_page_id"), "start_page_id")
+        return episodes.join(seen.withColumnRenamed("page_id", "start_page_id"), "start_page_id").orderBy("seed")
 
     def click_links(self, episodes: DataFrame, log: DataFrame) -> DataFrame:
         return sessions.replay_clicks(episodes, log, self.legal)
 
     def get_section(self, pages: DataFrame, name: str) -> DataFrame:
-        text = self.build.table("article").join(pages.select("page_id"), "page_id", "left_semi")
+        text = self.build.articles().join(pages.select("page_id"), "page_id", "left_semi")
         return articles.get_section(articles.legal_sections(articles.sections_of(text), self.legal), name)
 
     def search_page(self, pages: DataFrame, query: str, max_results: int = 10) -> DataFrame:
-        text = self.build.table("article").join(pages.select("page_id"), "page_id", "left_semi")
+        text = self.build.articles().join(pages.select("page_id"), "page_id", "left_semi")
         return articles.search(text, F.lit(query), max_results)
 
     def evaluate(self, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """One row of metrics, and the scored traces, of the greedy reader on all episodes."""
-        places = self.build.table("page_links").groupBy("page_id", F.col("link_title").alias("title")).agg(F.min("ordinal").alias("place"))
+        places = self.build.page_links().groupBy("page_id", F.col("link_title").alias("title")).agg(F.min("ordinal").alias("place"))
         states = sessions.run_greedy(episodes, self.legal.join(places, ["page_id", "title"]))
         traces = self.score_episodes(states, episodes).withColumn("error", F.lit(None).cast("string")).withColumn("scored", F.lit(True))
         return sessions.metrics(traces), traces

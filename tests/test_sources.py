@@ -76,7 +76,7 @@ def test_steps(spark, tmp_path):
     assert run_steps(m, steps) == [] and run_steps(m, steps, "a", force=True) == ["a"] and ran == ["a", "c", "a"]
     with pytest.raises(KeyError):
         run_steps(m, steps, "z")
-    assert find_file(str(tmp_path), "nothing*") is None
+    assert find_file(spark, str(tmp_path), "nothing*") is None
 
 
 def test_build_and_tools(spark, dump):
@@ -92,15 +92,20 @@ def test_build_and_tools(spark, dump):
     put("page_props", "page_props", "(7,'disambiguation','')")
     put("pagelinks", "pagelinks", "(1,0,101),(1,0,103),(2,0,102),(3,0,103),(1,0,104),(1,3,102)")
     build = Build(spark, str(path), str(path / "out"))
-    assert build.run() == ["page", "redirect", "linktarget", "page_props", "pagelinks", "canonical", "redirects", "graph", "texts"]
+    assert build.run() == ["page", "redirect", "linktarget", "page_props", "pagelinks", "canonical", "redirects", "resolution", "graph", "offsets", "texts"]
     assert build.run() == []
+    assert build.run("texts", force=True) == ["texts"] and build.table("texts").count() == 3  # replaced, not doubled
+    build.table("texts").where("page_id <> 2").write.parquet(str(path / "some"))
+    spark.read.parquet(str(path / "some")).write.mode("overwrite").parquet(str(path / "out" / "texts"))
+    assert build.texts() == 3 and [len(x) for x in rows(build.page_links())] == [3] * 3  # only what is missing is added
     tools = Tools(build)
     assert rows(tools.edges) == [(0, 1), (0, 3), (1, 2), (2, 3)]
-    assert rows(build.table("lead_text")) == [(1, "lead B x"), (2, "new C text"), (4, "fourth")]
+    assert rows(build.lead_texts()) == [(1, "lead B x"), (2, "new C text"), (4, "fourth")]
     seen = tools.get_page(spark.createDataFrame([(1,)], "page_id bigint")).first()
     assert [tuple(s) for s in seen["sections"]] == [("Lead", 0, 1), ("H", 2, 1)]
     assert tools.search_page(spark.createDataFrame([(1,)], "page_id bigint"), "MORE").first()["line_number"] == 3
     assert tools.get_section(spark.createDataFrame([(1,)], "page_id bigint"), "h").first()["links"][0]["title"] == "R"
+    assert rows(tools.raw_pages([4, 99])) == [(4, "fourth")] and rows(tools.raw_pages([])) == []
     catalog = spark.createDataFrame([("e1", "dev", 0, 1, 3, "A", "C", 2, "easy", 12)], episodes.EPISODE_SCHEMA)
     assert tools.start_episode(catalog, 0).first()["current_title"] == "A"
     with pytest.raises(ValueError):
