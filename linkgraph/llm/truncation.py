@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ REASONS = ("mark", "longer copy", "word", "sentence", "pair", "first words", "li
 _MARK = regex.compile(r"(?r)\s*(?:[\[(]\s*(?:…|\.{3})\s*[\])]|…|\.{3}|&hellip;|\N{REPLACEMENT CHARACTER}+)\s*")
 _STOPS = frozenset(".!?。！？")
 _CLOSERS = frozenset("\"'»”’") | {c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Pf", "Pe")}
+_SPACES = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 _INLINE = "ref|span|small|sup|sub|math|code|nowiki|font|a|b|i|u|em|strong"
 #: Pieces of markup and signs that may follow the end of a text, by the sign that they end with, each matched backwards from the end.
 _AFTER = {
@@ -58,7 +60,7 @@ _AFTER = {
 _SIGNS_AFTER = [regex.compile(rf"(?r)(?:{p})") for p in (r"(?<=。) [\p{Latin}’']+", r"[\p{So}\p{Sk}\p{Cf}✓️]", r"\s\d+(?:\.\d+)?(?:e-?\d+)?")]
 _INNER = regex.compile(r"(?r)(?:</[A-Za-z][^<>]*>|\}|\*\*|~~|''+|`)+")
 _SIGNED = regex.compile(r"--? .*\p{L}, \d{1,2} \p{Lu}\p{L}{2,}(?: \d{4})?")
-_SENTENCES = regex.compile(r"(?<=[.!?][\p{Pf}\p{Pe}\"'»”’]?)\s+(?=\p{Lu}|\p{Lo})|(?<=[。！？])|\n")
+_SENTENCES = regex.compile(r"\n|[.!?][\p{Pf}\p{Pe}\"'»”’]?\K\s+(?=\p{Lu}|\p{Lo})|[。！？]\K")
 _WORD = regex.compile(r"[\p{L}\p{M}]++")
 _LAST_WORD = regex.compile(r"(?r)[\p{L}\p{M}]+")
 _NAME = regex.compile(r"\p{Lu}[\p{Lu}\p{Ll}\p{Lm}\p{M}’'–-]*")
@@ -208,10 +210,21 @@ def alike_at_front(texts: DataFrame) -> DataFrame:
     PREFIX_CHARS that it reaches) and, as it may be the longer one, at all shorter ones; a group of
     equal prefixes is of use if it holds a text of that own length and a longer text.
     """
-    n = F.length("text")
-    own = F.array_max(F.filter(F.array(*map(F.lit, PREFIX_CHARS)), lambda p: p <= n))
-    fronts = F.transform(F.filter(F.array(*map(F.lit, PREFIX_CHARS)), lambda p: p <= n), lambda p: F.struct(F.xxhash64(p, F.substring(F.col("text"), F.lit(1), p)).alias("front"), (p == own).alias("own")))
-    rows = checkpointed(texts.select("key", n.alias("n"), F.explode(fronts).alias("f")).select("key", "n", "f.front", "f.own"))
+    schema = "key string, n int, front bigint, own boolean"
+
+    def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, length, front, own = [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                n = len(t)
+                sizes = [p for p in PREFIX_CHARS if p <= n]
+                at += [i] * len(sizes)
+                length += [n] * len(sizes)
+                front += [xxhash.xxh3_64_intdigest(t[:p].encode(), p & 0xFFFFFFFF) - (1 << 63) for p in sizes]
+                own += [p == sizes[-1] for p in sizes]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(length, pa.int32()), pa.array(front, pa.int64()), pa.array(own, pa.bool_())], names=["key", "n", "front", "own"])
+
+    rows = checkpointed(texts.select("key", "text").mapInArrow(fronts, schema))
     groups = rows.groupBy("front").agg(F.max("n").alias("longest"), F.min(F.when(F.col("own"), F.col("n"))).alias("shortest")).where("shortest < longest").select("front")
     return join_unique(rows, checkpointed(groups), "front").select("key").distinct()
 
@@ -266,7 +279,7 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
 
 
 def _stem() -> Column:
-    return F.regexp_replace("text", r"(?U)\s+$", "")
+    return F.rtrim(F.col("text"), F.lit(_SPACES))
 
 
 def prefix_documents(documents: DataFrame, others: DataFrame) -> DataFrame:
