@@ -89,12 +89,13 @@ class Index:
         self.number, self.value = number[order], value[order]
         at, starts, sizes = np.unique(gram[order], return_index=True, return_counts=True)
         heads = np.bincount(np.repeat(np.arange(len(at)), sizes), weights=first[order], minlength=len(at)).astype(np.int64)
-        self.postings = {g: (a, a + h, a + n) for g, a, h, n in zip(at.tolist(), starts.tolist(), heads.tolist(), sizes.tolist(), strict=True)}
+        cuts = zip(at.tolist(), starts.tolist(), heads.tolist(), sizes.tolist(), strict=True)
+        self.postings = {g: (self.number[a : a + h], self.number[a : a + n], self.value[a : a + n], n) for g, a, h, n in cuts}
 
     def candidates(self, g: np.ndarray, head: int) -> np.ndarray:
         """The entries that share a gram of both prefixes: all of cosine FLOOR or more."""
-        spans = [self.postings[x] for x in g[:head].tolist() if x in self.postings]
-        return np.unique(np.concatenate([self.number[a:m] for a, m, _ in spans])) if spans else np.empty(0, np.int64)
+        heads = [self.postings[x][0] for x in g[:head].tolist() if x in self.postings]
+        return np.unique(np.concatenate(heads)) if heads else np.empty(0, np.int64)
 
     def best(self, s: str) -> tuple[str | None, float, float]:
         """The entry with the highest cosine to a normalised value, of equal ones the first, and the two highest cosines."""
@@ -102,16 +103,16 @@ class Index:
         found = self.candidates(g, head)
         if not len(found):
             return None, 0.0, 0.0
-        spans = [(self.postings[x], y) for x, y in zip(g.tolist(), w.tolist(), strict=True) if x in self.postings]
-        number = np.concatenate([self.number[a:b] for (a, _, b), _ in spans])
-        product = np.concatenate([self.value[a:b] * y for (a, _, b), y in spans])
+        hits = [(self.postings[x], y) for x, y in zip(g.tolist(), w.tolist(), strict=True) if x in self.postings]
+        number = np.concatenate([p[1] for p, _ in hits])
+        product = np.concatenate([p[2] for p, _ in hits]) * np.repeat([y for _, y in hits], [p[3] for p, _ in hits])
         at = np.searchsorted(found, number)
         at[at == len(found)] = 0
-        hit = found[at] == number
-        score = np.bincount(at[hit], weights=product[hit], minlength=len(found)).round(9)
+        score = np.bincount(at, weights=product * (found[at] == number), minlength=len(found)).round(9)
         i = int(score.argmax())
-        second = float(np.delete(score, i).max()) if len(score) > 1 else 0.0
-        return self.names[found[i]], float(score[i]), second
+        first = float(score[i])
+        score[i] = -1.0
+        return self.names[found[i]], first, max(float(score.max()), 0.0)
 
 
 def gram_weights(entries: DataFrame, n_entries: int) -> np.ndarray:
@@ -147,17 +148,20 @@ def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     weight = spark.sparkContext.broadcast(gram_weights(names, n_entries))
     blocks = max(1, -(-n_entries // BLOCK_ENTRIES))
     distinct = checkpointed(values.where("value is not null").select("value").distinct())
-    parts = max(-(-distinct.count() // TASK_VALUES), -(-shuffle_width(spark) // blocks))
+    # Several groups a task, so that tasks are alike; a fixed number of tasks, as little data may be much work.
+    tasks = max(shuffle_width(spark), -(-distinct.count() // TASK_VALUES) * blocks)
+    parts = -(-4 * tasks // blocks)
     each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     each_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    asked = distinct.select("value", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int").alias("part"), each_block)
-    listed = names.select("entry", F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int").alias("block"), each_part)
+    asked = distinct.select("value", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int").alias("part"), each_block).repartition(tasks, "part", "block")
+    listed = names.select("entry", F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int").alias("block"), each_part).repartition(tasks, "part", "block")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         index = Index(right.column("entry").to_pylist(), weight.value)
         raw = left.column("value").to_pylist()
         plain = [normalise(v) for v in raw]
-        told = [(v, 2.0, 0.0) if v in index.own else index.best(s) if s else (None, 0.0, 0.0) for v, s in zip(raw, plain, strict=True)]
+        best = {s: index.best(s) if s else (None, 0.0, 0.0) for v, s in zip(raw, plain, strict=True) if v not in index.own}
+        told = [(v, 2.0, 0.0) if v in index.own else best[s] for v, s in zip(raw, plain, strict=True)]
         return pa.table({"value": left.column("value"), "entry": pa.array([t[0] for t in told], pa.string()), "score": pa.array([t[1] for t in told], pa.float64()), "second": pa.array([t[2] for t in told], pa.float64())})
 
     found = asked.groupBy("part", "block").cogroup(listed.groupBy("part", "block")).applyInArrow(search, "value string, entry string, score double, second double")
