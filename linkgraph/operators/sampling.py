@@ -14,7 +14,7 @@ ID_PREFIX = "linkgraph"
 #: Links of a page that may start a hard episode at most.
 HARD_SOURCE_OUT_DEGREE = 20
 #: Pairs that a quick sample verifies in one round.
-QUICK_ROUND = 500
+QUICK_ROUND = 2500
 # Fixed value: the DNS namespace of name-based UUIDs (RFC 4122).
 _DNS = "6ba7b8109dad11d180b400c04fd430c8"
 

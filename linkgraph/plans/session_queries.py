@@ -138,6 +138,12 @@ def first_episodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (session_replay, idle_expiry, episode_scores, eval_metrics, difficulty_histogram, difficulty_rules, derived_episode_ids, click_replay, greedy_run, stream_hourly_counts, stream_visit_counts, episode_file_roundtrip, bucket_sizes, first_episodes)}
+
+
+def _words(title: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower(replace({title}, '_', ' ')), '[\\s\\p{{Z}}]+'), lambda w: w <> ''))"
+
+
 _LOG = "log AS (SELECT user_id AS session, ts, event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'error' THEN 'invalid' WHEN 'purchase' THEN 'target' END AS action FROM events)"
 _EPISODES = """eps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY split NULLS FIRST, seed NULLS FIRST, start_page_id NULLS FIRST, target_page_id NULLS FIRST,
     start_title NULLS FIRST, target_title NULLS FIRST, shortest_path_len NULLS FIRST, difficulty NULLS FIRST, step_limit NULLS FIRST) AS rn FROM episode) WHERE rn = 1)"""
@@ -177,4 +183,16 @@ ORACLE = {
             CASE WHEN g.dst = p.target THEN 'success' WHEN g.dst IS NOT NULL AND p.clicks + 1 >= p.step_limit THEN 'step_limit' WHEN g.dst IS NULL AND p.bad + 1 >= 3 THEN 'invalid_action_limit' END
           FROM play p JOIN log l ON l.page_id = p.start AND l.seq = p.seq + 1 LEFT JOIN legal g ON g.page_id = p.cur AND g.title = l.title WHERE p.reason IS NULL)
         SELECT episode_id, arg_max(cur, seq) AS current_page_id, arg_max(clicks, seq) AS clicks, arg_max(bad, seq) AS invalid_actions, arg_max(struct_pack(r := reason), seq).r AS terminated_reason FROM play GROUP BY 1""",
+    "greedy_run": f"""{BASE}, {LEGAL}, {_EPISODES}, option AS (SELECT g.page_id, g.title, g.dst, -min(p.ordinal) AS first, lower(replace(g.title, '_', ' ')) AS low, {_words("g.title")} AS words
+          FROM legal g JOIN page_links p ON p.page_id = g.page_id AND p.link_title = g.title GROUP BY g.page_id, g.title, g.dst),
+        wish AS (SELECT *, lower(replace(target_title, '_', ' ')) AS low, {_words("target_title")} AS words FROM eps WHERE episode_id IS NOT NULL),
+        play(episode_id, target, step_limit, low, words, rnd, cur, path, clicks, reason, stuck) AS (
+          SELECT episode_id, target_page_id, step_limit, low, words, 0, start_page_id, [start_page_id], 0, CAST(NULL AS VARCHAR), FALSE FROM wish
+          UNION ALL SELECT episode_id, target, step_limit, low, words, rnd + 1, CASE WHEN goes THEN dst ELSE cur END, CASE WHEN goes THEN list_append(path, dst) ELSE path END, clicks + CASE WHEN goes THEN 1 ELSE 0 END,
+            CASE WHEN goes AND dst = target THEN 'success' WHEN goes AND clicks + 1 >= step_limit THEN 'step_limit' END, NOT goes
+          FROM (SELECT *, dst IS NOT NULL AND NOT (step_limit IS NULL AND list_contains(path, dst) AND dst IS DISTINCT FROM target) AS goes FROM (
+            SELECT p.episode_id, p.target, p.step_limit, p.low, p.words, p.rnd, p.cur, p.path, p.clicks,
+              arg_max(o.dst, struct_pack(same := coalesce(o.low = p.low, FALSE), score := CASE WHEN len(p.words) > 0 THEN len(list_intersect(p.words, o.words)) / len(p.words) ELSE 0.0 END, first := o.first, title := o.title)) AS dst
+            FROM play p LEFT JOIN option o ON o.page_id = p.cur WHERE p.reason IS NULL AND NOT p.stuck GROUP BY ALL)))
+        SELECT episode_id, arg_max(cur, rnd) AS current_page_id, arg_max(clicks, rnd) AS clicks, arg_max(struct_pack(r := reason), rnd).r AS terminated_reason, arg_max(stuck, rnd) AS stuck FROM play GROUP BY 1""",
 }

@@ -284,6 +284,7 @@ ORACLE = {
         f AS (SELECT page_id, list_transform(l, lambda x: struct_pack(k := {_strip("translate(split_part(x, ':', 1), '|{}[]<>*=', '')")}, v := trim({_strip("regexp_replace(translate(x[strpos(x, ':') + 1:], '|{}[]<>*=', ''), ' {2,}', ' ', 'g')")}, ',') )) AS f FROM b),
         g AS (SELECT page_id, list_transform(list_filter(list_transform(f, lambda y: struct_pack(k := y.k, v := {_strip("y.v")})), lambda y: y.v <> '' AND y.k <> ''), lambda y: chr(10) || '  ' || y.k || ': ' || y.v) AS g FROM f)
         SELECT page_id, '[Infobox: kind]' || array_to_string(g, '') || chr(10) || '  born: ' || (1 + page_id % 28) || ' ' || ({_MONTHS})[1 + page_id % 12] || ' ' || (1800 + page_id % 200) || chr(10) || '  note: one , two' AS infobox FROM g""",
+    "infoboxes": r"SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN regexp_matches(text, '\{\{[Ii]nfobox\s+[^|{}]') THEN '(a template)' ELSE '' END AS infobox FROM documents",
     "article_texts": f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, {_nest(_tail_cut(_READER_TAIL), _HIDDEN)} AS t FROM s),
         c AS (SELECT doc_id, {_nest(_nest(_nest("t", [(r"(?i)\[\[(?:File|Image):[^\]]*\]\]", ""), (r"(?i)\[\[Category:[^\]]*\]\]", "")]), _TEMPLATES), [])} AS t FROM b),
         e AS (SELECT doc_id, {_nest("replace(replace(t, chr(39) || chr(39) || chr(39), ''), chr(39) || chr(39), '')", [("<[^>]+>", ""), (" {2,}", " ")])} AS t FROM c)
