@@ -13,7 +13,8 @@ from linkgraph.plans.session import checkpointed
 ID_PREFIX = "linkgraph"
 #: Links of a page that may start a hard episode at most.
 HARD_SOURCE_OUT_DEGREE = 20
-#: Pairs that a quick sample verifies in one round.
+#: Pairs that a round of a sample proposes at least; and those that a quick sample verifies in one round. Neither changes the result.
+ROUND = 1000
 QUICK_ROUND = 2500
 # Fixed value: the DNS namespace of name-based UUIDs (RFC 4122).
 _DNS = "6ba7b8109dad11d180b400c04fd430c8"
@@ -71,7 +72,7 @@ def sample_bucket(
     cap, tried, got = max(200 * count, 1000), 0, 0
     taken = spark.createDataFrame([], "ordinal long, src int, dst int, dist int")
     while got < count and tried < cap:
-        n = min(per_round or max(20 * (count - got), 50), cap - tried)
+        n = min(per_round or max(20 * (count - got), ROUND), cap - tried)
         draws = checkpointed(_proposals(pool, n, seed, tried))
         if walk_lengths:
             ends = [
