@@ -163,6 +163,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 30) -> D
         start = checkpointed(open_.select(F.col(key).alias("start"), F.col(key).alias("node")).distinct())
         sides[name] = {"key": key, "seen": start, "frontier": start, "n": start.count()}
     n_open = open_.count()
+    for s in sides.values():
+        s["kept"] = n_open
     for depth in range(1, max_depth + 1):
         if not n_open or not all(s["n"] for s in sides.values()):
             break
@@ -170,6 +172,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 30) -> D
         s, other = sides[name], sides["bwd" if name == "fwd" else "fwd"]
         live = small_or_shuffled(open_.select(F.col(s["key"]).alias("start")).distinct(), n_open)
         going, seen = (s[x].join(live, "start", "left_semi") for x in ("frontier", "seen"))
+        if 2 * n_open < s["kept"]:  # what belongs to closed pairs is left behind for good
+            s["kept"], s["seen"] = n_open, checkpointed(seen)
+            seen = s["seen"]
         s["frontier"] = checkpointed(_links(edges, name).step(going, s["n"], "start").join(seen, ["start", "node"], "left_anti"))
         s["n"] = s["frontier"].count()
         s["seen"] = s["seen"].unionByName(s["frontier"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkgraph.operators import graph, sampling, sessions
 from linkgraph.operators.skew import join_unique
 from linkgraph.plans import tables
-from linkgraph.plans.session import checkpointed, scratch, table
+from linkgraph.plans.session import checkpointed, once, scratch, table
 from linkgraph.plans.tables import BASE, LT1, PAGE1, RD1
 from linkgraph.sources import articles_dump, dumps
 
@@ -99,9 +99,10 @@ def _episode_pairs(episodes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Distance between start and target of every episode."""
+    """Distance between start and target of every episode; made once a session for the same files."""
     edges, nodes = tables.edges(spark, d)
-    return graph.shortest_paths(edges, _episode_pairs(table(spark, d, "episode"), nodes))
+    files = [f"{d}/{name}.parquet" for name in ("page", "linktarget", "redirect_raw", "pagelinks_raw", "episode")]
+    return once(spark, files, "distances", lambda: checkpointed(graph.shortest_paths(edges, _episode_pairs(table(spark, d, "episode"), nodes))))
 
 
 def random_walks(spark: SparkSession, d: str) -> DataFrame:

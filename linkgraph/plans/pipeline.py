@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,7 @@ def run_steps(manifest: Manifest, steps: dict[str, Callable[[], int | None]], on
     """Runs the steps in order, or only the one named; a step that is done is skipped unless forced.
 
     A step returns its number of rows, or None if its input is missing: then it isn't marked as done.
+    Rows, seconds and rows a second of each step are kept in the manifest.
     """
     if only is not None and only not in steps:
         raise KeyError(only)
@@ -50,10 +52,14 @@ def run_steps(manifest: Manifest, steps: dict[str, Callable[[], int | None]], on
     for name, step in steps.items():
         if only not in (None, name) or (manifest.get(f"step_{name}_done") and not force):
             continue
+        began = time.time()
         n = step()
         if n is None:
             continue
+        took = time.time() - began
         manifest.set(f"n_{name}_rows", n)
+        manifest.set(f"{name}_seconds", round(took, 3))
+        manifest.set(f"{name}_rows_per_second", round(n / max(took, 1e-3), 1))
         manifest.set(f"step_{name}_done", 1)
         ran.append(name)
     return ran

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkgraph.operators import graph, sampling, sessions
+from linkgraph.operators import sampling, sessions
 from linkgraph.plans import tables
-from linkgraph.plans.graph_queries import DISTANCES, _episode_pairs
+from linkgraph.plans.graph_queries import DISTANCES, shortest_paths
 from linkgraph.plans.session import scratch, table
 from linkgraph.plans.tables import BASE
 from linkgraph.plans.text_queries import LEGAL, TITLE, _legal
@@ -53,9 +53,9 @@ def _states(episodes: DataFrame) -> DataFrame:
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     """The exact distance counts; where there is none, the sampled length."""
     episodes = _episodes(spark, d)
-    edges, nodes = tables.edges(spark, d)
+    nodes = tables.edges(spark, d)[1]
     key = nodes.select("page_id", "node_idx")
-    dist = graph.shortest_paths(edges, _episode_pairs(episodes, nodes)).join(key.toDF("start_page_id", "src"), "src").join(key.toDF("target_page_id", "dst"), "dst")
+    dist = shortest_paths(spark, d).join(key.toDF("start_page_id", "src"), "src").join(key.toDF("target_page_id", "dst"), "dst")
     return sessions.score(_states(episodes), episodes, dist.select("start_page_id", "target_page_id", "dist"), nodes)
 
 

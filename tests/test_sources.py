@@ -72,7 +72,7 @@ def test_steps(spark, tmp_path):
     m = Manifest(spark, str(tmp_path / "m"))
     ran = []
     steps = {"a": lambda: ran.append("a") or 3, "b": lambda: None, "c": lambda: ran.append("c") or 0}
-    assert run_steps(m, steps) == ["a", "c"] and m.get("n_a_rows") == "3" and m.get("step_b_done") is None
+    assert run_steps(m, steps) == ["a", "c"] and m.get("n_a_rows") == "3" and m.get("step_b_done") is None and float(m.get("a_rows_per_second")) > 0 and m.get("b_seconds") is None
     assert run_steps(m, steps) == [] and run_steps(m, steps, "a", force=True) == ["a"] and ran == ["a", "c", "a"]
     with pytest.raises(KeyError):
         run_steps(m, steps, "z")
