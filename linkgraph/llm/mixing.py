@@ -121,9 +121,11 @@ def deviations(mixed: DataFrame, planned: list[dict], slots: int = SLOTS, block_
     """source, max_deviation: how far, in blocks of the source, it is at most from its share of the tokens at the end of any slot.
 
     Documents lie in the slot of their first token, so the one that straddles the end adds up to its size.
-    Running sums are taken within stretches of slots and over the stretches.
+    Running sums are taken within stretches of slots and over the stretches. A mix of nothing gives no rows.
     """
     used = _used(planned)
+    if not used:
+        return mixed.sparkSession.createDataFrame([], "source string, max_deviation double")
     n_periods, total = periods(planned, slots, block_tokens), sum(p["wanted"] for p in used)
     stretch = F.floor(F.col("slot") / 4096)
     mine = {f"s{i}": F.sum(F.when(F.col("source") == p["source"], F.col("n_tokens")).otherwise(0)) for i, p in enumerate(used)}

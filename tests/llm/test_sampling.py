@@ -140,3 +140,4 @@ def test_mix_of_nothing(spark):
     weights = spark.createDataFrame([("a", 0.6, 2), (None, 0.4, 1)], "source string, target_share double, max_repeats int")
     planned = mixing.plan(none, weights)
     assert [(p["source"], p["wanted"]) for p in planned] == [("a", 0.0)] and mixing.mix(none, planned).count() == 0
+    assert mixing.deviations(mixing.mix(none, planned), planned).count() == 0
