@@ -7,10 +7,12 @@ is within the bound, and ends in a reliable checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from weakref import WeakKeyDictionary
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from linkgraph.plans.session import checkpointed, small_or_shuffled
 
 #: Links of a node that one task takes at a time; nodes with more are cut into parts.
 HUB_LINKS = 20_000
+#: Links that a task of a search for distances may hold (about 24 bytes each while it sorts them), and pairs that are worth a task with a copy of its own.
+TASK_LINKS, TASK_PAIRS = 20_000_000, 4000
 #: Links that a walk draws at once.
 DRAWS = 8
 
@@ -150,12 +154,116 @@ def bounded_bfs(edges: DataFrame, sources: DataFrame, max_depth: int, direction:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 30) -> DataFrame:
     """src, dst, dist of each distinct pair: exact number of links if at most max_depth, else null.
 
+    While one task can hold the links (TASK_LINKS, counted), the pairs are dealt to the cores and each
+    core searches its own pairs; beyond that the searches of all pairs go link by link as joins.
+    """
+    wanted = checkpointed(pairs.where("src is not null and dst is not null").select("src", "dst").distinct())
+    if _prepared(edges, "n", edges.count) <= TASK_LINKS:
+        return _paths_in_tasks(edges, wanted, max_depth)
+    return _paths_by_joins(edges, wanted, max_depth)
+
+
+def _paths_in_tasks(edges: DataFrame, wanted: DataFrame, max_depth: int) -> DataFrame:
+    """Every task gets the links, packed in a row a batch, and its share of the pairs; so the links are shuffled once for each core at most."""
+    spark = edges.sparkSession
+    n = wanted.count()
+    if not n:
+        return wanted.withColumn("dist", F.lit(None).cast("int"))
+    tasks = min(max(spark.sparkContext.defaultParallelism, 1), -(-n // TASK_PAIRS))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({k: [b[k].to_numpy().tobytes()] for k in ("src", "dst")}, schema=pa.schema([("src", pa.binary()), ("dst", pa.binary())]))
+
+    longs = lambda df: df.select(*(F.col(c).cast("long").alias(c) for c in ("src", "dst")))
+    narrow = all(kind != "bigint" for _, kind in edges.select("src", "dst").dtypes)
+    links = edges.where("src is not null and dst is not null").select("src", "dst")
+    packed = (links if narrow else longs(links)).mapInArrow(pack, "src binary, dst binary")
+    copies = packed.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.col("src").alias("srcs"), F.col("dst").alias("dsts"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"))
+    dealt = longs(wanted).select(F.pmod(F.xxhash64("src", "dst"), F.lit(tasks)).cast("int").alias("task"), F.lit(None).cast("binary").alias("srcs"), F.lit(None).cast("binary").alias("dsts"), "src", "dst")
+    kind = np.int32 if narrow else np.int64
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, pairs = {"srcs": [], "dsts": []}, {"src": [], "dst": []}
+        for b in batches:
+            for k, found in links.items():
+                found += [np.frombuffer(x.as_buffer(), kind) for x in b[k].drop_null()]
+            for k, found in pairs.items():
+                found.append(b[k].drop_null().to_numpy())
+        if not any(map(len, pairs["src"])):
+            return
+        src, dst = (np.concatenate(x) for x in pairs.values())
+        dist = _distances([np.concatenate([np.empty(0, kind), *links.pop(k)]) for k in ("srcs", "dsts")], src, dst, max_depth)
+        yield pa.RecordBatch.from_pydict({"src": src, "dst": dst, "dist": pa.array(dist, pa.int32(), mask=dist < 0)})
+
+    found = copies.unionByName(dealt).repartitionById(tasks, F.col("task")).drop("task").mapInArrow(search, "src long, dst long, dist int")
+    return found.select(*(F.col(c).cast(kind).alias(c) for c, kind in wanted.dtypes), "dist")
+
+
+def _distances(ends: list[np.ndarray], src: np.ndarray, dst: np.ndarray, max_depth: int) -> np.ndarray:
+    """Number of links from each src to its dst, -1 if there are more than max_depth or there is no way.
+
+    ends: sources and targets of the links; taken out of the list, so that they go once they are sorted. Each pair has two searches, from src forward and from dst backward; the one that meets fewer links goes
+    one link on. A pair that is open when they have gone i and j links is more than i + j apart, so it
+    is at i + j + 1 when the next link leads to a node that the other search has seen.
+    """
+    b, a = ends.pop(), ends.pop()
+    every = (a, b, src, dst)
+    low, high = min(x.min(initial=0) for x in every), max(x.max(initial=0) for x in every)
+    if low < 0 or high > 4 * (len(a) + len(src)) + 1000:  # not dense
+        nodes = np.unique(np.concatenate(every))
+        a, b, src, dst = (np.searchsorted(nodes, x) for x in every)
+        high = len(nodes)
+    size = int(high) + 1
+
+    def listed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the links of each node begin, and the nodes that they lead to."""
+        both = a.astype(np.int64) << 32
+        both |= b
+        both.sort()
+        return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=size))]), both.astype(np.int32)  # the lower half
+
+    links = (listed(a, b), listed(b, a))
+    del a, b, every
+    seen, slot = (np.full(size, -1, np.int32), np.full(size, -1, np.int32)), np.zeros(size, np.int32)
+    dist = np.full(len(src), -1, np.int32)
+    for p, ends in enumerate(zip(src.tolist(), dst.tolist(), strict=True)):
+        if ends[0] == ends[1]:
+            dist[p] = 0
+            continue
+        frontier = [np.array([x]) for x in ends]
+        cost = [at[x + 1] - at[x] for (at, _), x in zip(links, ends, strict=True)]
+        for side, x in zip(seen, ends, strict=True):
+            side[x] = p
+        for depth in range(1, max_depth + 1):
+            if not cost[0] or not cost[1]:
+                break
+            i = int(cost[1] < cost[0])
+            at, to = links[i]
+            begin = at[frontier[i]]
+            n = at[frontier[i] + 1] - begin
+            upto = np.cumsum(n)
+            step = to[np.repeat(begin - upto + n, n) + np.arange(upto[-1])]
+            if (seen[1 - i][step] == p).any():
+                dist[p] = depth
+                break
+            new = step[seen[i][step] != p]
+            places = np.arange(len(new), dtype=np.int32)
+            slot[new] = places
+            new = new[slot[new] == places]  # each once
+            seen[i][new] = p
+            frontier[i], cost[i] = new, (at[new + 1] - at[new]).sum()
+    return dist
+
+
+def _paths_by_joins(edges: DataFrame, wanted: DataFrame, max_depth: int) -> DataFrame:
+    """The same for any number of links.
+
     Two searches meet, from the sources forward and from the targets backward; each round the one with
     the smaller frontier goes one link on. A pair that is still open when they have gone a and b links
     is at least a + b apart, and just so far if the two last frontiers share a node. Sources and
     targets of pairs that are closed (met, or one of the ends has no frontier left) go no further.
     """
-    wanted = checkpointed(pairs.where("src is not null and dst is not null").select("src", "dst").distinct())
     solved = wanted.where("src = dst").withColumn("dist", F.lit(0))
     open_ = wanted.where("src <> dst")
     sides = {}

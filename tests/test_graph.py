@@ -104,6 +104,45 @@ def test_distances_against_naive_search(spark, links):
     assert got == {(a, b): d if (d := dist(a).get(b)) is not None and d <= 6 else None for a, b in pairs}
 
 
+def jobs(spark, run):
+    """How many Spark jobs run starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup("counted", "")
+    try:
+        before = len(sc.statusTracker().getJobIdsForGroup("counted"))
+        run()
+        return len(sc.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_of_long_paths(spark):
+    """Distances take as many jobs in a long chain as in a short one."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "src int, dst int").cache()
+    few, many = (spark.createDataFrame([(0, n), (n, 0), (5, 5), (n, n + 1)], "src int, dst int") for n in (2, 28))
+    graph.shortest_paths(edges, few).collect()
+    told = []
+    counts = [jobs(spark, lambda p=p: told.append(rows(graph.shortest_paths(edges, p)))) for p in (few, many)]
+    assert told == [[(0, 2, 2), (2, 0, None), (2, 3, 1), (5, 5, 0)], [(0, 28, 28), (28, 0, None), (28, 29, 1), (5, 5, 0)]]
+    assert counts[1] == counts[0] < 15
+
+
+@pytest.mark.parametrize("kind, move", [("int", 0), ("long", 0), ("long", 2**40), ("int", 2**30), ("int", -100)])
+def test_distances_in_tasks_and_by_joins(spark, monkeypatch, kind, move):
+    """Both ways give the same, for any ids, repeated links, links without an end, and tasks without pairs."""
+    r = random.Random(11)
+    links = [(r.randrange(80), r.randrange(80)) for _ in range(110)] + [(0, i) for i in range(40)]
+    edges = spark.createDataFrame([(a + move, b + move) for a, b in links + links[:9]] + [(None, move)], f"src {kind}, dst {kind}")
+    pairs = spark.createDataFrame([(r.randrange(84) + move, r.randrange(84) + move) for _ in range(120)], f"src {kind}, dst {kind}")
+    monkeypatch.setattr(graph, "TASK_PAIRS", 40)
+    got = graph.shortest_paths(edges, pairs, 5)
+    fast, few = rows(got), rows(graph.shortest_paths(edges, pairs.limit(1), 5))
+    assert got.dtypes == [("src", pairs.dtypes[0][1]), ("dst", pairs.dtypes[0][1]), ("dist", "int")] and few[0] in fast
+    assert graph.shortest_paths(edges, pairs.where(F.lit(False))).count() == 0
+    monkeypatch.setattr(graph, "TASK_LINKS", -1)
+    assert fast == rows(graph.shortest_paths(edges, pairs, 5)) and len({x[2] for x in fast}) > 4
+
+
 def test_walks(spark):
     r = random.Random(5)
     links = {(a, b) for a in range(40) for b in r.sample(range(40), 5) if a != b}
