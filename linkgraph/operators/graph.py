@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.operators.skew import join_unique
-from linkgraph.plans.session import checkpointed, small_or_shuffled
+from linkgraph.plans.session import checkpointed, saved, small_or_shuffled
 
 #: Links of a node that one task takes at a time; nodes with more are cut into parts.
 HUB_LINKS = 20_000
@@ -39,9 +39,9 @@ def link_edges(pagelinks: DataFrame, linktarget: DataFrame, page_titles: DataFra
     named = linktarget.where("lt_ns = 0").select("lt_id", F.col("lt_title").alias("title")).join(page_titles, "title")
     followed = named.join(redirects.withColumnRenamed("rd_from_id", "page_id").withColumn("hit", F.lit(True)), "page_id", "left")
     ends = followed.select("lt_id", F.when(F.col("hit"), F.col("canonical_id")).otherwise(F.col("page_id")).alias("page_id"))
-    targets = checkpointed(ends.join(canonical.select("page_id", F.col("node_idx").alias("dst")), "page_id").select(F.col("lt_id").alias("pl_target_id"), "dst"))
+    targets = saved(ends.join(canonical.select("page_id", F.col("node_idx").alias("dst")), "page_id").select(F.col("lt_id").alias("pl_target_id"), "dst"), "targets")
     sources = canonical.select(F.col("page_id").alias("pl_from"), F.col("node_idx").alias("src"))
-    links = checkpointed(join_unique(pagelinks.select("pl_from", "pl_target_id").where("pl_from is not null"), targets, "pl_target_id").select("pl_from", "dst").distinct())
+    links = saved(join_unique(pagelinks.select("pl_from", "pl_target_id").where("pl_from is not null"), targets, "pl_target_id").select("pl_from", "dst").distinct(), "links")
     return join_unique(links, sources, "pl_from").where("src <> dst").select("src", "dst").distinct()
 
 

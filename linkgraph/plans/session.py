@@ -73,6 +73,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The table as Parquet in the shared folder: as reliable as a checkpoint, but compressed and read by columns.
+
+    For large tables; the files stay until the session ends.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    fs, p = path_of(spark, path)
+    fs.deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint only if the counted number of rows is within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

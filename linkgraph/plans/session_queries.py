@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkgraph.operators import sampling, sessions
 from linkgraph.plans import tables
 from linkgraph.plans.graph_queries import DISTANCES, shortest_paths
-from linkgraph.plans.session import scratch, table
+from linkgraph.plans.session import once, saved, scratch, table
 from linkgraph.plans.tables import BASE
 from linkgraph.plans.text_queries import LEGAL, TITLE, _legal
 from linkgraph.sources.episodes import difficulty_counts, read_episodes, write_episodes
@@ -39,6 +39,11 @@ def _episodes(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("episode_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "episode_id"])).alias("r")).select("episode_id", "r.*")
 
 
+def _saved_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """The same, made once a session for the same file."""
+    return once(spark, [f"{d}/episode.parquet"], "episodes", lambda: saved(_episodes(spark, d), "episodes"))
+
+
 def _states(episodes: DataFrame) -> DataFrame:
     """Final states made up from the episodes: odd seeds reach the target after one click more than the
     sampled length, even ones end at the start."""
@@ -52,7 +57,7 @@ def _states(episodes: DataFrame) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     """The exact distance counts; where there is none, the sampled length."""
-    episodes = _episodes(spark, d)
+    episodes = _saved_episodes(spark, d)
     nodes = tables.edges(spark, d)[1]
     key = nodes.select("page_id", "node_idx")
     dist = shortest_paths(spark, d).join(key.toDF("start_page_id", "src"), "src").join(key.toDF("target_page_id", "dst"), "dst")

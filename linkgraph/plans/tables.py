@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.operators.canonical import canonical_pages, redirect_map, title_index
 from linkgraph.operators.graph import link_edges
-from linkgraph.plans.session import checkpointed, once, table
+from linkgraph.plans.session import once, saved, table
 from linkgraph.sources.dumps import first_wins
 
 
@@ -26,7 +26,11 @@ def redirects(spark: SparkSession, d: str) -> DataFrame:
 
 def props(spark: SparkSession, d: str) -> DataFrame:
     """Pages marked as disambiguation; here the title tells."""
-    marked = pages(spark, d).where(F.endswith("page_title", F.lit("_(disambiguation)")))
+    return _marked(pages(spark, d))
+
+
+def _marked(page: DataFrame) -> DataFrame:
+    marked = page.where(F.endswith("page_title", F.lit("_(disambiguation)")))
     return marked.select(F.col("page_id").alias("pp_page"), F.lit("disambiguation").alias("pp_propname"), F.lit("").alias("pp_value"))
 
 
@@ -46,8 +50,9 @@ def edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """edges and canonical pages; made once a session for the same files."""
 
     def build() -> tuple[DataFrame, DataFrame]:
-        nodes = checkpointed(canonical(spark, d))
-        return checkpointed(link_edges(links(spark, d), link_targets(spark, d), title_index(pages(spark, d)), redirect_ends(spark, d), nodes)), nodes
+        page = saved(pages(spark, d), "pages")
+        nodes = saved(canonical_pages(page, _marked(page)), "nodes")
+        return saved(link_edges(links(spark, d), link_targets(spark, d), title_index(page), redirect_map(redirects(spark, d), page), nodes), "edges"), nodes
 
     return once(spark, [f"{d}/{name}.parquet" for name in ("page", "linktarget", "redirect_raw", "pagelinks_raw")], "edges", build)
 

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 
 from linkgraph.plans import session_queries as Q
+from linkgraph.plans.session import saved
 
 T = datetime(2025, 1, 1)
 
@@ -39,3 +40,14 @@ def test_click_replay_of_all_links(spark, world):
     """The eleventh link and those after it are clicked as well: e4 ends by its step limit of 12."""
     got = {r[0]: tuple(r[1:]) for r in rows(Q.click_replay(spark, world))}
     assert got["e4"] == (13, 12, 0, "step_limit") and got["e1"] == (3, 2, 0, "success") and got["e5"] == (2, 1, 0, "success")
+
+
+def test_large_tables_are_kept_as_files(spark, world):
+    """The graph and the episodes are read by columns from compressed files, once made; an empty table as well."""
+    edges, nodes = Q.tables.edges(spark, world)
+    assert edges.inputFiles() and nodes.inputFiles() and rows(edges) == [(0, 1), (1, 2), (2, 3)]
+    assert rows(nodes.where("page_id < 3")) == [(1, "P1", 0), (2, "P2", 1)]
+    kept = Q._saved_episodes(spark, world)
+    assert kept.inputFiles() and rows(kept) == rows(Q._episodes(spark, world)) and Q._saved_episodes(spark, world) is kept
+    none = saved(edges.where("src < 0"), "none")
+    assert none.count() == 0 and none.dtypes == edges.dtypes
