@@ -70,8 +70,8 @@ def episode_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of all episodes; those whose start or target is no canonical page are errors and not scored."""
-    pages = tables.canonical(spark, d).select("page_id")
-    known = _episodes(spark, d).join(pages.toDF("start_page_id"), "start_page_id", "left_semi").join(pages.toDF("target_page_id"), "target_page_id", "left_semi")
+    pages = tables.edges(spark, d)[1].select("page_id")
+    known = _saved_episodes(spark, d).join(pages.toDF("start_page_id"), "start_page_id", "left_semi").join(pages.toDF("target_page_id"), "target_page_id", "left_semi")
     scored = _scores(spark, d).join(known.select("episode_id", F.lit(True).alias("known")), "episode_id", "left").withColumn("scored", F.coalesce("known", F.lit(False)))
     traces = scored.select(F.when(~F.col("scored"), "no such page").alias("error"), "scored", "success", "clicks", "optimality_gap")
     return sessions.metrics(traces).select(*(F.round(c, 6).alias(c) if "avg" in c or "rate" in c else F.col(c) for c in ("n_total", "n_errors", "n_scored", "n_success", "n_failure", "success_rate", "avg_clicks_all", "avg_clicks_success", "avg_optimality_gap", "median_clicks_success")))

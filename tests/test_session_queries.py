@@ -51,3 +51,11 @@ def test_large_tables_are_kept_as_files(spark, world):
     assert kept.inputFiles() and rows(kept) == rows(Q._episodes(spark, world)) and Q._saved_episodes(spark, world) is kept
     none = saved(edges.where("src < 0"), "none")
     assert none.count() == 0 and none.dtypes == edges.dtypes
+
+
+def test_metrics_make_nothing_again(spark, world, monkeypatch):
+    """After the scores the metrics need neither the canonical pages nor the episodes anew."""
+    want = rows(Q.eval_metrics(spark, world))
+    monkeypatch.setattr(Q.tables, "canonical", None)
+    monkeypatch.setattr(Q, "_episodes", None)
+    assert rows(Q.eval_metrics(spark, world)) == want and want[0][:5] == (5, 1, 4, 4, 0)
