@@ -218,7 +218,8 @@ def _distances(ends: list[np.ndarray], src: np.ndarray, dst: np.ndarray, max_dep
 
     def listed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the links of each node begin, and the nodes that they lead to."""
-        both = a.astype(np.int64) << 32
+        both = a.astype(np.int64)
+        both <<= 32
         both |= b
         both.sort()
         return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=size))]), both.astype(np.int32)  # the lower half

@@ -42,16 +42,20 @@ def bucket_targets(n_total: int) -> dict[str, int]:
     return {"easy": easy, "medium": n_total - easy}
 
 
-def _proposals(pool: DataFrame, n: int, seed: int, first: int) -> DataFrame:
-    """ordinal, src, other: n draws of two nodes each, uniform with replacement from the pool.
-
-    The pool's size is counted; a draw is a hash of (seed, ordinal) onto its dense numbers.
-    """
+def _numbered(pool: DataFrame) -> tuple[DataFrame, int]:
+    """The nodes of a pool with dense numbers i, and how many they are; made once for all rounds of a sample."""
     from linkgraph.operators.canonical import dense_index
 
     numbered = checkpointed(dense_index(pool.select("node_idx"), "node_idx", "i"))
-    size = numbered.count()
-    draws = pool.sparkSession.range(first, first + n).select(
+    return numbered, numbered.count()
+
+
+def _proposals(numbered: DataFrame, size: int, n: int, seed: int, first: int) -> DataFrame:
+    """ordinal, src, other: n draws of two nodes each, uniform with replacement from a numbered pool.
+
+    A draw is a hash of (seed, ordinal) onto the dense numbers.
+    """
+    draws = numbered.sparkSession.range(first, first + n).select(
         F.col("id").alias("ordinal"), F.pmod(F.xxhash64(F.lit(seed), F.lit("s"), "id"), F.lit(size)).cast("int").alias("i"), F.pmod(F.xxhash64(F.lit(seed), F.lit("t"), "id"), F.lit(size)).cast("int").alias("j")
     )
     a = numbered.select("i", F.col("node_idx").alias("src"))
@@ -71,9 +75,10 @@ def sample_bucket(
     spark: SparkSession = edges.sparkSession
     cap, tried, got = max(200 * count, 1000), 0, 0
     taken = spark.createDataFrame([], "ordinal long, src int, dst int, dist int")
+    pool, size = _numbered(pool)
     while got < count and tried < cap:
         n = min(per_round or max(20 * (count - got), ROUND), cap - tried)
-        draws = checkpointed(_proposals(pool, n, seed, tried))
+        draws = checkpointed(_proposals(pool, size, n, seed, tried))
         if walk_lengths:
             ends = [
                 random_walks(edges, draws.where(F.col("ordinal") % len(walk_lengths) == i).select(F.col("ordinal").alias("walk_id"), "src"), length, seed, max_out_degree)
@@ -152,9 +157,10 @@ def quick_sample(edges: DataFrame, pages: DataFrame, want: dict[str, int] | None
     rank = F.row_number().over(Window.partitionBy("level").orderBy("ordinal"))
     ranked = edges.sparkSession.createDataFrame([], "ordinal long, src int, dst int, dist int, level string")
     got, tried = 0, 0
+    pool, size = _numbered(pages)
     while got < sum(want.values()) and tried < attempts:
         n = min(QUICK_ROUND, attempts - tried)
-        draws = checkpointed(_proposals(pages, n, seed, tried).where("src <> other").select("ordinal", "src", F.col("other").alias("dst")))
+        draws = checkpointed(_proposals(pool, size, n, seed, tried).where("src <> other").select("ordinal", "src", F.col("other").alias("dst")))
         told = draws.join(shortest_paths(edges, draws, 7), ["src", "dst"]).where("dist is not null and dist >= 1").withColumn("level", difficulty(F.col("dist")))
         ranked = checkpointed(ranked.unionByName(told.select(*ranked.columns)).withColumn("rank", rank).where(F.col("rank") <= least[F.col("level")]).drop("rank"))
         got, tried = ranked.count(), tried + n

@@ -33,3 +33,18 @@ def test_rounds_of_a_quick_sample(spark, monkeypatch):
     whole = rows(sampling.quick_sample(edges, pages, {"easy": 3, "medium": 2, "hard": 1}, attempts=150))
     monkeypatch.setattr(sampling, "QUICK_ROUND", 40)
     assert len(whole) == 6 and rows(sampling.quick_sample(edges, pages, {"easy": 3, "medium": 2, "hard": 1}, attempts=150)) == whole
+
+
+def test_a_pool_is_numbered_once(spark, monkeypatch):
+    """However many rounds a sample takes."""
+    from linkgraph.operators import canonical
+
+    calls, number = [], canonical.dense_index
+    monkeypatch.setattr(canonical, "dense_index", lambda *args: calls.append(1) or number(*args))
+    monkeypatch.setattr(sampling, "QUICK_ROUND", 10)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "src int, dst int")
+    pages = spark.range(6).selectExpr("id page_id", "concat('P', id) page_title", "cast(id as int) node_idx", "1L out_degree").cache()
+    assert {r["difficulty"] for r in sampling.quick_sample(edges, pages, {"hard": 1, "easy": 9}, attempts=30).collect()} == {"easy"}
+    assert len(calls) == 1
+    sampling.sample_bucket(edges, pages, 2, {9}, 5, 1, edges.where("src < 0"), per_round=400)
+    assert len(calls) == 2
